@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import load
 from .exact_dedup import exact_duplicates
+from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import quality
 from .topk_search import search
@@ -15,6 +16,10 @@ from .toxicity import toxicity
 from .url_filter import judge
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -40,6 +45,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_near_dedup": op3_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_topk_search": op6_topk_search,

@@ -29,6 +29,14 @@ def _matrix(column, dim: int) -> np.ndarray:
     return out
 
 
+def _packed(m: np.ndarray) -> list[bytes]:
+    return [x.tobytes() for x in m]
+
+
+def _unpacked(column, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.int64 if len(column) and len(column.iloc[0]) == 8 * dim else np.int32).reshape(-1, dim)
+
+
 def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances between rows of a and rows of b."""
     return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
@@ -42,9 +50,8 @@ def _lifted(v: np.ndarray, top: float, data: bool) -> np.ndarray:
 
 
 def products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; by floats while every sum stays below 2**53."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(d).max(initial=0)) * q.shape[1]
-    return (q.astype(np.float64) @ d.T.astype(np.float64)).astype(np.int64) if most < 2**52 else q @ d.T
+    """Integer inner products; exact in floats where every sum stays below 2**53."""
+    return (q.astype(d.dtype) @ d.T).astype(np.int64)
 
 
 def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -73,10 +80,13 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = PIVOTS
     schema = "query_id long, rank int, vec_id long, score long"
     rows = cut(usable(vectors, scale))
     norm = F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e)
-    facts = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(norm).alias("top")).first()
+    size = F.array_max(F.transform("v", lambda e: F.abs(e)))
+    facts = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(norm).alias("top"), F.max(size).alias("most")).first()
     if not facts["n"]:
         return spark.createDataFrame([], schema)
-    dim, top = facts["dim"], facts["top"]
+    dim, top = max(facts["dim"], 1), facts["top"]
+    exact = float(facts["most"] or 0) ** 2 * dim < 2**52
+    kind = np.int32 if (facts["most"] or 0) < 2**31 else np.int64
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("v").collect()
     p = _lifted(_matrix([r["v"] for r in chosen], dim), top, True)
     n = len(p)
@@ -84,16 +94,18 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = PIVOTS
 
     def assign(frames):
         for f in frames:
-            far = _far(_lifted(_matrix(f["v"], dim), top, True), p)
-            yield pd.DataFrame({"vec_id": f["vec_id"], "v": f["v"], "home": far.argmin(1), "d": far.min(1)})
+            m = _matrix(f["v"], dim)
+            far = _far(_lifted(m, top, True), p)
+            yield pd.DataFrame({"vec_id": f["vec_id"], "v": _packed(m.astype(kind)), "home": far.argmin(1), "d": far.min(1)})
 
     def assign_queries(frames):
         for f in frames:
-            far = _far(_lifted(_matrix(f["v"], dim), top, False), p)
-            yield pd.DataFrame({"vec_id": f["vec_id"], "v": f["v"], "home": far.argmin(1), "far": list(far)})
+            m = _matrix(f["v"], dim)
+            far = _far(_lifted(m, top, False), p)
+            yield pd.DataFrame({"vec_id": f["vec_id"], "v": _packed(m.astype(kind)), "home": far.argmin(1), "far": list(far)})
 
-    data = cut(rows.mapInPandas(assign, "vec_id long, v array<long>, home int, d double"))
-    queries = cut(rows.where(is_query).mapInPandas(assign_queries, "vec_id long, v array<long>, home int, far array<double>"))
+    data = cut(rows.mapInPandas(assign, "vec_id long, v binary, home int, d double"))
+    queries = cut(rows.where(is_query).mapInPandas(assign_queries, "vec_id long, v binary, home int, far array<double>"))
 
     # Summaries: of the data, the k + 1 smallest distances of each group; of the queries, ranges.
     smallest = Window.partitionBy("home").orderBy("d")
@@ -134,12 +146,12 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = PIVOTS
 
     def replicate(frames):
         low, high = tables.value
-        for f in frames:
+        for f in (f[i : i + 500] for f in frames for i in range(0, len(f), 500)):
             home, d = f["home"].to_numpy(), f["d"].to_numpy()[:, None]
             at, group = np.nonzero((low[:, home].T <= d) & (d <= high[:, home].T))
             yield pd.DataFrame({"g": group, "vec_id": f["vec_id"].to_numpy()[at], "v": f["v"].to_numpy()[at]})
 
-    copies = data.mapInPandas(replicate, "g int, vec_id long, v array<long>")
+    copies = data.mapInPandas(replicate, "g int, vec_id long, v binary")
     sizes = {r["g"]: r["n"] for r in copies.groupBy("g").agg(F.count("*").alias("n")).collect()}
     blocks = {g: -(-c // block) for g, c in sizes.items()}
     dealt = F.create_map(*[F.lit(x) for g, b in blocks.items() for x in (g, b)]) if blocks else F.create_map(F.lit(-1), F.lit(1))
@@ -150,9 +162,9 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = PIVOTS
         if not len(q) or not len(d):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         ids, own = d["vec_id"].to_numpy(), q["vec_id"].to_numpy()
-        m, out = _matrix(d["v"], dim), []
+        m, out = _unpacked(d["v"], dim).astype(np.float64 if exact else np.int64), []
         for i in range(0, len(q), 256):
-            for query, line in zip(own[i : i + 256], products(_matrix(q["v"][i : i + 256], dim), m), strict=True):
+            for query, line in zip(own[i : i + 256], products(_unpacked(q["v"][i : i + 256], dim), m), strict=True):
                 other = np.flatnonzero(ids != query)
                 at = other[best(line[other], ids[other], k)]
                 out.append(pd.DataFrame({"query_id": np.full(len(at), query), "vec_id": ids[at], "score": line[at]}))
