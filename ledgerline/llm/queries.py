@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import load
 from .exact_dedup import exact_duplicates
+from .line_dedup import ORACLE as LINE_ORACLE
+from .line_dedup import line_digest
+from .mixing import ORACLE as MIX_ORACLE
+from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import quality
@@ -16,6 +20,14 @@ from .toxicity import toxicity
 from .url_filter import judge
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(load(spark, sf_dir, "documents"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(load(spark, sf_dir, "documents"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -45,6 +57,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op2_line_dedup": op2_line_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
@@ -55,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": MIX_ORACLE,
+    "op2_line_dedup": LINE_ORACLE,
     "op6_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
