@@ -53,13 +53,13 @@ class Block:
         return mix((self._sum[end] - self._sum[start]) * self._down[start])
 
 
-def blocks(texts: Sequence[str], inside: np.ndarray) -> Iterator[tuple[slice, Block]]:
-    """Runs of texts of about BLOCK_BYTES (one text at least), as (which, block)."""
+def blocks(texts: Sequence[str], inside: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[slice, Block]]:
+    """Runs of texts of about ``limit`` bytes (one text at least), as (which, block)."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     i = 0
     while i < len(raw):
         j, size = i, 0
-        while j < len(raw) and (j == i or size + len(raw[j]) < BLOCK_BYTES):
+        while j < len(raw) and (j == i or size + len(raw[j]) < limit):
             size += len(raw[j]) + 1
             j += 1
         yield slice(i, j), Block(raw[i:j], inside)
