@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
+from . import audit, audit_oracle, bindings, domain
 
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+Query = Callable[[SparkSession, str], DataFrame]
 
 
-def latest_event_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type", "value")).alias("e")).select("user_id", "e.ts", "e.event_id", "e.event_type", "e.value")
+def _audit(name: str) -> Query:
+    return lambda spark, sf_dir: audit.CATALOGUE[name].run(domain.tables(spark, sf_dir), audit.DEFAULTS)
 
 
-QUERIES["latest_event_per_user"] = latest_event_per_user
+QUERIES: dict[str, Query] = dict(bindings.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(bindings.ORACLE_SQL)
+for _name in audit.CATALOGUE:
+    QUERIES[f"audit_{_name}"] = _audit(_name)
+    ORACLE_SQL[f"audit_{_name}"] = domain.oracle(audit_oracle.SQL[_name])
