@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import body, cut, scratch
-from .words import Block
+from .words import gram_hashes
 
 LENGTH = 400
 GRAM = 32
-SORTED_BYTES = 1_500_000  # that one suffix sort takes; a rank then has 21 bits
-_NONE = np.zeros(256, bool)
+SORTED_BYTES = 1_500_000  # that one suffix sort takes at most; a rank then has 21 bits
+BATCH_BYTES = 100_000  # that one takes if no single name needs more: it stays in a core's cache
 _POS = np.uint64((1 << 24) - 1)
 
 
@@ -46,12 +46,13 @@ def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
     part = 4 << 20
     for base in range(0, max(len(raw) - length + 1, 0), part):
         piece = raw[base : base + part + length - 1]
-        b = Block([piece], _NONE)
-        at = np.arange(len(piece) - gram + 1)
-        h = b.hashes(at, at + gram)
-        owner = (sliding_minimum((h & ~_POS) | at.astype(np.uint64), length - gram + 1) & _POS).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        out.append((h[owner[first]], first + base, np.diff(np.append(first, len(owner)))))
+        h = gram_hashes(np.frombuffer(piece, np.uint8), gram)
+        key = h & ~_POS
+        key |= np.arange(len(h), dtype=np.uint64)
+        owner = sliding_minimum(key, length - gram + 1)
+        first = np.flatnonzero(owner[1:] != owner[:-1]) + 1
+        first = np.concatenate([[0], first])
+        out.append((h[(owner[first] & _POS).astype(np.int64)], first + base, np.diff(np.append(first, len(owner)))))
     if not out:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -115,31 +116,35 @@ def ranks(s: np.ndarray, depth: int, covers: int = 1) -> np.ndarray:
     two = np.arange(2, n, 3)
     sample = np.concatenate([one, two])
     key = (t[sample] << (2 * bits)) | (t[sample + 1] << bits) | t[sample + 2]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ordered = key[order]
     new = np.concatenate([[1], (ordered[1:] != ordered[:-1]).astype(np.int64)])
     names = np.empty(len(sample), np.int64)
     names[order] = np.cumsum(new)
     if new.sum() < len(sample) and covers * 3 < depth:
-        order = np.argsort(ranks(names, depth, covers * 3), kind="stable")
+        order = np.argsort(ranks(names, depth, covers * 3))
         names = np.empty(len(sample), np.int64)
         names[order] = np.arange(1, len(sample) + 1)
     rank = np.zeros(n + 4, np.int64)
     rank[sample] = names
     place = np.empty(len(sample), np.int64)  # among the sampled, without ties
     place[order] = np.arange(len(sample))
+    # Everything is looked up in sorted order, which stays in cache.
+    one, two = sample[order[order < len(one)]], sample[order[order >= len(one)]]
+    at = np.empty(n + 1, np.int64)
+    at[sample] = place
 
     zero = np.arange(0, n, 3)
     key_a = (t[zero] << bits) | rank[zero + 1]
-    z = np.argsort(key_a, kind="stable")
+    z = np.argsort(key_a)
     key_a, zero = key_a[z], zero[z]
     key_b = (t[zero] << (2 * bits)) | (t[zero + 1] << bits) | rank[zero + 2]
     own_a = (t[one] << bits) | rank[one + 1]
     own_b = (t[two] << (2 * bits)) | (t[two + 1] << bits) | rank[two + 2]
     out = np.empty(n + 1, np.int64)
     out[zero] = np.arange(len(zero)) + np.searchsorted(np.sort(own_a), key_a) + np.searchsorted(np.sort(own_b), key_b)
-    out[one] = place[: len(one)] + np.searchsorted(key_a, own_a, side="right")
-    out[two] = place[len(one) :] + np.searchsorted(np.sort(key_b), own_b, side="right")
+    out[one] = at[one] + np.searchsorted(key_a, own_a, side="right")
+    out[two] = at[two] + np.searchsorted(np.sort(key_b), own_b, side="right")
     return out[:n]
 
 
@@ -156,7 +161,7 @@ def repeated(contexts: list[bytes], times: np.ndarray, length: int) -> list[np.n
     s[first[1:] - 1] = 0
     starts = np.repeat(first, strings) + np.arange(int(strings.sum())) - np.repeat(np.cumsum(strings) - strings, strings)
     # In suffix order equal strings are neighbours.
-    at = starts[np.argsort(ranks(s, length)[starts], kind="stable")]
+    at = starts[np.argsort(ranks(s, length)[starts])]
     word = np.ndarray((len(a) - 7,), np.uint64, a.tobytes(), strides=(1,))
     left, right = at[:-1], at[1:]
     alive = np.arange(len(left))
@@ -171,35 +176,50 @@ def _sorted(length: int):
     """Contexts come by name; whole names are sorted together, some at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[bytes] = []
-        contexts: list[bytes] = []
-        times: list[int] = []
-        name, begins, held = None, 0, 0
-
-        def solve(n: int):
-            bits = repeated(contexts[:n], np.array(times[:n]), length)
-            out = pa.RecordBatch.from_arrays([pa.array(keys[:n], pa.binary()), pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())], names=["key", "bits"])
-            del keys[:n], contexts[:n], times[:n]
-            return out
+        held: list[tuple[bytes, bytes, int]] = []  # whole names
+        alone: list[tuple[bytes, bytes, int]] = []  # the only surroundings of their name
+        group: list[tuple[bytes, bytes, int]] = []  # the name that comes
+        name, size, group_size = None, 0, 0
+
+        def solved(rows):
+            keys, contexts, times = zip(*rows, strict=True)
+            return made(keys, repeated(list(contexts), np.array(times), length))
+
+        def made(keys, bits):
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())], names=["key", "bits"])
+
+        def closed():
+            nonlocal size, group_size
+            # One that stands alone but occurs twice needs no sort; all its strings do.
+            if len(group) == 1 and group[0][2] > 1:
+                alone.append(group[0])
+            else:
+                held.extend(group)
+                size += group_size
+            group.clear()
+            group_size = 0
 
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 c = batch.slice(i, 500).to_pydict()
                 for x, key, ctx, n in zip(c["name"], c["key"], c["ctx"], c["times"], strict=True):
                     if x != name:
-                        if held > SORTED_BYTES // 2:
-                            yield solve(len(keys))
-                            held = 0
-                        name, begins = x, len(keys)
-                    elif held + len(ctx) > SORTED_BYTES and begins:
-                        yield solve(begins)
-                        held, begins = sum(map(len, contexts)), 0
-                    keys.append(key)
-                    contexts.append(ctx)
-                    times.append(n)
-                    held += len(ctx) + 1
-        if keys:
-            yield solve(len(keys))
+                        closed()
+                        name = x
+                        if size > BATCH_BYTES:
+                            yield solved(held)
+                            held.clear()
+                            size = 0
+                        if len(alone) > 500:
+                            yield made([r[0] for r in alone], [np.ones(len(r[1]) - length + 1, bool) for r in alone])
+                            alone.clear()
+                    group.append((key, ctx, n))
+                    group_size += len(ctx) + 1
+        closed()
+        if held:
+            yield solved(held)
+        if alone:
+            yield made([r[0] for r in alone], [np.ones(len(r[1]) - length + 1, bool) for r in alone])
 
     return run
 

@@ -31,6 +31,24 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _MIX) | np.uint64(1)
+
+
+def gram_hashes(a: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` bytes."""
+    up, down = _powers(len(a) + 1)
+    total = np.zeros(len(a) + 1, np.uint64)
+    x = _BYTES[a]
+    x *= up[: len(a)]
+    np.cumsum(x, out=total[1:])
+    h = total[width:] - total[:-width]
+    h *= down[: len(h)]
+    h ^= h >> np.uint64(32)
+    h *= _MIX
+    h ^= h >> np.uint64(29)
+    return h
+
+
 class Block:
     """Texts laid end to end: ``a`` their bytes, ``doc``, ``start`` and ``end`` of each word."""
 
@@ -45,8 +63,7 @@ class Block:
         self.doc = np.searchsorted(self.first, self.start, side="right") - 1
         self.words = np.bincount(self.doc, minlength=self.n)
         up, self._down = _powers(len(a) + 1)
-        table = mix(np.arange(1, 257, dtype=np.uint64) * _MIX) | np.uint64(1)
-        self._sum = np.concatenate([[np.uint64(0)], np.cumsum(table[a] * up[: len(a)])])
+        self._sum = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[a] * up[: len(a)])])
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A hash of the bytes of each span, wherever it stands."""
