@@ -118,7 +118,7 @@ def hidden_adjustment(side: str, other: str, rules: Bias = Bias()) -> dict[str,
     region = _held(strength(side) - strength(other), -rules.region_cap, rules.region_cap)
     prior = F.coalesce(c("prior_matches"), F.lit(0))
     together = F.when(prior == 0, rules.never_together)
-    for least, points in sorted(rules.together, reverse=True):
+    for least, points in sorted(rules.together):
         together = F.when(prior >= least, points).otherwise(together)
     affinity = _held(F.when(c("shared_club"), rules.same_club).otherwise(0.0) + F.coalesce(together, F.lit(0.0)) + F.when(c("recent_matches") > 0, rules.recently_together).otherwise(0.0), -rules.affinity_cap, rules.affinity_cap)
     experience = _held(F.log1p(F.greatest(prior, F.lit(0)).cast("double")) * rules.log_points * close(rules.experience_close_from, rules.experience_close_times), 0.0, rules.experience_cap)
