@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import body, cut
+from .words import Kept
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 END, LENGTH = 0, 1024
 SPECIAL = {"<|endoftext|>": 50256}
-_ENCODERS: dict = {}
+_ENCODERS = Kept()
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 

@@ -10,7 +10,16 @@ BLOCK_BYTES = 2 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_POWERS: list[np.ndarray] = []
+
+
+class Kept(dict):
+    """What a process has worked out; it does not travel with the functions that use it."""
+
+    def __reduce__(self):
+        return Kept, ()
+
+
+_POWERS = Kept()
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -25,10 +34,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
+    if n > len(_POWERS.get("up", ())):
         size = max(n, BLOCK_BYTES + (1 << 16))
-        _POWERS[:] = [np.cumprod(np.full(size, np.uint64(b))) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _POWERS[0][:n], _POWERS[1][:n]
+        for name, b in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            _POWERS[name] = np.cumprod(np.full(size, np.uint64(b)))
+    return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _MIX) | np.uint64(1)
