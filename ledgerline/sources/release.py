@@ -49,6 +49,6 @@ def write(tables: Mapping[str, DataFrame], root: str, name: str, about: Mapping
 
 def read(spark: SparkSession, root: str, name: str) -> tuple[dict[str, DataFrame], dict]:
     """(tables, manifest) of a promoted release."""
-    row = spark.read.option("wholetext", True).text(f"{root}/{name}/manifest.json").first()
+    row = spark.read.text(f"{root}/{name}/manifest.json", wholetext=True).first()
     manifest = json.loads(row["value"])
     return {t: spark.read.parquet(f"{root}/{name}/{t}") for t in manifest["tables"]}, manifest
