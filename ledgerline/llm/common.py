@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -33,6 +34,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of the shuffle and checkpoint files of finished rounds.
+
+    Spark removes them once the driver's JVM has collected what refers to them; a long loop
+    that fills little memory has to ask for that.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder for a table that later stages read again."""
     return os.path.join(shared_folder(spark), f"ledgerline-{name}-{uuid.uuid4().hex}")
