@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators import checks, history, pairs, quality, ratings, reconcile, releases, tournament
+from ledgerline.operators import checks, history, pairs, quality, ratings, reconcile, releases, sampling, tournament
 from ledgerline.operators.shares import bucket, distribution, histogram_of_counts, normalised, pct, with_targets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -295,3 +295,23 @@ def cup_group_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     teams = load(spark, sf_dir, "supplier").where(F.col("s_suppkey") <= 32)
     picks = pairs.closure(*[teams.select(F.col("s_suppkey").alias("team_id"), (F.col("s_suppkey") % k).alias("group_id")) for k in (5, 7)])
     return tournament.group_scores(_places(spark, sf_dir), picks)
+
+
+@query("""
+    WITH w AS (SELECT n_regionkey, n_nationkey, CAST(n_nationkey % 5 + 1 AS DOUBLE) AS w FROM nation),
+    i AS (SELECT n_regionkey, n_nationkey, (sum(w) OVER o - w) / sum(w) OVER p AS lower, CASE WHEN sum(w) OVER o >= sum(w) OVER p THEN 2.0 ELSE sum(w) OVER o / sum(w) OVER p END AS upper FROM w WINDOW p AS (PARTITION BY n_regionkey), o AS (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS UNBOUNDED PRECEDING)),
+    c AS (SELECT c_custkey, CAST(c_custkey % 6 AS INTEGER) AS n_regionkey, CAST('0x' || substr(sha256('pick|' || c_custkey), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM customer)
+    SELECT c_custkey, c.n_regionkey, n_nationkey FROM c LEFT JOIN i ON i.n_regionkey = c.n_regionkey AND u >= lower AND u < upper""")
+def weighted_nation_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 6).cast("int").alias("n_regionkey"))
+    options = load(spark, sf_dir, "nation").withColumn("w", (F.col("n_nationkey") % 5 + 1).cast("double"))
+    return sampling.weighted_choice(rows, options, ["n_regionkey"], "n_nationkey", "w", sampling.fraction("pick", "c_custkey")).select("c_custkey", "n_regionkey", "n_nationkey")
+
+
+@query("""
+    WITH k AS (SELECT DISTINCT o_orderpriority AS p, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders WHERE year(o_orderdate) IN (1995, 1998, 2000)), w AS (SELECT p, CAST(y AS INTEGER) AS y FROM (SELECT DISTINCT o_orderpriority AS p FROM orders), (SELECT unnest(range(1993, 2003)) AS y))
+    SELECT w.p, w.y, arg_min(k.y, (abs(w.y - k.y), k.y)) AS nearest FROM w JOIN k ON k.p = w.p GROUP BY 1, 2""")
+def nearest_known_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("p"), F.year("o_orderdate").alias("y"))
+    wanted = orders.select("p").distinct().withColumn("y", F.explode(F.sequence(F.lit(1993), F.lit(2002))))
+    return sampling.nearest_year(wanted, orders.where(F.col("y").isin(1995, 1998, 2000)), ["p"], "y")

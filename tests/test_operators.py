@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import checks, history, quality, ratings, reconcile, releases, seeds, tournament
+from ledgerline.operators import checks, history, quality, ratings, reconcile, releases, sampling, seeds, tournament
 from ledgerline.operators.shares import bucket, distribution, with_targets
 from ledgerline.plans import certify, reports
 from ledgerline.sources import delimited, release
@@ -185,3 +185,31 @@ def test_run_time_reports(spark):
     assert {r["subphase_name"]: r["pct_of_stage"] for r in reports.subphase_totals(t).collect()} == {"planning": 83.33, "scoring": 16.67}
     assert reports.slowest(t, 1).first()["id"] == 2 and reports.throughput(t).count() == 2
     assert reports.batch_summary(t, "matches", {"planning": ["planning"]}).where("batch_id = 1").first()["planning_seconds"] == 2.0
+
+
+def test_players_come_from_their_cohorts(spark):
+    regions = spark.createDataFrame([(1, "US", "CA", 0.75), (2, "CA", "ON", 0.25)], "region_id long, country_code string, state_province_code string, selection_probability double")
+    first = spark.createDataFrame([(c, s, y, g, f"{s}{g}{y}", 5) for c, s in (("US", "CA"), ("CA", "ON")) for g in "MF" for y in (1950, 2000)], "country_code string, state_province_code string, birth_year int, gender string, first_name string, frequency_count int")
+    last = spark.createDataFrame([("US", "CA", "Lee", 1.0), ("CA", "ON", "Roy", 1.0)], "country_code string, state_province_code string, last_name string, normalized_probability double")
+    made = sampling.players(spark, 400, "s", regions, first, last, "2025-01-01")
+    rows = made.collect()
+    assert len(rows) == 400 and sorted(rows) == sorted(sampling.players(spark, 400, "s", regions, first, last, "2025-01-01").collect())
+    assert 250 < sum(r["region_id"] == 1 for r in rows) < 350
+    for r in rows:
+        year = 1950 if r["birth_date"].year <= 1975 else 2000
+        assert r["first_name"] == f"{r['state_province_code']}{r['gender']}{year}" and r["last_name"] == {"CA": "Lee", "ON": "Roy"}[r["state_province_code"]]
+        assert 800 <= r["initial_rating"] < 2200 or r["initial_rating"] >= 4000
+
+
+def test_pairs_keep_their_ids_and_new_ones_leave_no_gap(spark):
+    known = spark.createDataFrame([(7, 1, 2)], "team_id long, low_id long, high_id long")
+    pairs = spark.createDataFrame([(2, 1), (3, 1), (1, 3), (5, 4)], "a long, b long")
+    got = {(r["low_id"], r["high_id"]): (r["team_id"], r["is_new"]) for r in sampling.pair_ids(pairs, known, "a", "b").collect()}
+    assert got[1, 2] == (7, False) and {got[1, 3][0], got[4, 5][0]} == {8, 9} and len(got) == 3
+
+
+def test_team_lifecycle(spark):
+    members = spark.createDataFrame([(1, "ACTIVE"), (1, "INJURED"), (2, "RETIRED"), (2, "INJURED"), (3, "ACTIVE")], "team_id long, player_status string")
+    before = spark.createDataFrame([(1, "active"), (2, "active"), (3, "dormant")], "team_id long, team_status string")
+    got = {r["team_id"]: r["event_type"] for r in sampling.lifecycle_events(sampling.team_status(members), before, "2025-02-01").collect()}
+    assert got == {1: "dormant", 2: "retired", 3: "reactivated"}
