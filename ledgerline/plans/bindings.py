@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ledgerline.operators import checks, history, pairs, quality, ratings, reconcile, releases, sampling, tournament
 from ledgerline.operators.shares import bucket, distribution, histogram_of_counts, normalised, pct, with_targets
 
+from . import domain, panel, reports
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -315,3 +317,53 @@ def nearest_known_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("p"), F.year("o_orderdate").alias("y"))
     wanted = orders.select("p").distinct().withColumn("y", F.explode(F.sequence(F.lit(1993), F.lit(2002))))
     return sampling.nearest_year(wanted, orders.where(F.col("y").isin(1995, 1998, 2000)), ["p"], "y")
+
+
+@query(domain.oracle("""
+    SELECT b.id AS batch_id, b.generation_run_id, batch_month, (SELECT count(*) FROM player_registrations x WHERE x.batch_id = b.id) AS players, (SELECT count(*) FROM matches x WHERE x.batch_id = b.id) AS matches,
+           (SELECT count(*) FROM ratings_update_log x WHERE x.batch_id = b.id) AS rating_updates,
+           round(100.0::DOUBLE * (SELECT count(*) FROM matches x WHERE x.batch_id = b.id) / (SELECT count(*) FROM matches x JOIN monthly_batches y ON y.id = x.batch_id WHERE y.generation_run_id = b.generation_run_id), 2) AS match_pct
+    FROM monthly_batches b"""))
+def panel_batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.batch_totals(domain.tables(spark, sf_dir))
+
+
+@query(domain.oracle("SELECT r.id, release_name, status, count(f.id) AS file_count, CAST(coalesce(sum(row_count), 0) AS BIGINT) AS row_count FROM student_dataset_releases r LEFT JOIN student_dataset_release_files f ON f.release_id = r.id GROUP BY 1, 2, 3"))
+def panel_release_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.release_files(domain.tables(spark, sf_dir))
+
+
+PARTS = {"planning": ["click", "view"], "saving": ["purchase"]}
+METRICS = "g AS (SELECT * FROM generation_runtime_metrics WHERE stage_name = 'matches')"
+
+
+@query(domain.oracle(f"WITH {METRICS} SELECT batch_id, round(sum(elapsed_ms) / 1000, 3) AS total_seconds, round(sum(elapsed_ms) FILTER (WHERE subphase_name IN ('click', 'view')) / 1000, 3) AS planning_seconds, round(sum(elapsed_ms) FILTER (WHERE subphase_name = 'purchase') / 1000, 3) AS saving_seconds FROM g GROUP BY 1"))
+def report_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.batch_summary(domain.tables(spark, sf_dir), "matches", PARTS)
+
+
+@query(domain.oracle("SELECT stage_name, subphase_name, count(*) AS metrics, round(sum(elapsed_ms) / 1000, 3) AS total_seconds, round(max(elapsed_ms) / 1000, 3) AS longest_seconds, round(100.0::DOUBLE * sum(elapsed_ms) / sum(sum(elapsed_ms)) OVER (PARTITION BY stage_name), 2) AS pct_of_stage FROM generation_runtime_metrics GROUP BY 1, 2"))
+def report_subphase_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.subphase_totals(domain.tables(spark, sf_dir))
+
+
+@query(domain.oracle("SELECT batch_id, stage_name, CAST(sum(output_count) AS BIGINT) AS rows, round(sum(output_count) * 1000.0::DOUBLE / nullif(sum(elapsed_ms), 0), 3) AS rows_per_second, round(sum(attempt_count)::DOUBLE / nullif(sum(output_count), 0), 3) AS attempts_per_row FROM generation_runtime_metrics GROUP BY 1, 2"))
+def report_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.throughput(domain.tables(spark, sf_dir))
+
+
+@query(domain.oracle(f"""WITH {METRICS}, b AS (SELECT batch_id, CAST(sum(elapsed_ms) AS BIGINT) AS t FROM g GROUP BY 1)
+    SELECT batch_id, round(t / 1000, 3) AS total_seconds, round((t - lag(t) OVER w) / 1000, 3) AS seconds_more, round(t::DOUBLE / first_value(t) OVER w, 3) AS multiple_of_first, round(100.0::DOUBLE * (t - lag(t) OVER w) / lag(t) OVER w, 2) AS total_growth_pct FROM b WINDOW w AS (ORDER BY batch_id)"""))
+def report_slow_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.slow_down(domain.tables(spark, sf_dir), "matches")
+
+
+@query(domain.oracle("SELECT id, batch_id, stage_name, subphase_name, round(elapsed_ms / 1000, 3) AS elapsed_seconds FROM generation_runtime_metrics ORDER BY elapsed_ms DESC, id LIMIT 25"))
+def report_slowest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.slowest(domain.tables(spark, sf_dir))
+
+
+@query(domain.oracle(f"""WITH {METRICS}, e AS (SELECT DISTINCT batch_id, p AS subphase_name FROM generation_runtime_metrics, (VALUES ('click'), ('view'), ('absent')) v(p))
+    SELECT e.batch_id, e.subphase_name, coalesce(g.event_type, 'missing') AS metric_status FROM e LEFT JOIN g ON g.batch_id = e.batch_id AND g.subphase_name = e.subphase_name WHERE g.id IS NULL OR g.event_type <> 'completed'"""))
+def report_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.gaps(domain.tables(spark, sf_dir), "matches", ["click", "view", "absent"])

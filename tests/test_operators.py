@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import checks, history, quality, ratings, reconcile, releases, sampling, seeds, tournament
 from ledgerline.operators.shares import bucket, distribution, with_targets
-from ledgerline.plans import certify, reports
+from ledgerline.plans import certify, panel, reports
 from ledgerline.sources import delimited, release
 
 D = dt.date
@@ -213,3 +213,14 @@ def test_team_lifecycle(spark):
     before = spark.createDataFrame([(1, "active"), (2, "active"), (3, "dormant")], "team_id long, team_status string")
     got = {r["team_id"]: r["event_type"] for r in sampling.lifecycle_events(sampling.team_status(members), before, "2025-02-01").collect()}
     assert got == {1: "dormant", 2: "retired", 3: "reactivated"}
+
+
+def test_panel_models(spark):
+    steps = spark.createDataFrame([(1, 40.0, 100.0), (1, 60.0, 50.0), (2, 100.0, 100.0)], "job_id long, weight_pct double, done_pct double")
+    assert {r["job_id"]: (r["progress_pct"], r["done"]) for r in panel.job_progress(steps).collect()} == {1: (70.0, False), 2: (100.0, True)}
+    t0 = dt.datetime(2025, 1, 1)
+    beats = spark.createDataFrame([(1, t0), (1, t0 + dt.timedelta(seconds=50)), (2, t0)], "job_id long, heartbeat_at timestamp_ntz")
+    now = F.lit(t0 + dt.timedelta(seconds=60)).cast("timestamp_ntz")
+    assert {r["job_id"]: (r["silent_seconds"], r["state"]) for r in panel.liveness(beats, now, 30, 60).collect()} == {1: (10, "running"), 2: (60, "dead")}
+    sizes = spark.createDataFrame([("players", 100)], "table_name string, rows long")
+    assert [r["rows"] for r in panel.forecast(sizes, 2, 0.1).orderBy("month").collect()] == [100, 110, 121]
