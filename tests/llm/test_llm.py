@@ -171,6 +171,33 @@ def test_url_scores_follow_the_models(spark):
         assert url_filter.scores([u], counts)[0] == pytest.approx(score(u), abs=1e-6)
 
 
+def test_url_counts_are_exact(spark):
+    """Scores of judge() by dictionaries over many random URLs, of which a table of fixed size makes some meet."""
+    rng = np.random.default_rng(5)
+    urls = [f"http://{'shop' if i % 3 else 'spam'}{i % 7}.{('com', 'net', 'test')[i % 3]}/{('en', 'de', 'fr')[i % 3]}/{rng.integers(10**12):x}" for i in range(3000)] + ["http://x.com/en/é\0b", None] * 2
+    rows = spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    held = {r["page_id"] for r in url_filter.parsed(rows).where(F.pmod(F.xxhash64("rest"), F.lit(5)) == 0).collect()}
+    found = url_filter.judge(rows).collect()
+    assert sorted(r["page_id"] for r in found) == list(range(len(urls)))
+    pad, order = url_filter.ORDERS - 1, url_filter.ORDERS
+    raw = [b"\0" * pad + (u or "").partition("://")[2].encode() for u in urls]
+    tables = {"allow": Counter(), "block": Counter()}
+    for r in found:
+        if r["rule"] is not None and r["page_id"] not in held:
+            b = raw[r["page_id"]]
+            for i in range(pad, len(b)):
+                for k in range(order):
+                    tables[r["verdict"]].update(((b[i - k : i], b[i]), (k, b[i - k : i])))
+    for r in found:
+        b, total = raw[r["page_id"]], 0.0
+        for i in range(pad, len(b)):
+            p = {"allow": 1 / 256, "block": 1 / 256}
+            for k in range(order):
+                p = {s: (n[b[i - k : i], b[i]] + url_filter.WEIGHT * p[s]) / (n[k, b[i - k : i]] + url_filter.WEIGHT) for s, n in tables.items()}
+            total += math.log(p["block"] / p["allow"])
+        assert r["score"] == pytest.approx(total / max(1, len(b) - pad), abs=1e-9)
+
+
 # --- 6: search --------------------------------------------------------------------------
 
 
