@@ -41,15 +41,36 @@ def encoder(vocabulary: str = VOCABULARY):
     return _ENCODERS[vocabulary]
 
 
+def token_ids(text: str, vocabulary: str = VOCABULARY) -> list[int]:
+    """The ids of ``text``; what the fast encoder refuses goes to the named tokenizer itself.
+
+    tiktoken's pattern matcher gives up on runs of about a million white-space characters.
+    """
+    try:
+        return encoder(vocabulary).encode(text, allowed_special="all", disallowed_special=())
+    except ValueError:
+        return named_tokenizer(vocabulary).encode(text, add_special_tokens=False).ids
+
+
+def named_tokenizer(vocabulary: str = VOCABULARY):
+    """The tokenizer of the JSON file beside the ranks, loaded where it is first needed."""
+    name = vocabulary.removesuffix(".tiktoken") + ".json"
+    if name not in _ENCODERS:
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        _ENCODERS[name] = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
+    return _ENCODERS[name]
+
+
 def _cut_up(vocabulary: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
         for b in batches:
             for i in range(0, b.num_rows, 200):
                 c = b.slice(i, 200)
                 out: list[tuple] = []
                 for key, text in zip(c.column(0).to_pylist(), c.column(1).to_pylist(), strict=True):
-                    ids = np.array([*encode(text, allowed_special="all", disallowed_special=()), END], "<u4")
+                    ids = np.array([*token_ids(text, vocabulary), END], "<u4")
                     out += [(key, s, len(part := ids[s : s + length]), zlib.crc32(part.tobytes()), len(ids)) for s in range(0, len(ids), length)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 

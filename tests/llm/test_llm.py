@@ -126,6 +126,17 @@ def test_packing_odd_rows(spark):
     assert packing.pack(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("run", [" ", "\n", " \n"])
+def test_packing_of_a_long_white_space_run(spark, run):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    text = "a" + run * (1_100_000 // len(run)) + "b<|endoftext|>"
+    ids = np.array([*Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids, 0], "<u4")
+    got = sorted((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in packing.pack(docs_of(spark, [text])).collect())
+    assert got == [(s, len(ids[s : s + 1024]), zlib.crc32(ids[s : s + 1024].tobytes()), len(ids)) for s in range(0, len(ids), 1024)]
+
+
 # --- 10: URLs ---------------------------------------------------------------------------
 
 
