@@ -160,6 +160,20 @@ def exact_duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataF
 
 
 def deduplicated(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    dropped = exact_duplicates(docs, bucket_bytes).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["__gone"]), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns.
+
+    A row goes only for its own text: other texts with its doc_id stay. Of a text whose rows
+    all have null ids one row stays.
+    """
+    found = cut(classes(docs, bucket_bytes)).select(F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep"))
+    rows = docs.withColumn("__sha", F.unhex(F.sha2(normalised(), 256)))
+    return keepers(rows, found, ["__sha"]).drop("__sha")
+
+
+def keepers(rows: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose ``key`` and doc_id ``found`` (key, __keep) names; of those with null ids one a key."""
+    named = found.where(F.col("__keep").isNotNull())
+    unnamed = found.where(F.col("__keep").isNull()).drop("__keep")
+    one = rows.where(F.col("doc_id").isNotNull()).withColumn("__keep", F.col("doc_id").cast("long")).join(named, [*key, "__keep"], "left_semi").select(*rows.columns)
+    two = rows.where(F.col("doc_id").isNull()).join(unnamed, key, "left_semi").dropDuplicates(key)
+    return one.union(two.select(*rows.columns))

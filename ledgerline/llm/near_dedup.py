@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import body, cut, tidy
+from .exact_dedup import keepers
 from .words import SPACE, Block, blocks, mix
 
 WORDS = 5
@@ -325,11 +326,24 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     empty; rows with a null doc_id belong to a class but never name it. Repeated rows are
     rows of one class. An empty table gives no rows.
     """
+    signed, named = classed_nodes(docs, similarity)
+    ids = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
+    of_node = named.join(ids, "label").select("node", "class_id", "class_size")
+    return signed.select("doc_id", "node").join(of_node, "node").select("doc_id", "class_id", "class_size")
+
+
+def node_of(text):
+    """What equal texts share, from the lower-cased text."""
+    return F.unhex(F.md5(F.regexp_replace(F.trim(text), r"[\x20\x09-\x0D]+", " ")))
+
+
+def classed_nodes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, ... of each row; node, its smallest doc_id, its rows n and its class's label)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(body()).alias("text")).withColumn("node", F.unhex(F.md5(F.regexp_replace(F.trim("text"), r"[\x20\x09-\x0D]+", " "))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(body()).alias("text")).withColumn("node", node_of("text"))
     model = spark.sparkContext.broadcast(frequencies(rows.select("text")))
     signed = cut(rows.mapInArrow(_sign(model), "doc_id long, node binary, size double, bands array<long>, sample array<int>"))
-    nodes = cut(signed.groupBy("node").agg(F.min(F.struct("doc_id", "size", "bands", "sample")).alias("x"), F.count("*").alias("n")).select("node", "x.doc_id", "x.size", "x.bands", "x.sample", "n"))
+    nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("size", "bands", "sample")).alias("x"), F.count("*").alias("n")).select("node", "doc_id", "x.size", "x.bands", "x.sample", "n"))
     members = nodes.select("node", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > 1)
     members = cut(members.join(buckets, "key"))
@@ -391,12 +405,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         labels = cut(every.join(of, "was", "left").select("node", F.coalesce("now", "was").alias("label")))
 
     named = nodes.select("node", "doc_id", "n").join(labels, "node", "left").select("node", "doc_id", "n", F.coalesce("label", "node").alias("label"))
-    ids = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
-    of_node = named.join(ids, "label").select("node", "class_id", "class_size")
-    return signed.select("doc_id", "node").join(of_node, "node").select("doc_id", "class_id", "class_size")
+    return signed, named
 
 
 def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that name their class, with all their columns."""
-    gone = near_duplicates(docs, similarity).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """The rows of ``docs`` that name their class, with all their columns.
+
+    Rows are told apart by doc_id and text, so an id with two texts loses the near copy only.
+    Of a class without ids one row stays.
+    """
+    named = classed_nodes(docs, similarity)[1]
+    first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("x"))
+    found = cut(first.select(F.col("x.node").alias("__node"), F.col("x.doc_id").alias("__keep")))
+    rows = docs.withColumn("__node", node_of(F.lower(body())))
+    return keepers(rows, found, ["__node"]).drop("__node")

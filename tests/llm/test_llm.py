@@ -76,6 +76,12 @@ def test_deduplicated_keeps_other_columns(spark):
     assert out.columns == rows.columns and {r["doc_id"] for r in out.collect()} == {0, 2}
 
 
+def test_deduplicated_goes_by_text_and_id(spark):
+    rows = docs_of(spark, ["a z", "a  z", "only", "c", "c", "b", "a z"], [5, None, None, None, None, 7, 7])
+    got = Counter((r["doc_id"], r["text"]) for r in exact_dedup.deduplicated(rows).collect())
+    assert got == {(5, "a z"): 1, (None, "only"): 1, (None, "c"): 1, (7, "b"): 1}
+
+
 # --- 7: packing -------------------------------------------------------------------------
 
 
@@ -302,6 +308,15 @@ def test_near_duplicates_of_no_rows(spark):
     assert [r["class_id"] for r in near_dedup.near_duplicates(docs_of(spark, ["a b c d e f"] * 2, [None, None])).collect()] == [None, None]
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    a, b, c, d = (" ".join(words(200, 50 + i)) for i in range(4))
+    rows = docs_of(spark, [a, a, a, a + " more", b, c, d, d, d + " more"], [None, 4, 9, 7, 7, None, None, None, None])
+    found = near_dedup.near_duplicates(rows).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in found) == {(None, 4, 4): 1, (4, 4, 4): 1, (9, 4, 4): 1, (7, 4, 4): 1, (7, 7, 1): 1, (None, None, 1): 1, (None, None, 3): 3}
+    got = Counter((r["doc_id"], r["text"].removesuffix(" more")) for r in near_dedup.distinct_documents(rows).collect())
+    assert got == {(4, a): 1, (7, b): 1, (None, c): 1, (None, d): 1}
+
+
 def test_samples_meet_as_often_as_weights_overlap():
     rng = np.random.default_rng(0)
     h = rng.integers(1, 1 << 62, 4000, dtype=np.uint64)
