@@ -39,12 +39,42 @@ def competitiveness(probability: Column) -> Column:
 def clamped_sum(rows: DataFrame, key: str, order: Sequence[str], value: str, low: float, high: float, start: float, name: str = "state") -> DataFrame:
     """key, name, steps: the values added one after the other, held within [low, high] at each step.
 
-    A step maps x to min(h, max(l, x + d)), and so does a run of steps, so tasks fold their own
-    runs; here one array holds a key's rows, of which it must not have more than fit one.
+    A step maps x to min(h, max(l, x + d)), and so does a run of steps, so runs are folded each
+    for itself and then composed in order: rows are dealt by ranges of (key, order, value), runs
+    of at most 2**RUN_BITS rows are folded, then the runs of a range, then the ranges of a key. No
+    array holds all rows of a key. The first run of a key starts at ``start`` itself.
     """
-    items = F.array_sort(F.collect_list(F.struct(*order, value)))
-    step = lambda x, e: F.least(F.lit(high), F.greatest(F.lit(low), x + e[value]))
-    return rows.groupBy(key).agg(items.alias("items")).select(key, F.aggregate("items", F.lit(float(start)), step).alias(name), F.size("items").cast("long").alias("steps"))
+    low, high = F.lit(float(low)), F.lit(float(high))
+    dealt = rows.select(F.col(key), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], F.col(value).cast("double").alias("s"))
+    sorted_by = [key, *[f"__o{i}" for i in range(len(order))], "s"]
+    dealt = dealt.repartitionByRange(*sorted_by).sortWithinPartitions(*sorted_by).withColumn("at", F.monotonically_increasing_id())
+    runs = dealt.select(key, "at", low.alias("l"), high.alias("h"), "s", F.least(high, F.greatest(low, F.lit(float(start)) + F.col("s"))).alias("f"), F.lit(1).cast("long").alias("n"))
+    for bits in (RUN_BITS, RANGE_BITS - RUN_BITS, None):
+        runs = _composed(runs, key, bits)
+    return runs.select(key, F.col("f").alias(name), F.col("n").alias("steps"))
+
+
+RUN_BITS = 13  # of the rows that one array holds
+RANGE_BITS = 33  # of a row's number in its range: monotonically_increasing_id has the range above them
+
+
+def _composed(runs: DataFrame, key: str, bits: int | None) -> DataFrame:
+    """Runs of one ``at >> bits`` (of the whole key for None) as one: key, at, l, h, s, f, n.
+
+    A run maps x to min(h, max(l, x + s)); ``f`` is where it ends as the key's first run.
+    """
+    group = F.lit(0).cast("long") if bits is None else F.shiftright("at", bits)
+    items = F.array_sort(F.collect_list(F.struct("at", "l", "h", "s", "f")))
+    rows = runs.groupBy(key, group.alias("at")).agg(items.alias("items"), F.sum("n").alias("n"))
+    first = F.element_at("items", 1)
+
+    def step(x: Column, e: Column) -> Column:
+        to = lambda v: F.least(e["h"], F.greatest(e["l"], v + e["s"]))
+        return F.struct(to(x["l"]).alias("l"), to(x["h"]).alias("h"), (x["s"] + e["s"]).alias("s"), to(x["f"]).alias("f"))
+
+    begin = F.struct(*[first[c].alias(c) for c in ("l", "h", "s", "f")])
+    rest = F.slice("items", 2, F.greatest(F.size("items") - 1, F.lit(0)))
+    return rows.select(key, "at", F.aggregate(rest, begin, step).alias("x"), "n").select(key, "at", "x.l", "x.h", "x.s", "x.f", "n")
 
 
 def fold(updates: DataFrame, states: DataFrame, rules: RatingRules = RatingRules()) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on small tables with known answers."""
 
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
@@ -14,6 +15,23 @@ from ledgerline.sources import delimited, release
 D = dt.date
 
 
+def test_clamped_sum_of_a_hot_key_by_brute_force(spark, monkeypatch):
+    """Runs of four rows, so that one key has many; no array holds more than its share."""
+    monkeypatch.setattr(ratings, "RUN_BITS", 2)
+    rng = random.Random(4)
+    made = [(rng.choice((1, 1, 1, 2, 3, None)), i // 2, rng.choice((None, *range(-30, 31)))) for i in range(3000)] + [(4, 0, 7)]
+    rng.shuffle(made)
+    rows = spark.createDataFrame([(k, t, None if v is None else float(v)) for k, t, v in made], "k long, t long, v double")
+    want = {}
+    for k, _, v in sorted(made, key=lambda r: (r[1], r[2] is not None, r[2] or 0)):
+        x, n = want.get(k, (10.0, 0))
+        want[k] = (0.0 if v is None else min(25.0, max(0.0, x + v)), n + 1)
+    found = ratings.clamped_sum(rows, "k", ["t"], "v", 0, 25, 10)
+    assert {r["k"]: (r["state"], r["steps"]) for r in found.collect()} == want
+    runs = rows.withColumn("at", F.monotonically_increasing_id()).select("k", "at", *[F.lit(0.0).alias(c) for c in "lhsf"], F.lit(1).alias("n"))
+    assert ratings._composed(runs, "k", 2).agg(F.max("n")).first()[0] <= 4
+
+
 def test_rating_fold_of_one_match(spark):
     updates = spark.createDataFrame([(p, D(2026, 1, 5), 1, 0.5, a) for p, a in ((1, 0.6875), (2, 0.6875), (3, 0.3125), (4, 0.3125))], "player_id long, match_date date, match_id long, expected_score_share double, actual_score_share double")
     states = spark.createDataFrame([(p, 1500.0, 0.2, 0) for p in (1, 2, 3, 4)], "player_id long, rating double, confidence double, match_count long")
