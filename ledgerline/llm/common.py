@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+HOT = 1_000  # keys that hot_join() broadcasts at most
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -57,6 +58,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key) where some keys may be those of most rows.
+
+    ``count`` is a column of ``table``: how many of the ``total`` rows hold the key, at least.
+    Keys of more than a thousandth of them are fewer than a thousand, whatever the input, and
+    are broadcast, so their rows stay where they are; only the others are dealt by key.
+    """
+    least = max(total // HOT, 1)
+    columns = [c for c in table.columns if c != count]
+    big = F.broadcast(table.where(F.col(count) > least).select(columns))
+    cold = rows.join(F.broadcast(big.select(key)), key, "left_anti")
+    return rows.join(big, key, "inner" if how == "left" else how).unionByName(cold.join(table.where(F.col(count) <= least).select(columns), key, how))
+
+
 def body(column="text"):
     """A text as the operators see it: null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

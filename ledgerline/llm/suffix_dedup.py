@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, cut, scratch
+from .common import HOT, body, cut, hot_join, partitions, scratch
 from .words import gram_hashes
 
 LENGTH = 400
 GRAM = 32
-SORTED_BYTES = 1_500_000  # that one suffix sort takes at most; a rank then has 21 bits
+PART = 512 << 10  # bytes of a text that are looked through at once
+SORTED_BYTES = 400_000  # that one suffix sort takes at most; a rank then has 21 bits
+STRINGS = 200_000  # that one task compares by digest
 BATCH_BYTES = 100_000  # that one takes if no single name needs more: it stays in a core's cache
 _POS = np.uint64((1 << 24) - 1)
 
@@ -39,58 +41,76 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
 def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(name, first string, strings) of each anchor of one text.
 
-    The strings whose anchor it is start at ``first string`` and at the ``strings`` - 1 places
-    after it. Long texts go through in parts that overlap.
+    The strings whose anchor has that name start at ``first string`` and at the ``strings`` - 1
+    places after it. Neighbours whose anchors have one name stay together, up to as many as one
+    anchor can serve, so text that repeats every few bytes gives no more anchors than other
+    text. Long texts go through in parts that overlap.
     """
     out = []
-    part = 4 << 20
-    for base in range(0, max(len(raw) - length + 1, 0), part):
-        piece = raw[base : base + part + length - 1]
+    width = length - gram + 1
+    for base in range(0, max(len(raw) - length + 1, 0), PART):
+        piece = raw[base : base + PART + length - 1]
         h = gram_hashes(np.frombuffer(piece, np.uint8), gram)
         key = h & ~_POS
         key |= np.arange(len(h), dtype=np.uint64)
-        owner = sliding_minimum(key, length - gram + 1)
+        owner = sliding_minimum(key, width)
         first = np.flatnonzero(owner[1:] != owner[:-1]) + 1
         first = np.concatenate([[0], first])
-        out.append((h[(owner[first] & _POS).astype(np.int64)], first + base, np.diff(np.append(first, len(owner)))))
+        name = h[(owner[first] & _POS).astype(np.int64)]
+        new = np.concatenate([[True], name[1:] != name[:-1]])
+        first, name = first[new], name[new]
+        count = np.diff(np.append(first, len(owner)))
+        pieces = -(-count // width)
+        of = np.repeat(np.arange(len(first)), pieces)
+        skipped = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * width
+        out.append((name[of], first[of] + skipped + base, np.minimum(count[of] - skipped, width)))
     if not out:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 100) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time: what Python makes of them is many times as large."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def _find(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                raw = [x.as_buffer().to_pybytes() for x in part.column("raw")]
-                names, firsts, counts, sizes = [], [], [], []
-                for r in raw:
-                    n, f, c = anchors(r, length)
-                    names.append(n)
-                    firsts.append(f)
-                    counts.append(c)
-                    sizes.append(len(n))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                each = pa.StructArray.from_arrays([pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(firsts).astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int32))], names=["name", "first", "n"])
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("doc_id"), pa.ListArray.from_arrays(offsets, each)], names=["node", "doc_id", "anchors"])
+        for part in _sliced(batches, 200):
+            found = [anchors(x.as_buffer().to_pybytes(), length) for x in part.column("raw")]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in found])]), pa.int32())
+            names, firsts, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+            each = pa.StructArray.from_arrays([pa.array(names.view(np.int64)), pa.array(firsts.astype(np.int32)), pa.array(counts.astype(np.int32))], names=["name", "first", "n"])
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("doc_id"), pa.ListArray.from_arrays(offsets, each)], names=["node", "doc_id", "anchors"])
 
     return run
 
 
 def _contexts(length: int):
     """The bytes around each anchor that all its strings cover."""
+    names = ["node", "first", "name", "key", "ctx"]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, raw, found in zip(batch.column("node").to_pylist(), batch.column("raw"), batch.column("found").to_pylist(), strict=True):
+        rows: list[tuple] = []
+        for part in _sliced(batches):
+            found = part.column("found")
+            anchor, cuts = found.flatten(), np.cumsum([0, *(len(x) for x in found)])
+            name, first, count = (np.asarray(anchor.field(x)).tolist() for x in ("name", "first", "n"))
+            for i, (node, raw) in enumerate(zip(part.column("node").to_pylist(), part.column("raw"), strict=True)):
                 raw = raw.as_buffer().to_pybytes()
-                for i in range(0, len(found), 5000):
-                    part = found[i : i + 5000]
-                    ctx = [raw[x["first"] : x["first"] + x["n"] + length - 1] for x in part]
-                    key = [hashlib.md5(c).digest() for c in ctx]
-                    k = len(part)
-                    yield pa.RecordBatch.from_arrays([pa.array([node] * k, pa.binary()), pa.array([x["first"] for x in part], pa.int32()), pa.array([x["name"] for x in part], pa.int64()), pa.array(key, pa.binary()), pa.array(ctx, pa.binary())], names=["node", "first", "name", "key", "ctx"])
+                for k in range(cuts[i], cuts[i + 1]):
+                    ctx = raw[first[k] : first[k] + count[k] + length - 1]
+                    rows.append((node, first[k], name[k], hashlib.md5(ctx).digest(), ctx))
+                    if len(rows) == 2000:
+                        yield made(rows)
+                        rows = []
+        if rows:
+            yield made(rows)
 
     return run
 
@@ -182,11 +202,10 @@ def _sorted(length: int):
         name, size, group_size = None, 0, 0
 
         def solved(rows):
-            keys, contexts, times = zip(*rows, strict=True)
-            return made(keys, repeated(list(contexts), np.array(times), length))
+            return made(rows, repeated([r[1] for r in rows], np.array([r[2] for r in rows]), length))
 
-        def made(keys, bits):
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([np.packbits(x).tobytes() for x in bits], pa.binary())], names=["key", "bits"])
+        def made(rows, bits):
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([np.packbits(x).tobytes() for x in bits], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["key", "bits", "times"])
 
         def closed():
             nonlocal size, group_size
@@ -199,49 +218,116 @@ def _sorted(length: int):
             group.clear()
             group_size = 0
 
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                c = batch.slice(i, 500).to_pydict()
-                for x, key, ctx, n in zip(c["name"], c["key"], c["ctx"], c["times"], strict=True):
-                    if x != name:
-                        closed()
-                        name = x
-                        if size > BATCH_BYTES:
-                            yield solved(held)
-                            held.clear()
-                            size = 0
-                        if len(alone) > 500:
-                            yield made([r[0] for r in alone], [np.ones(len(r[1]) - length + 1, bool) for r in alone])
-                            alone.clear()
-                    group.append((key, ctx, n))
-                    group_size += len(ctx) + 1
+        for part in _sliced(batches, 500):
+            c = part.to_pydict()
+            for x, key, ctx, n in zip(c["name"], c["key"], c["ctx"], c["times"], strict=True):
+                if x != name:
+                    closed()
+                    name = x
+                    if size > BATCH_BYTES:
+                        yield solved(held)
+                        held.clear()
+                        size = 0
+                    if len(alone) > 500:
+                        yield made(alone, [np.ones(len(r[1]) - length + 1, bool) for r in alone])
+                        alone.clear()
+                group.append((key, ctx, n))
+                group_size += len(ctx) + 1
         closed()
         if held:
             yield solved(held)
         if alone:
-            yield made([r[0] for r in alone], [np.ones(len(r[1]) - length + 1, bool) for r in alone])
+            yield made(alone, [np.ones(len(r[1]) - length + 1, bool) for r in alone])
 
     return run
 
 
-def _strings(length: int):
-    """Each string of a context by a digest, for names with too much around them for one sort."""
+def _digests(part: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(digest, context, place in it, times) of each string of some contexts."""
+    contexts = part.column("ctx").to_pylist()
+    n = [len(c) - length + 1 for c in contexts]
+    found = np.frombuffer(b"".join(hashlib.md5(c[o : o + length]).digest() for c, k in zip(contexts, n, strict=True) for o in range(k)), "V16")
+    own = np.repeat(np.arange(len(n)), n)
+    return found, own, np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n), np.asarray(part.column("times"))[own]
+
+
+def _counted(length: int):
+    """How often each string is there, added up for some contexts at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, ctx, n in zip(*(batch.column(c).to_pylist() for c in ("key", "ctx", "times")), strict=True):
-                k = len(ctx) - length + 1
-                yield pa.RecordBatch.from_arrays([pa.array([key] * k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([hashlib.md5(ctx[o : o + length]).digest() for o in range(k)], pa.binary()), pa.array([n] * k, pa.int64())], names=["key", "o", "string", "times"])
+        for part in _sliced(batches, 200):
+            found, _, _, _ = _digests(part, length)
+            string, n = np.unique(found, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(string.tolist(), pa.binary()), pa.array(n)], names=["string", "n"])
 
     return run
 
 
+def _by_key(own: np.ndarray, at: np.ndarray, times: np.ndarray, key) -> pa.RecordBatch:
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, int)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(own)), pa.int32()), pa.array(at.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array([key(i) for i in own[first].tolist()], pa.binary()), lists, pa.array(times[first].astype(np.int64))], names=["key", "at", "times"])
+
+
+def _often(length: int, hot: np.ndarray):
+    """Where contexts hold the strings that most contexts hold; those are repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _sliced(batches, 200):
+            found, own, at, times = _digests(part, length)
+            hit = np.isin(found, hot)
+            yield _by_key(own[hit], at[hit], times[hit], part.column("key").to_pylist().__getitem__)
+
+    return run
+
+
+def _dealt(length: int, hot: np.ndarray, parts: int):
+    """The other strings by part of the digests' range, packed: a row has some contexts' strings of a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _sliced(batches, 200):
+            found, own, at, times = _digests(part, length)
+            keys = np.frombuffer(b"".join(part.column("key").to_pylist()), "V16")
+            to = (np.ascontiguousarray(found).view(np.uint64)[::2] % np.uint64(parts)).astype(np.int64)
+            to[np.isin(found, hot)] = parts
+            order = np.argsort(to, kind="stable")
+            cuts = np.searchsorted(to[order], np.arange(parts + 1))
+            full = np.flatnonzero(np.diff(cuts))
+            packed = lambda x: pa.array([x[order[cuts[p] : cuts[p + 1]]].tobytes() for p in full], pa.binary())  # noqa: E731,B023
+            yield pa.RecordBatch.from_arrays([pa.array(full), packed(found), packed(keys[own]), packed(at.astype(np.int32)), packed(times)], names=["part", "string", "keys", "at", "times"])
+
+    return run
+
+
+def _twice(table: pa.Table) -> pa.Table:
+    """Of the strings of a part, where those stand that are there twice."""
+    column = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
+    found, keys, at, times = column("string", "V16"), column("keys", "V16"), column("at", np.int32), column("times", np.int64)
+    _, of = np.unique(found, return_inverse=True)
+    hit = np.flatnonzero(np.bincount(of, times)[of] > 1)
+    key, own = np.unique(keys[hit], return_inverse=True)
+    order = np.argsort(own, kind="stable")
+    return pa.Table.from_batches([_by_key(own[order], at[hit[order]], times[hit[order]], key.tolist().__getitem__)])
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which strings of a context are repeated, from their places."""
+    for part in _sliced(batches, 1000):
+        bits = []
+        for at in part.column("at"):
+            at = np.asarray(at.values)
+            x = np.zeros(int(at.max()) + 1, bool)
+            x[at] = True
+            bits.append(np.packbits(x).tobytes())
+        yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(bits, pa.binary()), part.column("times")], names=["key", "bits", "times"])
+
+
 def _runs(length: int):
     """Byte spans that the repeated strings of an occurrence cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, firsts, bits = (batch.column(c).to_pylist() for c in ("node", "first", "bits"))
+        for part in _sliced(batches, 2000):
+            nodes, firsts, bits = (part.column(c).to_pylist() for c in ("node", "first", "bits"))
             own, start, end = [], [], []
             for node, first, b in zip(nodes, firsts, bits, strict=True):
                 x = np.concatenate([[0], np.unpackbits(np.frombuffer(b, np.uint8)), [0]]).astype(np.int8)
@@ -256,9 +342,9 @@ def _runs(length: int):
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for part in _sliced(batches):
         removed, count, kept = [], [], []
-        for raw, all_, spans in zip(batch.column("raw"), batch.column("all").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for raw, all_, spans in zip(part.column("raw"), part.column("all").to_pylist(), part.column("spans").to_pylist(), strict=True):
             raw = raw.as_buffer().to_pybytes()
             parts, at, gone, n = [], 0, 0, 0
             last = -1
@@ -273,7 +359,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(gone)
             count.append(n)
             kept.append(b"".join(parts))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), batch.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(count, pa.int64())], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(kept, pa.binary()), part.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(count, pa.int64())], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -285,19 +371,23 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     counted over the nodes; the texts around repeated ones are gathered under the anchor's
     name, equal surroundings once, and sorted by suffixes. A name with more different
     surroundings than one sort takes is judged string by string, by digest, so that no name
-    is ever in one task. A null text is empty; a null doc_id and repeated rows are rows as any;
-    an empty table gives no rows; other columns are not looked at.
+    is ever in one task; names, surroundings and texts that most rows have are joined by
+    broadcast (``hot_join``). A null text is empty; very long texts go through in parts; a null
+    doc_id and repeated rows are rows as any; an empty table gives no rows; other columns,
+    of whatever name, are not looked at.
     """
     spark = docs.sparkSession
     text = F.encode(body(), "utf-8")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("node"), text.alias("raw"))
-    found = rows.where(F.octet_length("raw") >= length).mapInArrow(_find(length), "node binary, doc_id long, anchors array<struct<name:long,first:int,n:int>>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("node"), text.alias("raw"), F.octet_length(text).cast("long").alias("n_bytes"))
+    long_ = rows.where(F.col("n_bytes") >= length)
+    found = long_.mapInArrow(_find(length), "node binary, doc_id long, anchors array<struct<name:long,first:int,n:int>>")
     nodes = cut(found.groupBy("node").agg(F.min(F.struct("doc_id", "anchors")).alias("x"), F.count("*").alias("copies")).select("node", "x.doc_id", "x.anchors", "copies"))
+    totals = nodes.agg(F.sum("copies").alias("rows"), F.sum(F.size("anchors")).alias("anchors")).first()
     each = nodes.select("node", F.explode("anchors").alias("a")).select("node", "a.name", "a.first", "a.n")
-    twice = each.groupBy("name").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("name")
-    kept = each.join(twice, "name").groupBy("node").agg(F.collect_list(F.struct("name", "first", "n")).alias("found"))
+    twice = cut(each.groupBy("name").agg(F.count("*").alias("k")).where(F.col("k") > 1))
+    kept = hot_join(each, twice, "name", "k", totals["anchors"] or 0, "left_semi").groupBy("node").agg(F.collect_list(F.struct("name", "first", "n")).alias("found"))
     kept = kept.join(nodes.select("node", "doc_id"), "node").withColumnRenamed("doc_id", "id").withColumnRenamed("node", "key")
-    texts = rows.join(kept, (rows["node"] == kept["key"]) & rows["doc_id"].eqNullSafe(kept["id"])).select("node", "raw", "found")
+    texts = long_.join(kept, (long_["node"] == kept["key"]) & long_["doc_id"].eqNullSafe(kept["id"])).select("node", "raw", "found")
     path = scratch(spark, "contexts")
     texts.mapInArrow(_contexts(length), "node binary, first int, name long, key binary, ctx binary").write.option("compression", "zstd").parquet(path)
     around = spark.read.parquet(path)
@@ -305,23 +395,31 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # One row of rows by (node, first) can be there twice only for repeated rows.
     distinct = around.dropDuplicates(["node", "first"]).groupBy("name", "key").agg(F.first("ctx").alias("ctx"), F.count("*").alias("times"))
     distinct = cut(distinct)
-    large = cut(distinct.groupBy("name").agg(F.sum(F.octet_length("ctx") + 1).alias("size")).where(F.col("size") > SORTED_BYTES).select("name"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    flags = distinct.join(large, "name", "left_anti").repartition(n, "name").sortWithinPartitions("name").mapInArrow(_sorted(length), "key binary, bits binary")
-    strings = distinct.join(large, "name", "left_semi").mapInArrow(_strings(length), "key binary, o int, string binary, times long")
-    double = strings.groupBy("string").agg(F.sum("times").alias("k")).where(F.col("k") > 1).select("string")
-    hot = strings.join(double, "string").select("key", F.col("o").alias("at"))
+    large = cut(distinct.groupBy("name").agg(F.sum(F.octet_length("ctx") + 1).alias("size"), F.count("*").alias("k")).where(F.col("size") > SORTED_BYTES))
+    n = partitions(spark)
+    flags = distinct.join(large, "name", "left_anti").repartition(n, "name").sortWithinPartitions("name").mapInArrow(_sorted(length), "key binary, bits binary, times long")
+    some = distinct.agg(F.count("*").alias("contexts"), F.sum("times").alias("times")).first()
+    # Names with more around them than one sort takes, string by string.
+    wide = cut(hot_join(distinct, large.select("name", "k"), "name", "k", some["contexts"], "left_semi"))
+    total = wide.agg(F.sum(F.octet_length("ctx") - (length - 1))).first()[0] or 0
+    often = wide.mapInArrow(_counted(length), "string binary, n long").groupBy("string").agg(F.sum("n").alias("n")).where(F.col("n") > F.lit(max(total // HOT, 1))).select("string").toArrow().column("string").to_pylist()
+    often = np.frombuffer(b"".join(often), "V16")  # fewer than HOT
+    where = "key binary, at array<int>, times long"
+    hot = wide.mapInArrow(_often(length, often), where).unionByName(wide.mapInArrow(_dealt(length, often, max(1, -(-total // STRINGS))), "part long, string binary, keys binary, at binary, times binary").groupBy("part").applyInArrow(_twice, where))
+    hot = hot.groupBy("key").agg(F.flatten(F.collect_list("at")).alias("at"), F.first("times").alias("times"))
+    flags = cut(flags.unionByName(hot.mapInArrow(_bits, "key binary, bits binary, times long")))
     spans = cut(
-        around.select("node", "first", "key").join(flags, "key").mapInArrow(_runs(length), "node binary, s long, e long")
-        .union(around.select("node", "first", "key").join(hot, "key").select("node", (F.col("first") + F.col("at")).cast("long").alias("s"), (F.col("first") + F.col("at") + length).cast("long").alias("e")))
+        hot_join(around.select("node", "first", "key"), flags, "key", "times", some["times"] or 0).mapInArrow(_runs(length), "node binary, s long, e long")
         .groupBy("node").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))
     )
     fs = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs.getFileSystem(spark._jsc.hadoopConfiguration()).delete(fs, True)
-    copied = nodes.where(F.col("copies") > 1).select("node", F.lit(True).alias("all"))
-    marked = spans.join(copied, "node", "full").select(F.col("node").alias("key"), "all", F.when(F.col("all").isNull(), F.col("spans")).alias("spans"))
-    out = rows.join(marked, rows["node"] == marked["key"], "left").select("doc_id", "raw", F.coalesce("all", F.lit(False)).alias("all"), "spans", F.octet_length("raw").cast("long").alias("n_bytes"))
-    return out.mapInArrow(_cut_out, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    copied = nodes.where(F.col("copies") > 1).select("node", "copies", F.lit(True).alias("all"))
+    marked = spans.join(copied, "node", "full").select("node", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("all", F.lit(False)).alias("all"), F.when(F.col("all").isNull(), F.col("spans")).alias("spans"))
+    out = hot_join(long_, marked, "node", "copies", totals["rows"] or 0, "left").select("doc_id", "raw", F.coalesce("all", F.lit(False)).alias("all"), "spans", "n_bytes").mapInArrow(_cut_out, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    zero = F.lit(0).cast("long")
+    short = rows.where(F.col("n_bytes") < length).select("doc_id", F.col("raw").alias("kept"), "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"))
+    return out.unionByName(short)
 
 
 def repeat_digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -259,6 +259,30 @@ def test_repeats_by_brute_force(spark, monkeypatch, sorted_bytes):
     assert [got[i] for i in range(len(made))] == brute([(t or "").encode() for t in made], 400)
 
 
+@pytest.mark.parametrize("sorted_bytes", [suffix_dedup.SORTED_BYTES, 5_000])
+def test_repeats_of_periodic_texts_and_a_common_passage(spark, monkeypatch, sorted_bytes):
+    monkeypatch.setattr(suffix_dedup, "SORTED_BYTES", sorted_bytes)
+    monkeypatch.setattr(suffix_dedup, "STRINGS", 3_000)
+    line, common = "0123456789 " * 5 + "the same line over and over\n", " ".join(words(70, 7))
+    made = ["abcdefghij" * 10_000, "abcdefghij" * 900 + "!", line * 300, "x" + line * 40, "z" * 30_000, common]
+    made += [" ".join(words(30, 300 + i)) + "qrs"[: i % 4] + common + " ".join(words(30, 400 + i)) for i in range(60)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.repeat_digest(docs_of(spark, made)).collect()}
+    assert [got[i] for i in range(len(made))] == brute([t.encode() for t in made], 400)
+
+
+def test_periodic_text_has_few_anchors():
+    for text in (b"abcdefghij" * 2_000, b"x" * 20_000, (b"y" * 59 + b"\n") * 300):
+        names, firsts, counts = suffix_dedup.anchors(text)
+        assert len(names) < 150 and counts.sum() == len(text) - 399 and firsts[0] == 0 and counts.max() <= 369
+
+
+def test_repeats_of_odd_rows(spark):
+    rows = docs_of(spark, ["x" * 500, None, "a" * 399, "x" * 500, "é" * 3, None], [1, 2, 3, 1, None, None]).withColumn("node", F.lit(1)).withColumn("raw", F.lit("r"))
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.repeat_digest(rows).collect())
+    assert got == {(1, 500, 500, 1): 2, (2, 0, 0, 0): 1, (3, 399, 0, 0): 1, (None, 6, 0, 0): 1, (None, 0, 0, 0): 1}
+    assert suffix_dedup.repeat_digest(rows.limit(0)).count() == 0
+
+
 def test_suffix_ranks():
     rng = np.random.default_rng(1)
     for n in (1, 2, 5, 6, 7, 50, 333):
