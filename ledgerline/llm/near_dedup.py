@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, cut, tidy
+from .common import body, cut, small_batches, tidy
 from .exact_dedup import keepers
 from .words import SPACE, Block, blocks, mix
 
@@ -121,9 +121,9 @@ def _local(share: float):
 
         for batch in batches:
             docs += batch.num_rows
-            for _, b in blocks(batch.column("text").to_pylist(), ~SPACE):
+            for _, b in blocks(batch.column("text"), ~SPACE):
                 held.append(shingles(b)[1])  # times, not texts: at least as many
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > 1_000_000:
                 kept, held = merge(kept, held), []
         h, n = merge(kept, held)
         h = h[n >= max(1, int(np.ceil(share * docs)))]
@@ -138,7 +138,7 @@ def _global(shared):
         known = shared.value
         n = np.zeros(len(known), np.int64)
         for batch in batches:
-            for _, b in blocks(batch.column("text").to_pylist(), ~SPACE):
+            for _, b in blocks(batch.column("text"), ~SPACE):
                 doc, h = shingles(b)
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 found = np.flatnonzero(known[at] == h)
@@ -183,7 +183,7 @@ def _sign(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, ids = batch.column("node"), batch.column("doc_id")
-            for which, b in blocks(batch.column("text").to_pylist(), ~SPACE, CACHED):
+            for which, b in blocks(batch.column("text"), ~SPACE, CACHED):
                 doc, h, times = counted(b)
                 w = weights(h, times, shared.value)
                 who, sample = samples(doc, h, w)
@@ -203,7 +203,7 @@ def _pack(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column("node").to_pylist()
-            for which, b in blocks(batch.column("text").to_pylist(), ~SPACE):
+            for which, b in blocks(batch.column("text"), ~SPACE):
                 doc, h, times = counted(b)
                 w = weights(h, times, shared.value).astype(np.float32)
                 cuts = np.searchsorted(doc, np.arange(b.n + 1))
@@ -326,7 +326,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     empty; rows with a null doc_id belong to a class but never name it. Repeated rows are
     rows of one class. An empty table gives no rows.
     """
-    signed, named = classed_nodes(docs, similarity)
+    with small_batches(docs.sparkSession):
+        signed, named = classed_nodes(docs, similarity)
     ids = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
     of_node = named.join(ids, "label").select("node", "class_id", "class_size")
     return signed.select("doc_id", "node").join(of_node, "node").select("doc_id", "class_id", "class_size")
@@ -414,7 +415,8 @@ def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataF
     Rows are told apart by doc_id and text, so an id with two texts loses the near copy only.
     Of a class without ids one row stays.
     """
-    named = classed_nodes(docs, similarity)[1]
+    with small_batches(docs.sparkSession):
+        named = classed_nodes(docs, similarity)[1]
     first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("x"))
     found = cut(first.select(F.col("x.node").alias("__node"), F.col("x.doc_id").alias("__keep")))
     rows = docs.withColumn("__node", node_of(F.lower(body())))

@@ -81,8 +81,8 @@ def passages(b: Block) -> tuple[np.ndarray, np.ndarray]:
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, ids, y = (batch.column(n).to_pylist() for n in ("text", "doc_id", "y"))
-        for which, b in blocks(texts, ~SPACE):
+        ids, y = (batch.column(n).to_pylist() for n in ("doc_id", "y"))
+        for which, b in blocks(batch.column("text"), ~SPACE):
             x, own = passages(b)
             cuts = np.searchsorted(own, np.arange(b.n + 1))
             yield pa.RecordBatch.from_arrays([pa.array(ids[which], pa.int64()), pa.array(y[which], pa.int32()), pa.array([x[cuts[i] : cuts[i + 1]].astype(np.float32).tobytes() for i in range(b.n)], pa.binary())], names=["doc_id", "y", "bag"])

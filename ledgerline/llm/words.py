@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -80,14 +81,24 @@ class Block:
         return mix((self._sum[end] - self._sum[start]) * self._down[start])
 
 
-def blocks(texts: Sequence[str], inside: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[slice, Block]]:
+def encoded(texts: Sequence[str] | pa.Array) -> Iterator[bytes]:
+    """The UTF-8 bytes of each text, a few at a time out of an Arrow array."""
+    if isinstance(texts, pa.Array):
+        for i in range(0, len(texts), 100):
+            yield from (x or b"" for x in texts.slice(i, 100).cast(pa.binary()).to_pylist())
+    else:
+        for t in texts:
+            yield t.encode("utf-8", "surrogatepass")
+
+
+def blocks(texts: Sequence[str] | pa.Array, inside: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[slice, Block]]:
     """Runs of texts of about ``limit`` bytes (one text at least), as (which, block)."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    i = 0
-    while i < len(raw):
-        j, size = i, 0
-        while j < len(raw) and (j == i or size + len(raw[j]) < limit):
-            size += len(raw[j]) + 1
-            j += 1
-        yield slice(i, j), Block(raw[i:j], inside)
-        i = j
+    first, size, held = 0, 0, []
+    for raw in encoded(texts):
+        if held and size + len(raw) >= limit:
+            yield slice(first, first + len(held)), Block(held, inside)
+            first, size, held = first + len(held), 0, []
+        held.append(raw)
+        size += len(raw) + 1
+    if held:
+        yield slice(first, first + len(held)), Block(held, inside)
