@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from .common import body, cut
 
 STEPS = 40  # halvings of the exponent's interval
+HALVINGS = 4  # of them that one aggregate serves
+FEW = 10_000  # sources whose weights are broadcast; the weights of more are joined by source
 BLOCKS = 16  # blocks of the mixed stream, each with the target weights
 PASSES = 2.0  # how often a source may be repeated
 CHUNK_ROWS = 20_000
@@ -31,17 +34,17 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), tokens().alias("n"))
 
 
-def measured(totals: DataFrame, exponent: float) -> tuple[float, float]:
-    """(entropy, most passes) of the weights that shares to the ``exponent`` give.
+def measured(totals: DataFrame, points: Sequence[float]) -> list[tuple[float, float]]:
+    """(entropy, most passes) of the weights that shares to each exponent of ``points`` give.
 
     Passes are those over the most repeated source when no source has less than one.
-    ``totals`` has a row for each source with its share ``p``.
+    ``totals`` has a row for each source with its share ``p``. One aggregate serves all points.
     """
-    x = F.pow(F.col("p"), F.lit(exponent))
-    r = totals.agg(F.sum(x).alias("z"), F.sum(x * F.ln(x)).alias("xl"), F.max(x / F.col("p")).alias("hi"), F.min(x / F.col("p")).alias("lo")).first()
-    if not r["z"]:
-        return 0.0, 1.0
-    return math.log(r["z"]) - r["xl"] / r["z"], r["hi"] / r["lo"]
+    x = F.pow(F.col("p"), F.col("e"))
+    every = totals.withColumn("e", F.explode(F.array(*map(F.lit, points))))
+    rows = every.groupBy("e").agg(F.sum(x).alias("z"), F.sum(x * F.ln(x)).alias("xl"), F.max(x / F.col("p")).alias("hi"), F.min(x / F.col("p")).alias("lo")).collect()
+    found = {r["e"]: (math.log(r["z"]) - r["xl"] / r["z"], r["hi"] / r["lo"]) for r in rows if r["z"]}
+    return [found.get(e, (0.0, 1.0)) for e in points]
 
 
 def exponent(totals: DataFrame, passes: float | None = PASSES, entropy: float | None = None, steps: int = STEPS) -> float:
@@ -49,20 +52,20 @@ def exponent(totals: DataFrame, passes: float | None = PASSES, entropy: float |
 
     1 keeps the natural shares, 0 makes all sources equal. ``passes`` bounds the repetition of
     any source; ``entropy`` (nats) is what the weights' entropy need not exceed. Both fall as the
-    exponent grows. Each step is one aggregate over the table of sources.
+    exponent grows. The interval is halved four times by each aggregate over the table of sources.
     """
-
-    def meets(t: float) -> bool:
-        h, most = measured(totals, t)
-        return (passes is None or most <= passes + 1e-12) and (entropy is None or h <= entropy + 1e-12)
-
-    if meets(0.0):
-        return 0.0
-    low, high = 0.0, 1.0
-    for _ in range(steps):
-        mid = (low + high) / 2
-        low, high = (low, mid) if meets(mid) else (mid, high)
-    return high
+    low, width = 0.0, 1.0
+    for step in range(0, steps, HALVINGS):
+        n = 1 << min(HALVINGS, steps - step)
+        points = [low + width * i / n for i in range(0 if not step else 1, n)]
+        fits = [(passes is None or most <= passes + 1e-12) and (entropy is None or h <= entropy + 1e-12) for h, most in measured(totals, points)]
+        if not step and fits[0]:
+            return 0.0
+        # The last point is known to meet the limits, or is 1.
+        first = next((e for e, ok in zip(points, fits, strict=True) if ok), low + width)
+        width /= n
+        low = first - width
+    return low + width
 
 
 def mix(docs: DataFrame, passes: float | None = PASSES, entropy: float | None = None, budget: int | None = None, blocks: int = BLOCKS, seed: int = 0) -> DataFrame:
@@ -80,7 +83,7 @@ def mix(docs: DataFrame, passes: float | None = PASSES, entropy: float | None =
     """
     rows = sized(docs)
     totals = cut(rows.groupBy("source").agg(F.sum("n").alias("t"), F.count("*").alias("k")))
-    whole = totals.agg(F.sum("t").alias("t"), F.sum("k").alias("k")).first()
+    whole = totals.agg(F.sum("t").alias("t"), F.sum("k").alias("k"), F.count("*").alias("sources")).first()
     shares = totals.withColumn("p", F.col("t") / F.lit(float(whole["t"] or 1)))
     power = exponent(shares, passes, entropy)
     x = F.pow("p", F.lit(power))
@@ -90,7 +93,9 @@ def mix(docs: DataFrame, passes: float | None = PASSES, entropy: float | None =
     part = F.round(x / F.lit(z["z"] or 1.0) * F.lit(spend) / F.col("t"), 9)
     parts = cut(shares.select("source", "t", part.alias("rounds")))
     chunks = max(8, -(-(whole["k"] or 0) // CHUNK_ROWS))
-    taken = rows.join(parts, "source").withColumn("pass", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("rounds") - 1, F.lit(0)).cast("int")))).where(F.col("rounds") > 0)
+    # Rows stay where they are where the sources are few; of very many none holds most rows.
+    weighed = rows.join(F.broadcast(parts) if whole["sources"] <= FEW else parts, "source")
+    taken = weighed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("rounds") - 1, F.lit(0)).cast("int")))).where(F.col("rounds") > 0)
     taken = taken.withColumn("h", hashed(F.lit(seed), "pass", "doc_id")).withColumn("chunk", F.floor(F.col("h") / F.lit(2.0**60) * chunks).cast("int"))
     sums = taken.groupBy("source", "pass", "chunk").agg(F.sum("n").alias("s"))
     before = Window.partitionBy("source", "pass").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
