@@ -17,9 +17,12 @@ def lines(text="text"):
 def windows(docs: DataFrame, width: int = LINES) -> DataFrame:
     """doc_id, pos (from 0), w: a hash of each run of ``width`` lines of each text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines().alias("ls")).where(F.size("ls") >= width)
+    # Lists are zipped and not looked up line by line: work stays linear in the lines.
+    joined = F.slice("ls", F.lit(1), F.size("ls") - width + 1)
+    for k in range(1, width):
+        joined = F.zip_with(joined, F.slice("ls", F.lit(k + 1), F.size("ls") - width + 1), lambda x, y: F.concat(x, F.lit("\n"), y))
     # 128 bits: two runs that differ meet by chance in no corpus.
-    key = lambda i: F.md5(F.array_join(F.slice(F.col("ls"), i + 1, width), "\n"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size("ls") - width), lambda i: F.struct(i.alias("pos"), key(i).alias("w")))
+    pairs = F.transform(joined, lambda x, i: F.struct(i.alias("pos"), F.md5(x).alias("w")))
     return rows.select("doc_id", F.explode(pairs).alias("x")).select("doc_id", "x.pos", F.unhex("x.w").alias("w"))
 
 
@@ -31,10 +34,16 @@ def repeats(docs: DataFrame, width: int = LINES) -> DataFrame:
 
 
 def covered(docs: DataFrame, width: int = LINES) -> DataFrame:
-    """doc_id, gone: the line numbers that its repeated windows cover, each once, in order."""
-    starts = repeats(docs, width).groupBy("doc_id").agg(F.collect_set("pos").alias("p"))
-    spread = F.flatten(F.transform("p", lambda i: F.sequence(i, i + width - 1)))
-    return starts.select("doc_id", F.array_sort(F.array_distinct(spread)).alias("gone"))
+    """doc_id, p: the first lines of its repeated windows, each once, in order."""
+    return repeats(docs, width).groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("p"))
+
+
+def kept_runs(p, n, width: int = LINES):
+    """(start, count) of the runs of lines that no window starting at one of ``p`` covers, of ``n`` lines."""
+    # Of repeated rows one may have fewer lines than another has windows: no run ends beyond n.
+    after = F.transform(p, lambda x, i: F.struct((x + width).alias("s"), F.least(F.get(p, i + 1), n).alias("e")))
+    runs = F.concat(F.array(F.struct(F.lit(0).alias("s"), F.least(F.get(p, F.lit(0)), n).alias("e"))), after)
+    return F.transform(F.filter(runs, lambda r: r["e"] > r["s"]), lambda r: F.struct(r["s"].alias("s"), (r["e"] - r["s"]).alias("n")))
 
 
 def deduplicated_lines(docs: DataFrame, width: int = LINES) -> DataFrame:
@@ -44,15 +53,19 @@ def deduplicated_lines(docs: DataFrame, width: int = LINES) -> DataFrame:
     (doc_id, line) stays; the others go, and a line goes once any of its runs does. Texts of
     fewer lines stay as they are; a null text is an empty line. Rows with a null doc_id
     stay whole and make nothing repeat. Repeated rows of one doc_id lose the lines that any
-    of them loses, and do not count against each other at the same line. An empty table
-    gives no rows; other columns are not looked at.
+    of them loses, and do not count against each other at the same line. Work grows with a
+    text's lines and no faster. An empty table gives no rows; other columns, of whatever
+    name, are not looked at.
     """
     rows = docs.where(F.col("doc_id").isNotNull())
     gone = cut(covered(rows, width))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines().alias("ls")).join(gone.withColumnRenamed("doc_id", "g"), F.col("doc_id") == F.col("g"), "left")
-    left = F.transform(F.filter(F.transform("ls", lambda l, i: F.struct(i.alias("i"), l.alias("l"))), lambda x: ~F.array_contains("gone", x["i"])), lambda x: x["l"])
-    text = F.when(F.col("gone").isNull(), F.array_join("ls", "\n")).otherwise(F.array_join(left, "\n"))
-    return out.select("doc_id", text.alias("text"), F.size("ls").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    size = F.size("ls")
+    out = out.withColumn("runs", F.when(F.col("p").isNotNull(), kept_runs(F.col("p"), size, width)))
+    left = F.flatten(F.transform("runs", lambda r: F.slice(F.col("ls"), r["s"] + 1, r["n"])))
+    count = F.aggregate("runs", F.lit(0), lambda a, r: a + r["n"])
+    text = F.when(F.col("p").isNull(), F.array_join("ls", "\n")).otherwise(F.array_join(left, "\n"))
+    return out.select("doc_id", text.alias("text"), size.cast("long").alias("n_lines"), F.coalesce(size - count, F.lit(0)).cast("long").alias("n_removed"))
 
 
 def line_digest(docs: DataFrame, width: int = LINES) -> DataFrame:
