@@ -39,77 +39,140 @@ def word_features(b: Block) -> np.ndarray:
     return (np.stack(rows) >> np.uint64(46)).astype(np.int64)
 
 
-def term_features(term: str) -> np.ndarray:
-    return np.unique(word_features(Block([term.lower().encode()], LETTER)))
-
-
-def swaps(identity: Sequence[Sequence[str]]) -> list[tuple[str, str]]:
-    """(term, what replaces it): the next of its group and the neutral one."""
-    out = []
+def swaps(identity: Sequence[Sequence[str]]) -> dict[str, list[str]]:
+    """What replaces each term: the next of its groups and their neutral ones."""
+    out: dict[str, set[str]] = {}
     for group in identity:
         for i, term in enumerate(group):
-            out += [(term, other) for other in {group[(i + 1) % len(group)], group[0]} - {term}]
-    return sorted(set(out))
-
-
-def _examples(terms: list[str]):
-    known = {int(Block([t.lower().encode()], LETTER).hashes(np.array([0]), np.array([len(t.lower().encode())]))[0]): i for i, t in enumerate(terms)}
-    keys = np.array(sorted(known), np.uint64)
+            out.setdefault(term, set()).update({group[(i + 1) % len(group)], group[0]} - {term})
+    return {term: sorted(others) for term, others in out.items()}
+
+
+def unique_slots(b: Block) -> list[np.ndarray]:
+    """The distinct slots of each text."""
+    found = np.unique((b.doc[None] * SLOTS + word_features(b)).ravel())
+    cuts = np.searchsorted(found, np.arange(b.n + 1) * SLOTS)
+    return [(found[cuts[i] : cuts[i + 1]] % SLOTS).astype(np.int32) for i in range(b.n)]
+
+
+def counterfactuals(b: Block, identity: Sequence[Sequence[str]]) -> tuple[list[int], list[bytes]]:
+    """(text, the text with one of its terms replaced wherever it stands), for each swap."""
+    others = swaps(identity)
+    raw = {t: t.lower().encode() for t in others}
+    known = {int(Block([r], LETTER).hashes(np.array([0]), np.array([len(r)]))[0]): t for t, r in raw.items()}
+    h = b.hashes(b.start, b.end)
+    held: dict[tuple[int, str], list[int]] = {}
+    for i in np.flatnonzero(np.isin(h, np.array(sorted(known), np.uint64))).tolist():
+        held.setdefault((int(b.doc[i]), known[int(h[i])]), []).append(i)
+    who, texts, data = [], [], b.a.tobytes()
+    for (doc, term), at in held.items():
+        begin, end = int(b.first[doc]), int(b.first[doc] + b.sizes[doc])
+        for other in others[term]:
+            parts, last = [], begin
+            for i in at:
+                parts += [data[last : b.start[i]], raw[other]]
+                last = int(b.end[i])
+            who.append(doc)
+            texts.append(b"".join([*parts, data[last:end]]))
+    return who, texts
+
+
+def _examples(identity: Sequence[Sequence[str]]):
+    """Labelled texts: their slots, and for each swap what it takes from them and adds."""
+    kind = pa.list_(pa.list_(pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, y = batch.column("text").to_pylist(), batch.column("y").to_pylist()
-            for which, b in blocks(texts, LETTER):
-                slots = word_features(b)
-                found = np.unique((b.doc[None] * SLOTS + slots).ravel())
-                cuts = np.searchsorted(found, np.arange(b.n + 1) * SLOTS)
-                h = b.hashes(b.start, b.end)
-                at = np.flatnonzero(np.isin(h, keys))
-                held: dict[int, set[int]] = {}
-                for doc, x in zip(b.doc[at].tolist(), h[at].tolist(), strict=True):
-                    held.setdefault(doc, set()).add(known[x])
-                yield pa.RecordBatch.from_arrays([pa.array(y[which], pa.int32()), pa.array([(found[cuts[i] : cuts[i + 1]] % SLOTS).astype(np.int32) for i in range(b.n)], pa.list_(pa.int32())), pa.array([sorted(held.get(i, ())) for i in range(b.n)], pa.list_(pa.int32()))], names=["y", "slots", "terms"])
+            y = batch.column("y").to_pylist()
+            for which, b in blocks(batch.column("text"), LETTER):
+                own = unique_slots(b)
+                lost: list[list] = [[] for _ in own]
+                gained: list[list] = [[] for _ in own]
+                who, texts = counterfactuals(b, identity)
+                for i, text in zip(who, texts, strict=True):
+                    new = unique_slots(Block([text], LETTER))[0]
+                    lost[i].append(np.setdiff1d(own[i], new))
+                    gained[i].append(np.setdiff1d(new, own[i]))
+                yield pa.RecordBatch.from_arrays([pa.array(y[which], pa.int32()), pa.array(own, pa.list_(pa.int32())), pa.array(lost, kind), pa.array(gained, kind)], names=["y", "slots", "lost", "gained"])
 
     return run
 
 
-def train(y: np.ndarray, slots: list[np.ndarray], terms: list[list[int]], identity: Sequence[Sequence[str]] = IDENTITY, strength: float = 4.0, rounds: int = 200, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch Adam on log loss, plus the counterfactual penalty.
+EXAMPLE = "y int, slots array<int>, lost array<array<int>>, gained array<array<int>>"
+
+
+class Examples:
+    """Labelled texts as flat arrays: ``who`` and ``slot`` of each feature; of each swap the text
+    ``row`` it is of and, in ``swap``, ``changed`` and ``sign``, the slots it takes (-1) and adds (1)."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        n = rows.num_rows
+        self.y = np.asarray(rows.column("y").combine_chunks(), np.float64) if n else np.empty(0)
+        flat = lambda c: np.asarray(c.flatten(), np.int64)
+        sizes = lambda c: np.asarray([len(x) for x in c] if len(c) else [], np.int64)
+        column = lambda name: rows.column(name).combine_chunks()
+        self.who, self.slot = (np.repeat(np.arange(n), sizes(column("slots"))), flat(column("slots"))) if n else (np.empty(0, int), np.empty(0, int))
+        self.row = np.repeat(np.arange(n), sizes(column("lost"))) if n else np.empty(0, int)
+        parts = [(column(c).flatten(), s) for c, s in (("lost", -1.0), ("gained", 1.0))] if n else []
+        self.swap = np.concatenate([np.empty(0, int), *(np.repeat(np.arange(len(c)), sizes(c)) for c, _ in parts)])
+        self.changed = np.concatenate([np.empty(0, int), *(flat(c) for c, _ in parts)])
+        self.sign = np.concatenate([np.empty(0), *(np.full(len(flat(c)), s) for c, s in parts)])
 
-    The penalty is ``strength`` times the mean, over labelled texts and the swaps of the terms
-    they hold, of the squared change of the score. Only features that at least three texts
-    hold and whose chi-square with the label reaches ``CHI`` get a weight; ``decay`` is the
-    penalty on the weights' squares.
+    def only(self, kept: np.ndarray) -> None:
+        """Forget the slots that ``kept`` does not mark."""
+        self.who, self.slot = self.who[kept[self.slot]], self.slot[kept[self.slot]]
+        use = kept[self.changed]
+        self.swap, self.changed, self.sign = self.swap[use], self.changed[use], self.sign[use]
+
+
+def _chance(logit: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+def loss(w: np.ndarray, bias: float, x: Examples, strength: float) -> tuple[float, np.ndarray, float]:
+    """(loss, its gradient by weight, by bias): mean log loss plus ``strength`` times the mean
+    squared change of the score over the swaps, in chance and in log odds. The chance alone
+    would not show what a term does in texts that are certain without it.
     """
-    w, bias = np.zeros(SLOTS), 0.0
+    n, swaps_ = len(x.y), len(x.row)
+    logit = np.bincount(x.who, w[x.slot], minlength=n) + bias
+    p = _chance(logit)
+    total = -np.mean(x.y * np.log(p) + (1 - x.y) * np.log1p(-p))
+    g, grad = (p - x.y) / n, np.zeros(len(w))
+    if swaps_:
+        swing = np.bincount(x.swap, x.sign * w[x.changed], minlength=swaps_)
+        other = _chance(logit[x.row] + swing)
+        gap = p[x.row] - other
+        total += strength * np.mean(gap**2 + swing**2)
+        slope = 2 * strength / swaps_ * gap
+        of_other = -slope * other * (1 - other)
+        g = g + np.bincount(x.row, slope * (p * (1 - p))[x.row] + of_other, minlength=n)
+        grad += np.bincount(x.changed, x.sign * (of_other + 2 * strength / swaps_ * swing)[x.swap], minlength=len(w))
+    return float(total), grad + np.bincount(x.slot, g[x.who], minlength=len(w)), float(g.sum())
+
+
+def train(x: Examples, strength: float = 4.0, rounds: int = 200, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights and bias by full-batch Adam on ``loss``.
+
+    The counterfactual penalty is on labelled texts whose identity terms were replaced and whose
+    features were worked out anew. Only features that at least three texts hold and whose
+    chi-square with the label reaches ``CHI`` get a weight; ``decay`` is the penalty on the
+    weights' squares.
+    """
+    y, w = x.y, np.zeros(SLOTS)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.1
         return w, float(np.log(share / (1 - share)))
-    names = sorted({t for g in identity for t in g})
-    often = np.bincount(np.array([t for row in terms for t in row], np.int64), minlength=len(names))
-    pairs = []
-    for a, b in swaps(identity):
-        if n := often[names.index(a)]:
-            fa, fb = term_features(a), term_features(b)
-            pairs.append((n / len(y), np.setdiff1d(fa, fb), np.setdiff1d(fb, fa)))
-    sizes = np.array([len(s) for s in slots])
-    flat = np.concatenate(slots).astype(np.int64)
-    held, held_bad, share = np.bincount(flat, minlength=SLOTS), np.bincount(flat, np.repeat(y, sizes), minlength=SLOTS), y.mean()
+    held, held_bad, share = np.bincount(x.slot, minlength=SLOTS), np.bincount(x.slot, y[x.who], minlength=SLOTS), y.mean()
     odd = (held_bad - held * share) ** 2 / np.maximum(held * share * (1 - share), 1e-9)
     common = (held >= 3) & (odd >= CHI)
-    who = np.repeat(np.arange(len(y)), sizes)[common[flat]]
-    flat = flat[common[flat]]
+    x.only(common)
     m1, m2, b1, b2 = np.zeros(SLOTS), np.zeros(SLOTS), 0.0, 0.0
-    bias = float(np.log(y.mean() / (1 - y.mean())))
+    bias = float(np.log(share / (1 - share)))
     for step in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(who, w[flat], minlength=len(y)) + bias, -30, 30)))
-        g = (p - y) / len(y)
-        grad = np.bincount(flat, g[who], minlength=SLOTS) + decay * w / max(common.sum(), 1)
-        for share, plus, minus in pairs:
-            change = 2 * strength * share * (w[plus].sum() - w[minus].sum())
-            grad[plus] += change
-            grad[minus] -= change
-        gb = g.sum()
+        _, grad, gb = loss(w, bias, x, strength)
+        grad += decay * w / max(common.sum(), 1)
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
         b1, b2 = 0.9 * b1 + 0.1 * gb, 0.99 * b2 + 0.01 * gb * gb
         a, c = 1 - 0.9**step, 1 - 0.99**step
@@ -125,19 +188,15 @@ def scores(texts: Sequence[str], w: np.ndarray, bias: float) -> np.ndarray:
         key = (b.doc[None] * SLOTS + slots)[w[slots] != 0]
         found = np.unique(key)
         logit = np.bincount(found // SLOTS, w[found % SLOTS], minlength=b.n) + bias
-        out[which] = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        out[which] = _chance(logit)
     return out
 
 
 def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, identity: Sequence[Sequence[str]] = IDENTITY):
     """A column function text -> score, learned from at most ``train_rows`` labelled rows
     whose fold is not the held-out one."""
-    names = sorted({t for g in identity for t in g})
-    rows = sample(docs, labels, "toxic", fold(4) != 2, train_rows).select("text", "y").mapInArrow(_examples(names), "y int, slots array<int>, terms array<int>").toArrow()
-    y = np.asarray(rows.column("y").combine_chunks(), np.float64) if rows.num_rows else np.empty(0)
-    slots = [np.asarray(x.values) for x in rows.column("slots")] if rows.num_rows else []
-    w, bias = train(y, slots, rows.column("terms").to_pylist() if rows.num_rows else [], identity)
-    model = docs.sparkSession.sparkContext.broadcast((w, bias))
+    rows = sample(docs, labels, "toxic", fold(4) != 2, train_rows).select(F.lower("text").alias("text"), "y").mapInArrow(_examples(identity), EXAMPLE).toArrow()
+    model = docs.sparkSession.sparkContext.broadcast(train(Examples(rows)))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
@@ -149,8 +208,10 @@ def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, ide
 def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of ``docs``.
 
-    A null text is empty; an empty text scores by the bias. A null id is not held out. Without
-    labels of both kinds every text gets the base rate. Only text is looked at for a score.
+    A null text is empty; an empty text scores by the bias. Whole texts are scored, however
+    long. A null id is not held out; repeated rows are scored each for itself. Without labels
+    of both kinds every text gets the base rate; an empty table gives no rows. Only text is
+    looked at for a score; other columns, of whatever name, are not.
     """
     score = fitted(docs, labels, train_rows)
     rows = docs.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), score().alias("score"))
@@ -158,6 +219,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
 
 
 def civil(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    """The rows of ``docs`` that are not predicted toxic, with all their columns.
+
+    Null and empty texts score by the bias as in ``toxicity`` and stay while that is low;
+    repeated rows stay or go together.
+    """
     score = fitted(docs, labels, train_rows)
     return docs.where(score() < THRESHOLD)
