@@ -103,6 +103,19 @@ def forward(x: np.ndarray, own: np.ndarray, n: int, m: dict[str, np.ndarray]) ->
     return z, h, t, s, att, bag, bag @ m["c"] + m["c0"], first
 
 
+def gradients(x: np.ndarray, own: np.ndarray, y: np.ndarray, m: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Of the mean log loss of ``y``, by each array of the model."""
+    z, h, t, s, att, bag, logit, first = forward(x, own, len(y), m)
+    g = (1 / (1 + np.exp(-logit)) - y) / len(y)
+    d_bag = g[:, None] * m["c"]
+    d_att = (d_bag[own] * h).sum(1)
+    d_e = att * (d_att - np.add.reduceat(att * d_att, first)[own])
+    d_t, d_s = d_e[:, None] * m["a"] * s * (1 - t * t), d_e[:, None] * m["a"] * t * s * (1 - s)
+    d_h = att[:, None] * d_bag[own] + d_t @ m["V"].T + d_s @ m["U"].T
+    d_z = d_h * (1 - h * h)
+    return {"W": z.T @ d_z, "w0": d_z.sum(0), "V": h.T @ d_t, "U": h.T @ d_s, "a": (t * s).T @ d_e, "c": bag.T @ g, "c0": np.array([g.sum()])}
+
+
 def train(y: np.ndarray, bags: list[np.ndarray], epochs: int = 15, batch: int = 128, rate: float = 5e-3, decay: float = 1e-4, seed: int = 7) -> dict[str, np.ndarray]:
     """Gated attention by Adam on log loss of document labels."""
     rng = np.random.default_rng(seed)
@@ -121,15 +134,7 @@ def train(y: np.ndarray, bags: list[np.ndarray], epochs: int = 15, batch: int =
         for i in range(0, len(y), batch):
             pick = order[i : i + batch]
             x, own = np.concatenate([bags[j] for j in pick]), np.repeat(np.arange(len(pick)), [len(bags[j]) for j in pick])
-            z, h, t, s, att, bag, logit, first = forward(x, own, len(pick), m | fixed)
-            g = (1 / (1 + np.exp(-logit)) - y[pick]) / len(pick)
-            d_bag = g[:, None] * m["c"]
-            d_att = (d_bag[own] * h).sum(1)
-            d_e = att * (d_att - np.add.reduceat(att * d_att, first)[own])
-            d_t, d_s = d_e[:, None] * m["a"] * s * (1 - t * t), d_e[:, None] * m["a"] * t * s * (1 - s)
-            d_h = att[:, None] * d_bag[own] + d_t @ m["V"].T + d_s @ m["U"].T
-            d_z = d_h * (1 - h * h)
-            grads = {"W": z.T @ d_z, "w0": d_z.sum(0), "V": h.T @ d_t, "U": h.T @ d_s, "a": (t * s).T @ d_e, "c": bag.T @ g, "c0": np.array([g.sum()])}
+            grads = gradients(x, own, y[pick], m | fixed)
             step += 1
             for k, grad in grads.items():
                 a, b = mom[k]
@@ -166,9 +171,10 @@ def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
 def quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of ``docs``.
 
-    A null text is empty; a text without words is one passage of zeros. A null id is not
-    held out. Without labels of both kinds every text gets the base rate. Only text is
-    looked at for a score.
+    A null text is empty; a text without words is one passage of zeros; of a long text every
+    passage counts. A null id is not held out; repeated rows are scored each for itself.
+    Without labels of both kinds every text gets the base rate; an empty table gives no rows.
+    Only text is looked at for a score; other columns, of whatever name, are not.
     """
     score = fitted(docs, labels, train_rows)
     rows = docs.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), score().alias("score"))
