@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 PIVOTS = 32
-BLOCK = 8_192  # data rows that one local join holds at most, about
+BLOCK = 8_192  # data rows, and queries, that one local join holds at most, about
+WIDE = 0.5  # share of all rows that a query group wants at least where groups are merged
 SLACK = 1e-6  # relative, for rounding of distances
 
 
@@ -69,12 +70,14 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = PIVOTS
 
     Inner products become distances by one more coordinate. Data and queries go to the nearest
     of a few pivots. Summaries by group (counts, ranges of distances to each pivot, the k + 1
-    smallest of them) bound how far a group's answers can lie, and a data row is copied only
-    to the query groups within whose bound it can be. Groups of copies are dealt out in
-    blocks; each block is solved by itself and the blocks' answers are merged. Vectors that
-    are null or hold nulls or non-finite parts take no part; shorter ones count as filled up
-    with zeros. Rows with equal vec_id are rows of their own, but none is a candidate for a query
-    of its id. An empty table gives no rows.
+    smallest of them, of different ids) bound how far a group's answers can lie, and a data row
+    is copied only to the query groups within whose bound it can be. Query groups that would
+    need most rows each become one, so a row goes there once. Groups of copies and of queries
+    are dealt out in blocks; each pair of blocks is solved by itself and the answers are merged.
+    Vectors that are null or hold nulls or non-finite parts take no part; shorter ones count as
+    filled up with zeros. Rows with equal vec_id are rows of their own, but none is a candidate
+    for a query of its id; of equal scores the smaller vec_id comes first. An empty table gives
+    no rows; other columns are not looked at.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
@@ -107,18 +110,18 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = PIVOTS
     data = cut(rows.mapInPandas(assign, "vec_id long, v binary, home int, d double"))
     queries = cut(rows.where(is_query).mapInPandas(assign_queries, "vec_id long, v binary, home int, far array<double>"))
 
-    # Summaries: of the data, the k + 1 smallest distances of each group; of the queries, ranges.
-    smallest = Window.partitionBy("home").orderBy("d")
+    # Summaries: of the data, the k + 1 smallest distances of each group, of different ids, as only
+    # one of them can be a query's own; of the queries, ranges.
+    smallest = Window.partitionBy("home").orderBy("d", "vec_id")
 
     def nearest(frames):
         keep = {}
         for f in frames:
-            for home, d in f.groupby("home")["d"]:
-                keep[home] = np.sort(np.r_[keep.get(home, []), d.to_numpy()])[: k + 1]
-        if keep:
-            yield pd.DataFrame([(h, x) for h, ds in keep.items() for x in ds], columns=["home", "d"])
+            for home, g in f.groupby("home"):
+                keep[home] = pd.concat([keep[home], g] if home in keep else [g]).sort_values(["d", "vec_id"]).drop_duplicates("vec_id").head(k + 1)
+        yield from keep.values()
 
-    near = data.select("home", "d").mapInPandas(nearest, "home int, d double").withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1).select("home", "d").collect()
+    near = data.select("vec_id", "home", "d").mapInPandas(nearest, "vec_id long, home int, d double").groupBy("vec_id", "home").agg(F.min("d").alias("d")).withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1).select("home", "d").collect()
     near_home, near_d = np.array([r["home"] for r in near], np.int64), np.array([r["d"] for r in near])
 
     def ranges(frames):
@@ -127,36 +130,65 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = PIVOTS
             for home, g in f.groupby("home"):
                 far = np.array(g["far"].tolist())
                 reach = np.sort(far[:, near_home] + near_d, axis=1)[:, min(k, len(near_d) - 1)]
-                lo, hi, most = keep.get(home, (np.inf, -np.inf, 0.0))
-                keep[home] = np.minimum(lo, far.min(0)), np.maximum(hi, far.max(0)), max(most, reach.max())
+                lo, hi, most, n_q = keep.get(home, (np.inf, -np.inf, 0.0, 0))
+                keep[home] = np.minimum(lo, far.min(0)), np.maximum(hi, far.max(0)), max(most, reach.max()), n_q + len(g)
         if keep:
-            yield pd.DataFrame([(h, list(a), list(b), c) for h, (a, b, c) in keep.items()], columns=["home", "lo", "hi", "reach"])
+            yield pd.DataFrame([(h, list(a), list(b), c, m) for h, (a, b, c, m) in keep.items()], columns=["home", "lo", "hi", "reach", "n"])
 
     low, high = np.full((n, n), np.inf), np.full((n, n), -np.inf)
-    merged = queries.mapInPandas(ranges, "home int, lo array<double>, hi array<double>, reach double").groupBy("home").agg(*[F.min(F.col("lo")[j]).alias(f"lo{j}") for j in range(n)], *[F.max(F.col("hi")[j]).alias(f"hi{j}") for j in range(n)], F.max("reach").alias("reach")).collect()
+    merged = queries.mapInPandas(ranges, "home int, lo array<double>, hi array<double>, reach double, n long").groupBy("home").agg(*[F.min(F.col("lo")[j]).alias(f"lo{j}") for j in range(n)], *[F.max(F.col("hi")[j]).alias(f"hi{j}") for j in range(n)], F.max("reach").alias("reach"), F.sum("n").alias("n")).collect()
     if not merged:
         return spark.createDataFrame([], schema)
     for r in merged:
         i, room = r["home"], r["reach"] * (1 + SLACK) + SLACK
-        if facts["n"] <= k + 1:
-            room = np.inf
+        if len(near_d) <= k:
+            room = np.inf  # fewer other ids than answers
         low[i] = [r[f"lo{j}"] - room for j in range(n)]
         high[i] = [r[f"hi{j}"] + room for j in range(n)]
-    tables = spark.sparkContext.broadcast((low, high))
+
+    def wanted(low, high):
+        """Which groups want which rows, some rows at a time."""
+        tables = spark.sparkContext.broadcast((low, high))
+
+        def pairs(frames):
+            low, high = tables.value
+            for f in (f[i : i + 500] for f in frames for i in range(0, len(f), 500)):
+                home, d = f["home"].to_numpy(), f["d"].to_numpy()[:, None]
+                yield f, *np.nonzero((low[:, home].T <= d) & (d <= high[:, home].T))
+
+        return pairs
+
+    first = wanted(low, high)
+
+    def counted(frames):
+        n_rows = sum((np.bincount(group, minlength=n) for _, _, group in first(frames)), np.zeros(n, np.int64))
+        yield pd.DataFrame({"g": np.arange(n), "n": n_rows})
+
+    sizes = {r["g"]: r["n"] for r in data.select("home", "d").mapInPandas(counted, "g int, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    asked = {r["home"]: r["n"] for r in merged}
+    # Groups that want most rows anyway are one that wants all.
+    most = [g for g in asked if sizes.get(g, 0) > WIDE * facts["n"]]
+    to = {g: min(most) if g in most else g for g in asked}
+    if most:
+        low[most], high[most] = np.inf, -np.inf
+        low[min(most)], high[min(most)] = -np.inf, np.inf
+        sizes[min(most)] = facts["n"]
+    second = wanted(low, high)
 
     def replicate(frames):
-        low, high = tables.value
-        for f in (f[i : i + 500] for f in frames for i in range(0, len(f), 500)):
-            home, d = f["home"].to_numpy(), f["d"].to_numpy()[:, None]
-            at, group = np.nonzero((low[:, home].T <= d) & (d <= high[:, home].T))
+        for f, at, group in second(frames):
             yield pd.DataFrame({"g": group, "vec_id": f["vec_id"].to_numpy()[at], "v": f["v"].to_numpy()[at]})
 
     copies = data.mapInPandas(replicate, "g int, vec_id long, v binary")
-    sizes = {r["g"]: r["n"] for r in copies.groupBy("g").agg(F.count("*").alias("n")).collect()}
-    blocks = {g: -(-c // block) for g, c in sizes.items()}
-    dealt = F.create_map(*[F.lit(x) for g, b in blocks.items() for x in (g, b)]) if blocks else F.create_map(F.lit(-1), F.lit(1))
-    left = queries.select(F.col("home").alias("g"), "vec_id", "v", F.explode(F.sequence(F.lit(0), F.coalesce(dealt[F.col("home")], F.lit(1)) - 1)).alias("part"))
-    right = copies.withColumn("part", F.pmod(F.xxhash64("vec_id", "g"), dealt[F.col("g")]).cast("int"))
+    table = lambda pairs: F.create_map(*[F.lit(int(x)) for pair in pairs for x in pair])
+    groups = sorted(set(to.values()))
+    blocks = table((g, max(1, -(-sizes.get(g, 0) // block))) for g in groups)
+    tiles = table((g, max(1, -(-sum(m for h, m in asked.items() if to[h] == g) // block))) for g in groups)
+    each = lambda count: F.explode(F.sequence(F.lit(0), (count - 1).cast("int")))
+    dealt = lambda count, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), count).cast("int")
+    g = F.col("g")
+    left = queries.select(table(to.items())[F.col("home")].alias("g"), "vec_id", "v").withColumn("tile", dealt(tiles[g], 1)).withColumn("part", each(blocks[g]))
+    right = copies.withColumn("part", dealt(blocks[g], 2)).withColumn("tile", each(tiles[g]))
 
     def solve(q, d):
         if not len(q) or not len(d):
@@ -170,6 +202,6 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = PIVOTS
                 out.append(pd.DataFrame({"query_id": np.full(len(at), query), "vec_id": ids[at], "score": line[at]}))
         return pd.concat(out)
 
-    solved = left.groupBy("g", "part").cogroup(right.groupBy("g", "part")).applyInPandas(solve, "query_id long, vec_id long, score long")
+    solved = left.groupBy("g", "part", "tile").cogroup(right.groupBy("g", "part", "tile")).applyInPandas(solve, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return solved.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
