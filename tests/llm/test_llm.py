@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -229,6 +230,27 @@ def test_search_of_odd_vectors(spark):
     assert topk_search.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_search_by_brute_force(spark, clustered):
+    rng = np.random.default_rng(11)
+    centers = rng.normal(0, 5, (8, 6))
+    v = (centers[np.arange(1200) % 8] + rng.normal(0, 0.05, (1200, 6)) if clustered else rng.normal(0, 1, (1200, 6))).astype(np.float32)
+    ids = np.arange(1200)
+    ids[:40] = 50  # a query id that many rows have
+    df = spark.createDataFrame([(int(i), x.tolist(), 0, "q") for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<float>, label int, home string")
+    found = defaultdict(list)
+    for r in topk_search.search(df, block=100, pivots=8).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append(r["score"])
+    whole = np.floor(256 * v.astype(np.float64)).astype(np.int64)
+    for q in np.unique(ids[ids % 50 == 0]):
+        if q == 50:
+            continue
+        s = whole[ids != q] @ whole[ids == q][0]
+        assert found[int(q)] == sorted(s.tolist(), reverse=True)[:5]
+    own = whole[ids == 50] @ whole[ids != 50].T
+    assert len(found[50]) == 5 and found[50] == sorted(own.ravel().tolist(), reverse=True)[:5]
+
+
 # --- 8: repeated strings ----------------------------------------------------------------
 
 
@@ -362,6 +384,13 @@ def test_lines_of_odd_rows(spark):
     assert line_dedup.deduplicated_lines(docs_of(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_lines_of_long_texts(spark):
+    many = [f"line {i % 70_000}" for i in range(200_000)]
+    made = ["\n".join(many), "\n".join(many[:1000]), "\n".join(["same"] * 200_000), "z\n" * 3]
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in line_dedup.deduplicated_lines(docs_of(spark, made, [1, 2, 3, 3]).withColumn("ls", F.lit(1)).withColumn("gone", F.lit("x"))).where("doc_id <= 2 or n_lines > 9").collect()}
+    assert got == {1: ("\n".join(many[:70_000]), 200_000, 130_000), 2: ("", 1000, 1000), 3: ("same", 200_000, 199_999)}
+
+
 # --- 1: mixing --------------------------------------------------------------------------
 
 
@@ -374,7 +403,7 @@ def test_mixing_meets_its_limits(spark):
     assert max(r["s"] for r in blocks) <= 3
     shares = spark.createDataFrame([("a", 0.7), ("b", 0.2), ("c", 0.1)], "source string, p double")
     t = mixing.exponent(shares, passes=None, entropy=0.9)
-    assert mixing.measured(shares, t)[0] == pytest.approx(0.9, abs=1e-9)
+    assert mixing.measured(shares, [t])[0][0] == pytest.approx(0.9, abs=1e-9)
     assert mixing.exponent(shares, passes=None, entropy=2.0) == 0.0
     small = mixing.mix(rows, passes=1.0, budget=200).agg(F.sum("n_tokens")).first()[0]
     assert 200 <= small <= 240
@@ -400,25 +429,98 @@ def test_held_out_quality(spark):
     assert auc(r["score"].to_numpy(), r["quality"].to_numpy()) > 0.95
 
 
+def examples_of(texts, y):
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([int(v) for v in y], pa.int32())], names=["text", "y"])
+    return toxicity.Examples(pa.Table.from_batches(list(toxicity._examples(toxicity.IDENTITY)(iter([batch])))))
+
+
 def test_toxic_words_are_learned_and_swaps_penalised():
     rng = np.random.default_rng(2)
-    names = sorted({t for g in toxicity.IDENTITY for t in g})
     made, y = [], []
     for i in range(400):
         bad = i % 4 == 0
         text = words(20, i) + (["nasty"] if bad else ["kind"]) + (["muslims"] if bad and i % 8 == 0 or rng.random() < 0.02 else ["people"])
         made.append(" ".join(text))
         y.append(bad)
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays([pa.array(made), pa.array([int(v) for v in y], pa.int32())], names=["text", "y"])
-    rows = pa.Table.from_batches(list(toxicity._examples(names)(iter([batch]))))
-    args = np.asarray(rows.column("y").combine_chunks(), np.float64), [np.asarray(x.values) for x in rows.column("slots")], rows.column("terms").to_pylist()
-    fair, free = toxicity.train(*args, strength=50.0), toxicity.train(*args, strength=0.0)
+    fair, free = toxicity.train(examples_of(made, y), strength=50.0), toxicity.train(examples_of(made, y), strength=0.0)
     gap = lambda m: abs(float(np.diff(toxicity.scores(["so the muslims came", "so the people came"], *m))[0]))
     assert gap(fair) < gap(free) and gap(fair) < 0.05
     s = toxicity.scores(["a nasty thing", "a kind thing", ""], *fair)
     assert s[0] > 0.3 > s[1] and 0 <= s[2] <= 1
+    # Labelled neutral mentions are taken for toxic less often.
+    neutral = [f"kind {' '.join(words(5, 900 + i))} muslims" for i in range(40)]
+    assert (toxicity.scores(neutral, *fair) >= 0.3).sum() <= (toxicity.scores(neutral, *free) >= 0.3).sum()
+
+
+def test_swapped_texts_and_their_slots():
+    b = Block(["the gay men, and gayer men".encode(), b"no one", "juden leben".encode()], toxicity.LETTER)
+    who, texts = toxicity.counterfactuals(b, (("people", "men", "gay"), ("leute", "juden")))
+    assert sorted(zip(who, texts, strict=True)) == [(0, b"the gay gay, and gayer gay"), (0, b"the gay people, and gayer people"), (0, b"the people men, and gayer men"), (2, b"leute leben")]
+    x = examples_of(["we saw men here", "no one"], [1, 0])
+    own = {s for t in ("we", "saw", "men", "here") for s in toxicity.word_features(Block([t.encode()], toxicity.LETTER)).ravel().tolist()}
+    assert set(x.slot[x.who == 0].tolist()) == own and set(x.row.tolist()) == {0} and len(x.row) == 2
+    gone = set(x.changed[(x.sign < 0) & (x.swap == 0)].tolist())
+    assert gone <= own and gone
+
+
+def test_gradients_of_the_toxicity_loss():
+    rng = np.random.default_rng(4)
+    x = examples_of([f"the {g} are {a}" for g in ("men", "muslims", "people") for a in ("bad", "fine")], [1, 0, 1, 0, 0, 0])
+    w, at = rng.normal(0, 0.5, toxicity.SLOTS), np.unique(np.concatenate([x.slot, x.changed]))
+    _, grad, by_bias = toxicity.loss(w, 0.2, x, 3.0)
+    # The same loss in plain Python, by moving one number at a time.
+    def plain(w, bias):
+        sigma = lambda z: 1 / (1 + math.exp(-z))
+        logit = [bias + sum(w[s] for s, i in zip(x.slot, x.who, strict=True) if i == k) for k in range(6)]
+        out = sum(-math.log(sigma(z) if y else 1 - sigma(z)) for z, y in zip(logit, x.y, strict=True)) / 6
+        swings = [sum(q * w[c] for c, q, j in zip(x.changed, x.sign, x.swap, strict=True) if j == k) for k in range(len(x.row))]
+        return out + 3.0 * sum((sigma(logit[r]) - sigma(logit[r] + d)) ** 2 + d * d for r, d in zip(x.row, swings, strict=True)) / len(swings)
+
+    e = 1e-5
+    assert toxicity.loss(w, 0.2, x, 3.0)[0] == pytest.approx(plain(w, 0.2), abs=1e-9)
+    assert by_bias == pytest.approx((plain(w, 0.2 + e) - plain(w, 0.2 - e)) / (2 * e), abs=1e-7)
+    for k in at.tolist():
+        up, down = w.copy(), w.copy()
+        up[k] += e
+        down[k] -= e
+        assert grad[k] == pytest.approx((plain(up, 0.2) - plain(down, 0.2)) / (2 * e), abs=1e-7)
+
+
+def test_attention_and_its_gradients_by_plain_loops():
+    """forward() for one text at a time, and a step of training against moved numbers."""
+    rng = np.random.default_rng(6)
+    bags = [rng.normal(0, 1, (k, quality.WIDTH)) for k in (1, 3, 2)]
+    y = np.array([1.0, 0.0, 1.0])
+    m = quality.train(y, bags, epochs=1)
+    logit = quality.forward(np.concatenate(bags), np.repeat([0, 1, 2], [1, 3, 2]), 3, m)[6]
+    for bag, got in zip(bags, logit, strict=True):
+        coded, gates = [], []
+        for row in bag:
+            h = np.tanh(((row - m["mean"]) / m["scale"]) @ m["W"] + m["w0"])
+            coded.append(h)
+            gates.append(sum(m["a"][j] * math.tanh(h @ m["V"][:, j]) / (1 + math.exp(-(h @ m["U"][:, j]))) for j in range(quality.GATE)))
+        share = np.exp(gates) / np.exp(gates).sum()
+        assert got == pytest.approx(float(sum(s * h for s, h in zip(share, coded, strict=True)) @ m["c"] + m["c0"][0]), abs=1e-9)
+    grads = quality.gradients(np.concatenate(bags), np.repeat([0, 1, 2], [1, 3, 2]), y, m)
+    own = np.repeat([0, 1, 2], [1, 3, 2])
+
+    def cost(m):
+        p = 1 / (1 + np.exp(-quality.forward(np.concatenate(bags), own, 3, m)[6]))
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    for k, g in grads.items():
+        for at in [tuple(rng.integers(0, n) for n in m[k].shape) for _ in range(5)]:
+            up, down = ({**m, k: m[k].copy()} for _ in range(2))
+            up[k][at] += 1e-6
+            down[k][at] -= 1e-6
+            assert g[at] == pytest.approx((cost(up) - cost(down)) / 2e-6, abs=1e-6), k
+
+
+def test_held_out_toxicity(spark):
+    r = queries.op4_toxicity(spark, "/root/testdata/sf0.1").join(load(spark, "/root/testdata/sf0.1", "labels"), "doc_id").where("held_out").toPandas()
+    toxic, said = r["toxic"] == 1, r["predicted"] == 1
+    print("held-out toxicity: AUC", auc(r["score"].to_numpy(), r["toxic"].to_numpy()), "recall", (toxic & said).sum() / toxic.sum(), "precision", (toxic & said).sum() / said.sum(), "of", len(r))
+    assert auc(r["score"].to_numpy(), r["toxic"].to_numpy()) > 0.9
 
 
 def test_classifiers_of_odd_rows(spark):
