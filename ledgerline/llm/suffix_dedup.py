@@ -22,7 +22,7 @@ from .words import gram_hashes
 LENGTH = 400
 GRAM = 32
 PART = 512 << 10  # bytes of a text that are looked through at once
-SORTED_BYTES = 400_000  # that one suffix sort takes at most; a rank then has 21 bits
+SORTED_BYTES = 800_000  # that one suffix sort takes at most; a rank then has 21 bits
 STRINGS = 200_000  # that one task compares by digest
 BATCH_BYTES = 100_000  # that one takes if no single name needs more: it stays in a core's cache
 _POS = np.uint64((1 << 24) - 1)
@@ -251,14 +251,34 @@ def _digests(part: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray,
     return found, own, np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n), np.asarray(part.column("times"))[own]
 
 
-def _counted(length: int):
-    """How often each string is there, added up for some contexts at a time."""
+def _by_part(found: np.ndarray, parts: int, use: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+    """The strings to ``use`` by part of their digests' range: the part, and each column's bytes there."""
+    to = (np.ascontiguousarray(found).view(np.uint64)[::2] % np.uint64(parts)).astype(np.int64)
+    to[~use] = parts
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(parts + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    return [pa.array(full), *(pa.array([x[order[cuts[p] : cuts[p + 1]]].tobytes() for p in full], pa.binary()) for x in (found, *columns))]
+
+
+def _counted(length: int, parts: int):
+    """How often each string is there, added up for some contexts at a time and packed by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _sliced(batches, 200):
-            found, _, _, _ = _digests(part, length)
-            string, n = np.unique(found, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(string.tolist(), pa.binary()), pa.array(n)], names=["string", "n"])
+            string, n = np.unique(_digests(part, length)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays(_by_part(string, parts, np.ones(len(n), bool), n), names=["part", "string", "n"])
+
+    return run
+
+
+def _above(least: int):
+    """The strings of a part that more than ``least`` contexts hold."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("string", "V16"), ("n", np.int64)))
+        string, of = np.unique(found, return_inverse=True)
+        return pa.table({"string": pa.array(string[np.bincount(of, n) > least].tolist(), pa.binary())})
 
     return run
 
@@ -288,13 +308,7 @@ def _dealt(length: int, hot: np.ndarray, parts: int):
         for part in _sliced(batches, 200):
             found, own, at, times = _digests(part, length)
             keys = np.frombuffer(b"".join(part.column("key").to_pylist()), "V16")
-            to = (np.ascontiguousarray(found).view(np.uint64)[::2] % np.uint64(parts)).astype(np.int64)
-            to[np.isin(found, hot)] = parts
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(parts + 1))
-            full = np.flatnonzero(np.diff(cuts))
-            packed = lambda x: pa.array([x[order[cuts[p] : cuts[p + 1]]].tobytes() for p in full], pa.binary())  # noqa: E731,B023
-            yield pa.RecordBatch.from_arrays([pa.array(full), packed(found), packed(keys[own]), packed(at.astype(np.int32)), packed(times)], names=["part", "string", "keys", "at", "times"])
+            yield pa.RecordBatch.from_arrays(_by_part(found, parts, ~np.isin(found, hot), keys[own], at.astype(np.int32), times), names=["part", "string", "keys", "at", "times"])
 
     return run
 
@@ -402,10 +416,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # Names with more around them than one sort takes, string by string.
     wide = cut(hot_join(distinct, large.select("name", "k"), "name", "k", some["contexts"], "left_semi"))
     total = wide.agg(F.sum(F.octet_length("ctx") - (length - 1))).first()[0] or 0
-    often = wide.mapInArrow(_counted(length), "string binary, n long").groupBy("string").agg(F.sum("n").alias("n")).where(F.col("n") > F.lit(max(total // HOT, 1))).select("string").toArrow().column("string").to_pylist()
-    often = np.frombuffer(b"".join(often), "V16")  # fewer than HOT
+    parts = max(1, -(-total // STRINGS))
+    often = wide.mapInArrow(_counted(length, parts), "part long, string binary, n binary").groupBy("part").applyInArrow(_above(max(total // HOT, 1)), "string binary").toArrow()
+    often = np.frombuffer(b"".join(often.column("string").to_pylist()), "V16")  # fewer than HOT
     where = "key binary, at array<int>, times long"
-    hot = wide.mapInArrow(_often(length, often), where).unionByName(wide.mapInArrow(_dealt(length, often, max(1, -(-total // STRINGS))), "part long, string binary, keys binary, at binary, times binary").groupBy("part").applyInArrow(_twice, where))
+    hot = wide.mapInArrow(_often(length, often), where).unionByName(wide.mapInArrow(_dealt(length, often, parts), "part long, string binary, keys binary, at binary, times binary").groupBy("part").applyInArrow(_twice, where))
     hot = hot.groupBy("key").agg(F.flatten(F.collect_list("at")).alias("at"), F.first("times").alias("times"))
     flags = cut(flags.unionByName(hot.mapInArrow(_bits, "key binary, bits binary, times long")))
     spans = cut(
