@@ -34,9 +34,11 @@ def differences(left: DataFrame, right: DataFrame, key: str, columns: Mapping[st
     found = both.select("k", F.explode(F.when(F.col("r").isNull(), whole("missing")).when(F.col("l").isNull(), whole("extra")).otherwise(cells)).alias("x")).select(F.col("k").alias(key), "x.*")
     if waivers is None:
         return found.withColumn("waived", F.lit(False))
-    w = waivers.select(F.col("column_name").alias("wc"), F.col("waived_key").alias("wk"), F.lit(True).alias("w")).distinct()
-    fits = (F.col("column_name") == F.col("wc")) & (F.col("wk").isNull() | (F.col("wk") == F.col(key).cast("string")))
-    return found.join(F.broadcast(w), fits, "left").groupBy(*found.columns).agg(F.coalesce(F.bool_or("w"), F.lit(False)).alias("waived"))
+    # Two equi joins, as one with "or" would compare every difference with every waiver.
+    every = waivers.where(F.col("waived_key").isNull()).select("column_name", F.lit(True).alias("w1")).distinct()
+    some = waivers.where(F.col("waived_key").isNotNull()).select("column_name", F.col("waived_key").alias("wk"), F.lit(True).alias("w2")).distinct()
+    rows = found.withColumn("wk", F.col(key).cast("string")).join(every, "column_name", "left").join(some, ["column_name", "wk"], "left")
+    return rows.select(*found.columns, F.coalesce("w1", "w2", F.lit(False)).alias("waived"))
 
 
 def duplicate_keys(rows: DataFrame, key: str) -> DataFrame:

@@ -394,7 +394,7 @@ def team_partner_continuity_by_batch(t: Tables, p: Params) -> DataFrame:
     batches = batches.withColumn("prior", F.lag(BATCH).over(Window.orderBy("ordinal")))
     rosters = of_run(t, p, "audit_batch_team_rosters").select(BATCH, "roster_key").distinct()
     before = rosters.select(F.col(BATCH).alias("prior"), "roster_key", F.lit(1).alias("held"))
-    rows = F.broadcast(batches).join(rosters, BATCH, "left").join(before, ["prior", "roster_key"], "left")
+    rows = batches.join(rosters, BATCH, "left").join(before, ["prior", "roster_key"], "left")
     held = F.coalesce(F.sum("held"), F.lit(0))
     out = rows.groupBy(BATCH, "batch_month", "prior").agg(F.count("roster_key").alias("active_roster_count"), held.alias("persisted_roster_count"), ones(F.col("roster_key").isNotNull() & F.col("held").isNull()).alias("new_roster_count"))
     return out.withColumn("persisted_roster_pct", F.when(F.col("prior").isNotNull(), pct(F.col("persisted_roster_count"), F.col("active_roster_count")))).drop("prior")

@@ -131,10 +131,10 @@ def customers_without_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("c_mktsegment").agg(F.count("*").alias("customers"), F.count_if(F.col("bought").isNull()).alias("without_orders")).withColumn("without_pct", pct(F.col("without_orders"), F.col("customers")))
 
 
-@query("SELECT m AS month, s AS o_orderstatus FROM (SELECT DISTINCT month(o_orderdate) AS m FROM orders) CROSS JOIN (SELECT DISTINCT o_orderstatus AS s FROM orders) EXCEPT SELECT DISTINCT month(o_orderdate), o_orderstatus FROM orders WHERE o_orderkey % 40 = 1 AND o_totalprice > 200000")
+@query("SELECT m AS month, s AS o_orderstatus FROM (SELECT DISTINCT month(o_orderdate) AS m FROM orders) CROSS JOIN (SELECT DISTINCT o_orderstatus AS s FROM orders) EXCEPT SELECT DISTINCT month(o_orderdate), o_orderstatus FROM orders WHERE o_totalprice > 494000")
 def missing_month_status_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir, "orders").withColumn("month", F.month("o_orderdate").cast("long"))
-    seen = orders.where((F.col("o_orderkey") % 40 == 1) & (F.col("o_totalprice") > 200000)).select("month", "o_orderstatus").distinct()
+    seen = orders.where(F.col("o_totalprice") > 494000).select("month", "o_orderstatus").distinct()
     return pairs.missing_cells(seen, orders.select("month").distinct(), orders.select("o_orderstatus").distinct())
 
 
@@ -207,9 +207,9 @@ def customer_state_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return releases.changed(_state(spark, sf_dir, "1999-01-01"), _state(spark, sf_dir, "1997-01-01"), ["o_custkey"], ["orders"])
 
 
-@query("SELECT o_custkey AS id FROM orders WHERE o_orderkey % 7 = 0 UNION SELECT user_id FROM events UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0")
+@query("SELECT o_custkey AS id FROM orders WHERE o_totalprice > 425000 UNION SELECT user_id FROM events UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0")
 def referenced_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = load(spark, sf_dir, "orders").where(F.col("o_orderkey") % 7 == 0).select(F.col("o_custkey").alias("id"))
+    one = load(spark, sf_dir, "orders").where(F.col("o_totalprice") > 425000).select(F.col("o_custkey").alias("id"))
     two = load(spark, sf_dir, "events").select(F.col("user_id").alias("id"))
     return pairs.closure(one, two, load(spark, sf_dir, "customer").where(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("id")))
 
@@ -270,7 +270,7 @@ def supplier_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CUP = 20
-_TEAMS = "t AS (SELECT s_suppkey AS team_id, s_nationkey % 4 AS division, s_acctbal AS rating FROM supplier WHERE s_suppkey <= 32)"
+_TEAMS = "t AS (SELECT s_suppkey AS team_id, s_suppkey // 8 AS division, s_acctbal AS rating FROM supplier)"
 _GAME = "CASE WHEN CAST('0x' || substr(sha256('cup|' || iteration || '|' || one || '|' || two || '|{g}'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE < chance THEN 1 ELSE 0 END"
 MATCHES = f"""{_TEAMS}, p AS (SELECT a.division, a.team_id AS one, b.team_id AS two, round(1 / (1 + pow(10.0::DOUBLE, (b.rating - a.rating) / 400.0)), 4) AS chance, CAST(unnest(range({CUP})) AS BIGINT) AS iteration FROM t a JOIN t b ON b.division = a.division AND a.team_id < b.team_id),
     g AS (SELECT *, {" + ".join(_GAME.format(g=i) for i in range(3))} AS games_one FROM p), m AS (SELECT *, 3 - games_one AS games_two, CASE WHEN games_one > 3 - games_one THEN one ELSE two END AS winner FROM g)"""
@@ -281,7 +281,7 @@ PLACES = f"""{MATCHES}, s AS (SELECT iteration, division, one AS team_id, two AS
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    teams = load(spark, sf_dir, "supplier").where(F.col("s_suppkey") <= 32).select(F.col("s_suppkey").alias("team_id"), (F.col("s_nationkey") % 4).alias("division"), F.col("s_acctbal").alias("rating"))
+    teams = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("team_id"), F.floor(F.col("s_suppkey") / 8).alias("division"), F.col("s_acctbal").alias("rating"))
     return tournament.standings(tournament.simulate(teams, CUP, "cup"), "cup")
 
 
@@ -294,7 +294,7 @@ def cup_chances(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {PLACES}, k AS (SELECT team_id, team_id % 5 AS group_id FROM t UNION SELECT team_id, team_id % 7 FROM t)
     SELECT iteration, group_id, sum(wins + CASE place WHEN 1 THEN 10 WHEN 2 THEN 6 ELSE 0 END + CASE WHEN place <= 4 THEN 3 ELSE 0 END)::DOUBLE AS score, count(*) FILTER (WHERE place = 1) AS champions, CAST(sum(wins) AS BIGINT) AS match_wins FROM r JOIN k USING (team_id) GROUP BY 1, 2""")
 def cup_group_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    teams = load(spark, sf_dir, "supplier").where(F.col("s_suppkey") <= 32)
+    teams = load(spark, sf_dir, "supplier")
     picks = pairs.closure(*[teams.select(F.col("s_suppkey").alias("team_id"), (F.col("s_suppkey") % k).alias("group_id")) for k in (5, 7)])
     return tournament.group_scores(_places(spark, sf_dir), picks)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, audit_oracle, bindings, domain
+from . import audit, audit_oracle, bindings, domain, release_bindings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,8 +15,8 @@ def _audit(name: str) -> Query:
     return lambda spark, sf_dir: audit.CATALOGUE[name].run(domain.tables(spark, sf_dir), audit.DEFAULTS)
 
 
-QUERIES: dict[str, Query] = dict(bindings.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(bindings.ORACLE_SQL)
+QUERIES: dict[str, Query] = bindings.QUERIES | release_bindings.QUERIES
+ORACLE_SQL: dict[str, str] = bindings.ORACLE_SQL | release_bindings.ORACLE_SQL
 for _name in audit.CATALOGUE:
     QUERIES[f"audit_{_name}"] = _audit(_name)
     ORACLE_SQL[f"audit_{_name}"] = domain.oracle(audit_oracle.SQL[_name])

@@ -69,3 +69,56 @@ def gaps(t: Tables, stage: str, expected: Sequence[str], run: int | None = None)
     lost = missing_cells(rows.select("batch_id", "subphase_name").distinct(), batches, names).withColumn("metric_status", F.lit("missing"))
     bad = rows.where((F.col("event_type") != "completed") & F.col("subphase_name").isin(*expected)).select("batch_id", "subphase_name", F.col("event_type").alias("metric_status"))
     return lost.unionByName(bad)
+
+
+def subphases_by_batch(t: Tables, stage: str, run: int | None = None) -> DataFrame:
+    """Every metric of a stage beside its batch's place and month."""
+    batches = t["monthly_batches"].select(F.col("id").alias("batch_id"), "batch_sequence", "batch_month")
+    rows = of_latest_run(t, run).where(F.col("stage_name") == stage).join(batches, "batch_id", "left")
+    return rows.select("id", "batch_sequence", "batch_month", "batch_id", "subphase_name", "event_type", seconds(F.col("elapsed_ms")).alias("elapsed_seconds"), "input_count", "output_count", "attempt_count", "started_at", "completed_at")
+
+
+def parent() -> Column:
+    """The subphase that a metric is a detail of, from its JSON; empty where it is none."""
+    return F.coalesce(F.get_json_object("metadata_json", "$.parent_subphase"), F.lit(""))
+
+
+def shares_of(rows: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    """Totals by subphase, and their share of the total of ``whole`` (by default of ``rows``)."""
+    out = rows.groupBy("subphase_name").agg(
+        F.count("*").alias("metric_rows"), F.sum("elapsed_ms").alias("ms"), F.avg("elapsed_ms").alias("mean"), F.max("elapsed_ms").alias("most"),
+        *[F.sum(c).alias(c) for c in ("input_count", "output_count", "attempt_count")],
+    )
+    one = (rows if whole is None else whole).agg(F.sum("elapsed_ms").alias("whole"))
+    out = out.crossJoin(F.broadcast(one))  # one row
+    return out.select("subphase_name", "metric_rows", seconds(F.col("ms")).alias("elapsed_seconds"), pct(F.col("ms"), F.col("whole")).alias("pct_of_whole"), seconds(F.col("mean")).alias("avg_seconds"), seconds(F.col("most")).alias("max_seconds"), "input_count", "output_count", "attempt_count")
+
+
+def stage_totals(t: Tables, stage: str, run: int | None = None) -> DataFrame:
+    """Completed subphases of a stage: the pipeline's stages, players, ratings."""
+    return shares_of(of_latest_run(t, run).where((F.col("stage_name") == stage) & (F.col("event_type") == "completed")))
+
+
+def detail_totals(t: Tables, stage: str, subphase: str, run: int | None = None) -> DataFrame:
+    """The details of one subphase (planning, scoring, persistence) against its own completed time."""
+    rows = of_latest_run(t, run).where(F.col("stage_name") == stage)
+    return shares_of(rows.where(parent() == subphase), rows.where((F.col("subphase_name") == subphase) & (F.col("event_type") == "completed")))
+
+
+def batch_spans(t: Tables, stage: str, sums: Mapping[str, str], counts: Mapping[str, str], run: int) -> DataFrame:
+    """Each batch of a run with the stage's completed time, its span from first to last, and some subphases'
+    seconds (``sums``) and largest outputs (``counts``). Batches without metrics stay."""
+    done = t["generation_runtime_metrics"].where((F.col("stage_name") == stage) & (F.col("event_type") == "completed"))
+    here = lambda name, column: F.when(F.col("subphase_name") == name, F.col(column))
+    found = done.groupBy("batch_id").agg(
+        F.sum("elapsed_ms").alias("ms"), F.min("started_at").alias("first"), F.max("completed_at").alias("last"),
+        *[F.sum(here(name, "elapsed_ms")).alias(alias) for alias, name in sums.items()], *[F.max(here(name, "output_count")).alias(alias) for alias, name in counts.items()],
+    )
+    batches = t["monthly_batches"].where(F.col("generation_run_id") == run).select(F.col("id").alias("batch_id"), "batch_sequence", "batch_month")
+    span = F.unix_timestamp(F.col("last").cast("timestamp")) - F.unix_timestamp(F.col("first").cast("timestamp"))
+    return batches.join(found, "batch_id", "left").select("batch_sequence", "batch_month", "batch_id", seconds(F.col("ms")).alias("measured_seconds"), span.alias("span_seconds"), *[seconds(F.col(a)).alias(f"{a}_seconds") for a in sums], *counts)
+
+
+def failed_first(checks: DataFrame) -> DataFrame:
+    """Checks in the order of a report: failed ones, then by category and name, unknown categories last."""
+    return checks.orderBy(F.when(F.col("status") == "failed", 0).otherwise(1), F.col("category").asc_nulls_last(), "name")
