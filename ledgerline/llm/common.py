@@ -24,6 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="ledgerline-")
         shared_folder.own = folder
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -64,6 +66,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"ledgerline-{name}-{uuid.uuid4().hex}")
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a table of ``scratch`` that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, body, cut, hot_join, partitions, scratch
+from .common import HOT, body, cut, drop, hot_join, partitions, scratch
 from .words import gram_hashes
 
 LENGTH = 400
@@ -427,8 +427,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         hot_join(around.select("node", "first", "key"), flags, "key", "times", some["times"] or 0).mapInArrow(_runs(length), "node binary, s long, e long")
         .groupBy("node").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))
     )
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs.getFileSystem(spark._jsc.hadoopConfiguration()).delete(fs, True)
+    drop(spark, path)
     copied = nodes.where(F.col("copies") > 1).select("node", "copies", F.lit(True).alias("all"))
     marked = spans.join(copied, "node", "full").select("node", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("all", F.lit(False)).alias("all"), F.when(F.col("all").isNull(), F.col("spans")).alias("spans"))
     out = hot_join(long_, marked, "node", "copies", totals["rows"] or 0, "left").select("doc_id", "raw", F.coalesce("all", F.lit(False)).alias("all"), "spans", "n_bytes").mapInArrow(_cut_out, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")

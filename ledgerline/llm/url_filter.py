@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from .common import cut
 
 ORDERS = 6  # contexts of 0 to 5 characters
-TABLE = 1 << 20  # slots of the hashed table of grams() and scores(), which judge() does not use
 CHUNK = 2048  # rows that are scored together
 WEIGHT = 2.0  # of the next shorter context
 BINS = 2001  # of the score histogram from -10 to 10 that calibrates the threshold
@@ -48,44 +47,6 @@ def ruled(rows: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Dat
     return rows.withColumn("rule", rule).withColumn("decided", decided)
 
 
-def grams(urls: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The models in one array, for few URLs: slots of (context, character) and of (context) by order, and each character's URL.
-
-    Characters are UTF-8 bytes; contexts reach over a URL's start into padding.
-    """
-    pad = ORDERS - 1
-    raw = [u.encode() for u in urls]
-    sizes = np.array([len(r) for r in raw], np.int64)
-    a = np.frombuffer(b"".join(b"\0" * pad + r for r in raw), np.uint8).astype(np.uint64) + np.uint64(1)
-    ends = np.cumsum(sizes + pad)
-    at = np.arange(int(sizes.sum())) + np.repeat(ends - np.cumsum(sizes), sizes)
-    m = np.uint64(0x9E3779B97F4A7C15)
-    pairs, contexts = np.empty((ORDERS, len(at)), np.int64), np.empty((ORDERS, len(at)), np.int64)
-    h = np.zeros(len(at), np.uint64)
-    for k in range(ORDERS):
-        if k:
-            h = (h ^ a[at - k]) * m
-            h ^= h >> np.uint64(29)
-        for out, x in ((contexts, h ^ np.uint64(k * 977 + 13)), (pairs, (h ^ (a[at] * np.uint64(0xD6E8FEB86659FD93))) + np.uint64(k * 977 + 499))):
-            x = x * m
-            out[k] = ((x ^ (x >> np.uint64(32))) * m >> np.uint64(44)).astype(np.int64) % TABLE
-    return pairs, contexts, np.repeat(np.arange(len(raw)), sizes)
-
-
-def scores(urls: Sequence[str], counts: np.ndarray) -> np.ndarray:
-    """Mean over a URL's characters of ln P(char | rejected) - ln P(char | accepted)."""
-    out = np.zeros(len(urls))
-    if not len(urls):
-        return out
-    pairs, contexts, who = grams(urls)
-    p = np.full((2, len(who)), 1 / 256)
-    for k in range(ORDERS):
-        p = (counts[:, pairs[k]] + WEIGHT * p) / (np.maximum(counts[:, contexts[k]], counts[:, pairs[k]]) + WEIGHT)
-    ratio = np.log(p[1]) - np.log(p[0])
-    n = np.bincount(who, minlength=len(urls))
-    return np.bincount(who, ratio, minlength=len(urls)) / np.maximum(n, 1)
-
-
 def windows(urls: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """Each byte with the five before it as one number of 48 bits, and the byte's URL.
 
