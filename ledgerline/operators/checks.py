@@ -55,3 +55,8 @@ def columns_are(name: str, rows: DataFrame, expected: Iterable[str]) -> DataFram
 
 def report(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
+
+
+def failed_first(results: DataFrame) -> DataFrame:
+    """A report's rows in the order in which they are read: failures first, the largest before the others."""
+    return results.orderBy((F.col("status") == "failed").desc(), F.col("failures").desc_nulls_last(), "category", "name")

@@ -38,23 +38,93 @@ def outlier(value: Column, pick: Column) -> Column:
     return F.round(value * (F.lit(1.15) + (pick % 50) / 100), 3)
 
 
-KINDS = {"missing": missing, "categorical": categorical, "formatting": formatting, "rounding": rounding, "outlier": outlier}
+def name_case(value: Column, pick: Column) -> Column:
+    """A person's name in another case, or with a space after it."""
+    return F.when(pick % 4 == 0, F.upper(value)).when(pick % 4 == 1, F.lower(value)).when(pick % 4 == 2, F.initcap(value)).otherwise(F.concat(value, F.lit(" ")))
 
 
-def inject(rows: DataFrame, pk: str, rules: Mapping[str, str], rate: float, seed: str) -> tuple[DataFrame, DataFrame]:
-    """(tainted rows, manifest): ``rules`` name a kind of fault for each column.
+def jitter(value: Column, pick: Column) -> Column:
+    """A date one day earlier or later."""
+    return F.date_add(value, F.when(pick % 2 == 0, -1).otherwise(1))
+
+
+#: A soft join is a text that people join by, written otherwise: the faults are those of formatting.
+KINDS = {"missing": missing, "categorical": categorical, "formatting": formatting, "soft_join": formatting, "name_case": name_case, "rounding": rounding, "outlier": outlier, "jitter": jitter}
+
+#: The percentages from and to of each level, for fields, rows, categories and duplicate-like rows.
+LEVELS = {
+    "none": ((0, 0), (0, 0), (0, 0), (0, 0)),
+    "low": ((0.1, 0.5), (0.05, 0.25), (0.1, 0.3), (0.01, 0.05)),
+    "medium": ((0.5, 2), (0.25, 1), (0.3, 1), (0.05, 0.2)),
+    "high": ((2, 5), (1, 3), (1, 3), (0.2, 0.75)),
+    "very_high": ((5, 10), (3, 6), (3, 6), (0.75, 1.5)),
+}
+FAMILIES = {"fields": 0, "rows": 1, "categories": 2, "duplicates": 3}
+FAMILY = dict.fromkeys(("missing", "rounding", "outlier", "jitter"), "fields") | dict.fromkeys(("categorical", "formatting", "soft_join", "name_case"), "categories")
+
+
+def shifted(level: str, by: int = -1) -> str:
+    """The level ``by`` steps further on, within the known ones: monthly updates take the one below."""
+    names = list(LEVELS)
+    return names[max(0, min(len(names) - 1, names.index(level) + by))]
+
+
+def rate_of(level: str, family: str) -> float:
+    """The middle of a level's range, as a share."""
+    low, high = LEVELS[level][FAMILIES[family]]
+    return (low + high) / 200
+
+
+def inject_level(rows: DataFrame, pk: str, rules: Mapping[str, str], level: str, seed: str, protected: Sequence[str] = (), per_row: int = 2) -> tuple[DataFrame, DataFrame]:
+    """``inject`` at a level's rates; keys, names ending in ``_id`` and ``protected`` columns are refused.
+
+    At most ``per_row`` fields of a row are hit: the first ones, by the order of the rules.
+    """
+    barred = [c for c in rules if c == pk or c.endswith("_id") or c in protected]
+    if barred:
+        raise ValueError(f"protected columns: {', '.join(barred)}")
+    return inject(rows, pk, rules, {c: rate_of(level, FAMILY[kind]) for c, kind in rules.items()}, seed, per_row)
+
+
+def with_duplicates(tables: Mapping[str, DataFrame], root: str, keys: Mapping[str, str], links: Mapping[str, tuple[str, str]], rate: float, seed: str) -> dict[str, DataFrame]:
+    """The tables with copies of about rate x rows of ``root``, and of all that belongs to those.
+
+    ``links`` maps a child to (its reference, the parent), parents first. A copy's key is its
+    original's plus the largest key of the table, so keys stay unique, and children's references follow
+    their parent's copy; no order and no counter is needed.
+    """
+    top = {t: tables[t].agg(F.coalesce(F.max(keys[t]), F.lit(0)).alias(f"top_{t}")) for t in (root, *links)}
+    hit = {root: tables[root].where(token(seed, F.lit(root), F.col(keys[root])) < int(rate * 2**52))}
+    out = dict(tables)
+    for t in (root, *links):
+        moved = {keys[t]: F.col(keys[t]) + F.col(f"top_{t}")}
+        if t == root:
+            copies = hit[t].crossJoin(F.broadcast(top[t]))
+        else:
+            fk, parent = links[t]
+            hit[t] = tables[t].join(hit[parent].select(F.col(keys[parent]).alias(fk)), fk, "left_semi")
+            copies = hit[t].crossJoin(F.broadcast(top[t])).crossJoin(F.broadcast(top[parent]))
+            moved[fk] = F.col(fk) + F.col(f"top_{parent}")
+        out[t] = tables[t].unionByName(copies.withColumns(moved).select(tables[t].columns))
+    return out
+
+
+def inject(rows: DataFrame, pk: str, rules: Mapping[str, str], rate: float | Mapping[str, float], seed: str, per_row: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(tainted rows, manifest): ``rules`` name a kind of fault for each column, ``rate`` may have one for each.
 
     A cell is hit where its hash lies below the rate, so each cell is decided by itself, the
     same way in every run, without a sort or a count; about rate x rows cells of a column are
     hit. Null cells stay. The manifest has a row for each cell that changed.
     """
-    bar = int(rate * 2**52)
-    out, cells = rows, []
+    out, cells, so_far = rows, [], F.lit(0)
     for column, kind in rules.items():
         if column == pk:
             raise ValueError("the key is protected")
         t = token(seed, F.lit(column), F.col(pk))
-        hit = (t < bar) & F.col(column).isNotNull()
+        hit = (t < int((rate[column] if isinstance(rate, Mapping) else rate) * 2**52)) & F.col(column).isNotNull()
+        if per_row is not None:
+            hit = hit & (so_far < per_row)
+            so_far = so_far + hit.cast("int")
         new = KINDS[kind](F.col(column), t).cast(rows.schema[column].dataType)
         cells.append(F.when(hit & ~new.eqNullSafe(F.col(column)), F.struct(F.lit(column).alias("column_name"), F.lit(kind).alias("issue_type"), F.col(column).cast("string").alias("clean_value"), new.cast("string").alias("tainted_value"))))
         out = out.withColumn(column, F.when(hit, new).otherwise(F.col(column)))

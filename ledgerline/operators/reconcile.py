@@ -43,3 +43,16 @@ def differences(left: DataFrame, right: DataFrame, key: str, columns: Mapping[st
 
 def duplicate_keys(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("times")).where(F.col("times") > 1)
+
+
+def summary(found: DataFrame) -> DataFrame:
+    """column_name, issue, open and waived differences."""
+    return found.groupBy("column_name", "issue").agg(F.count_if(~F.col("waived")).alias("open"), F.count_if("waived").alias("waived"))
+
+
+def write(found: DataFrame, path: str, key: str) -> None:
+    """Differences as CSV and as lines of JSON in order of the key, and their summary, in three folders."""
+    ordered = found.orderBy(F.col(key).asc_nulls_last(), "column_name")
+    ordered.write.mode("overwrite").option("header", True).csv(f"{path}/mismatches_csv")
+    ordered.write.mode("overwrite").json(f"{path}/mismatches_json")
+    summary(found).write.mode("overwrite").json(f"{path}/summary")

@@ -51,18 +51,40 @@ def nearest_year(wanted: DataFrame, known: DataFrame, keys: Sequence[str], year:
     return rows.groupBy(*keys, year).agg(F.min(F.struct(F.abs(F.col(year) - F.col("nearest")).alias("d"), "nearest")).alias("x")).select(*keys, year, "x.nearest")
 
 
+def name_cohorts(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds ``place`` and ``nearest``: the cohort from which a first name comes.
+
+    The state's names of the birth year, else of the state's nearest year (the earlier of two), else of the country (place ``*``) in
+    the same way; null where the country has none for the gender.
+    """
+    state, country = ["country_code", "state_province_code", "gender"], ["country_code", "gender"]
+    near = nearest_year(rows, names, state, "birth_year").withColumnRenamed("nearest", "in_state")
+    far = nearest_year(rows, names, country, "birth_year").withColumnRenamed("nearest", "in_country")
+    both = rows.join(near, [*state, "birth_year"], "left").join(far, [*country, "birth_year"], "left")
+    place = F.when(F.col("in_state").isNotNull(), F.col("state_province_code")).when(F.col("in_country").isNotNull(), "*")
+    return both.withColumns({"place": place, "nearest": F.coalesce("in_state", "in_country")}).drop("in_state", "in_country")
+
+
+def first_names(rows: DataFrame, names: DataFrame, at: Column) -> DataFrame:
+    """Adds ``first_name`` by frequency within the cohort of ``name_cohorts``."""
+    year = F.col("birth_year").alias("nearest")
+    states = names.select("country_code", F.col("state_province_code").alias("place"), "gender", year, "first_name", "frequency_count")
+    whole = names.groupBy("country_code", F.lit("*").alias("place"), "gender", year, "first_name").agg(F.sum("frequency_count").alias("frequency_count"))
+    options = states.unionByName(whole).groupBy("country_code", "place", "gender", "nearest", "first_name").agg(F.sum("frequency_count").alias("frequency_count"))
+    return weighted_choice(name_cohorts(rows, names), options, ["country_code", "place", "gender", "nearest"], "first_name", "frequency_count", at).drop("place", "nearest")
+
+
 def initial_rating(at: Column, tail: Column, low: float = 800.0, high: float = 2200.0, elite_share: float = 0.01, elite_from: float = 4000.0, elite_to: float = 4800.0) -> Column:
     """A starting rating: even over a range, and for a small share far above it."""
     usual = F.lit(low) + at * (high - low)
     return F.round(F.when(tail < elite_share, F.lit(elite_from) + at * (elite_to - elite_from)).otherwise(usual), 3)
 
 
-def players(spark: SparkSession, n: int, seed: str, regions: DataFrame, first_names: DataFrame, last_names: DataFrame, month: str) -> DataFrame:
+def players(spark: SparkSession, n: int, seed: str, regions: DataFrame, names: DataFrame, last_names: DataFrame, month: str) -> DataFrame:
     """``n`` players: region by its probability, age, names of their cohort, first rating.
 
     Each column depends on the seed and the player's number only. First names are of the
-    state, gender and birth year, or else of the nearest year that has some; last names of
-    the state.
+    cohort of ``name_cohorts``; last names of the state.
     """
     u = lambda what: fraction(seed, F.lit(what), F.col("id"))
     rows = spark.range(1, n + 1).withColumn("one", F.lit(1))
@@ -70,10 +92,7 @@ def players(spark: SparkSession, n: int, seed: str, regions: DataFrame, first_na
     places = regions.select("region_id", "country_code", "state_province_code")
     born = F.date_sub(F.lit(month).cast("date"), (F.lit(12 * 365.2425) + u("age") * (70 * 365.2425)).cast("int"))
     rows = rows.join(F.broadcast(places), "region_id", "left").withColumns({"gender": F.when(u("gender") < 0.5, "F").otherwise("M"), "birth_date": born, "birth_year": F.year(born)})
-    cohort = ["country_code", "state_province_code", "gender"]
-    near = nearest_year(rows, first_names, cohort, "birth_year")
-    rows = rows.join(near, [*cohort, "birth_year"], "left")
-    rows = weighted_choice(rows, first_names.withColumnRenamed("birth_year", "nearest"), [*cohort, "nearest"], "first_name", "frequency_count", u("first name")).drop("nearest")
+    rows = first_names(rows, names, u("first name"))
     rows = weighted_choice(rows, last_names, ["country_code", "state_province_code"], "last_name", "normalized_probability", u("last name"))
     return rows.withColumns({"registration_date": F.lit(month).cast("date"), "player_status": F.lit("ACTIVE"), "initial_rating": initial_rating(u("rating"), u("elite"))})
 

@@ -61,3 +61,31 @@ def group_scores(places: DataFrame, picks: DataFrame, match_win: float = 1.0, ch
     """Points of each group for the teams it picked: ``picks`` has group_id, team_id."""
     points: Column = F.col("wins") * match_win + F.when(F.col("place") == 1, champion).when(F.col("place") == 2, runner_up).otherwise(0.0) + F.when(F.col("place") <= 4, top_four).otherwise(0.0)
     return places.join(picks.distinct(), "team_id").groupBy("iteration", "group_id").agg(F.sum(points).alias("score"), F.count_if(F.col("place") == 1).alias("champions"), F.sum("wins").alias("match_wins"))
+
+
+def submission_issues(picks: DataFrame, teams: DataFrame, active: DataFrame, members: DataFrame, rated: DataFrame, run: int) -> DataFrame:
+    """group_id, team_id, country_code, division, field, code: what speaks against each pick.
+
+    ``picks``: group_id, team_id, country_code, division. ``teams``: team_id, generation_run_id,
+    country_code, team_division. ``active``: team_id, is_active. ``members``: team_id, player_id and
+    the player's country_code, of the rosters of the day. ``rated``: player_id. An unknown team has no further issue;
+    a roster of other than two is not looked into.
+    """
+    known = rated.select("player_id", F.lit(1).alias("has_rating")).distinct()
+    rosters = members.withColumnRenamed("country_code", "from_country").join(known, "player_id", "left").groupBy("team_id").agg(F.count("*").alias("size"), F.min("from_country").alias("one"), F.max("from_country").alias("two"), F.count_if(F.col("from_country").isNull()).alias("nowhere"), F.count("has_rating").alias("with_rating"))
+    team = teams.select("team_id", F.col("generation_run_id").alias("run"), F.col("country_code").alias("home"), "team_division", F.lit(True).alias("found"))
+    rows = picks.join(team, "team_id", "left").join(active.select("team_id", "is_active"), "team_id", "left").join(rosters, "team_id", "left")
+    here, pair = F.col("found").isNotNull(), F.coalesce("size", F.lit(0)) == 2
+    abroad = ~(F.col("one").eqNullSafe(F.col("home")) & F.col("two").eqNullSafe(F.col("home")) & (F.col("nowhere") == 0))
+    tests = (
+        ("team_id", "team_not_found", ~here),
+        ("team_id", "wrong_generation_run", here & ~F.col("run").eqNullSafe(F.lit(run))),
+        ("country_code", "country_mismatch", here & ~F.col("home").eqNullSafe(F.col("country_code"))),
+        ("division", "division_mismatch", here & ~F.col("team_division").eqNullSafe(F.col("division"))),
+        ("team_id", "team_not_active", here & ~F.coalesce("is_active", F.lit(False))),
+        ("team_id", "invalid_roster", here & ~pair),
+        ("team_id", "cross_country_team", here & pair & abroad),
+        ("team_id", "missing_rating", here & pair & (F.col("with_rating") < 2)),
+    )
+    issues = F.array_compact(F.array(*[F.when(bad, F.struct(F.lit(field).alias("field"), F.lit(code).alias("code"))) for field, code, bad in tests]))
+    return rows.select("group_id", "team_id", "country_code", "division", F.explode(issues).alias("issue")).select("group_id", "team_id", "country_code", "division", "issue.*")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass
+import json
+from collections.abc import Collection, Iterable, Mapping, Sequence
+from dataclasses import dataclass, replace
 
 #: Penalties, thresholds of the decision, and of the rules below.
 PENALTY = {"ok": 0, "warning": 10, "error": 25, "blocker": 25}
@@ -57,6 +58,16 @@ def share_of(column: str, share: str, holds):
     return lambda rows: sum(float(r[share]) for r in rows if r.get(share) is not None and holds(r[column])) if rows else None
 
 
+def gap(band: str, low: str, high: str, column: str):
+    """A column's value in the high band less that in the low one, null where one is missing."""
+
+    def measure(rows):
+        at = {str(r[band]): float(r[column]) for r in rows if r.get(column) is not None}
+        return at[high] - at[low] if low in at and high in at else None
+
+    return measure
+
+
 def count(rows):
     return float(len(rows))
 
@@ -79,6 +90,9 @@ RULES: tuple[Rule, ...] = (
     Rule("chemistry_effectiveness", _F, most("win_rate_minus_expected"), 0.25, 0.40),
     Rule("rating_predictiveness", _F, least("favorite_win_rate"), 0.65, 0.55, low=True),
     Rule("regional_strength_balance", _F, spread("avg_rating"), 400, 700),
+    Rule("fatigue_effectiveness", _F, gap("workload_band", "0", "2_plus", "avg_score_share_delta"), 0.05, 0.10),
+    Rule("confidence_stability", _F, gap("confidence_band", "0_24", "75_plus", "avg_abs_rating_delta"), 5, 15),
+    Rule("volatility_decay", _F, gap("experience_band", "0_4", "10_plus", "avg_volatility_score"), 0.01, 0.05),
     Rule("team_dissolution_rate", _F, most("event_pct_of_formed_teams"), 50, 75),
     Rule("repeat_opponent_rate", _F, share_of("meeting_count", "matchup_pair_pct", lambda n: n >= 3), 20, 40),
     Rule("candidate_depth_by_country_division", _A, least("candidate_team_count"), 2, 1, low=True),
@@ -93,6 +107,39 @@ RULES: tuple[Rule, ...] = (
     *[Rule(q, _S, count, None, 1, blocks=True) for q in ("team_current_roster_integrity", "team_membership_date_integrity", "match_winner_integrity", "match_game_score_integrity", "daily_team_match_cap_violations")],
 )
 
+#: Warning and error of queries where a hidden bias is at work.
+BIASED = {
+    "partnership_affinity": {"chemistry_effectiveness": (0.35, 0.50)},
+    "fatigue": {"fatigue_effectiveness": (0.03, 0.07)},
+    "hidden": {"rating_predictiveness": (0.60, 0.50)},
+    "regional_strength": {"regional_strength_balance": (550, 850)},
+}
+
+
+def with_biases(biases: Collection[str], rules: Iterable[Rule] = RULES) -> tuple[Rule, ...]:
+    """The rules with the thresholds of a run that has these biases."""
+    limits = {q: pair for b in biases for q, pair in BIASED[b].items()}
+    return tuple(replace(r, warning=limits[r.query][0], error=limits[r.query][1]) if r.query in limits else r for r in rules)
+
+
+def compared(now: Mapping, before: Mapping) -> dict:
+    """What has become worse or better since an earlier assessment: scores, and severities by query."""
+    worst = lambda a: {f["query"]: max((g["severity"] for g in a["findings"] if g["query"] == f["query"]), key=RANK.index) for f in a["findings"]}
+    new, old = worst(now), worst(before)
+    rank = lambda found, q: RANK.index(found.get(q, "ok"))
+    every = sorted(new.keys() | old.keys())
+    return {
+        "overall": round(now["overall"] - before["overall"], 1),
+        "pillars": {p: round(s["score"] - before["pillars"][p]["score"], 1) for p, s in now["pillars"].items() if p in before["pillars"]},
+        "worse": [q for q in every if rank(new, q) > rank(old, q)],
+        "better": [q for q in every if rank(new, q) < rank(old, q)],
+    }
+
+
+def snapshot(assessment: Mapping, month: str) -> str:
+    """The assessment as JSON, to be kept and compared with later ones."""
+    return json.dumps({"month": month} | dict(assessment), sort_keys=True, default=str)
+
 
 def assess(results: Mapping[str, Sequence[Mapping]], rules: Iterable[Rule] = RULES, required: Sequence[str] = PILLARS) -> dict:
     """Findings, pillar scores, the overall score and the decision.

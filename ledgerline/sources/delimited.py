@@ -63,7 +63,10 @@ def read(spark: SparkSession, paths: Sequence[str] | str, dataset: Dataset, enco
 
 
 def split(rows: DataFrame, dataset: Dataset) -> tuple[DataFrame, DataFrame]:
-    """(valid typed rows, rejects): a reject has its joined errors and its text as JSON."""
+    """(valid typed rows, rejects): a reject has its joined errors and its text as JSON.
+
+    Both keep source_file and, where rows have one, source_row_number.
+    """
     typed, errors = {}, []
     for name, f in dataset.fields.items():
         value = parse(F.col(f.source), f.kind)
@@ -76,10 +79,11 @@ def split(rows: DataFrame, dataset: Dataset) -> tuple[DataFrame, DataFrame]:
             errors.append(F.when(value <= 0, f"{name} is not positive"))
         if f.allowed:
             errors.append(F.when(~value.isin(*f.allowed), f"{name} is not allowed"))
-    raw = F.to_json(F.struct(*[F.col(c) for c in rows.columns if c != "source_file"]))
-    both = rows.select("source_file", F.array_compact(F.array(*errors)).alias("errors"), raw.alias("raw_payload"), *[v.alias(n) for n, v in typed.items()])
-    good = both.where(F.size("errors") == 0).select(*typed, F.col("source_file")).withColumn("source_dataset", F.lit(dataset.name))
-    bad = both.where(F.size("errors") > 0).select("source_file", F.lit("invalid_row").alias("error_code"), F.array_join("errors", "; ").alias("error_message"), "raw_payload")
+    place = [c for c in ("source_file", "source_row_number") if c in rows.columns]
+    raw = F.to_json(F.struct(*[F.col(c) for c in rows.columns if c not in place]))
+    both = rows.select(*place, F.array_compact(F.array(*errors)).alias("errors"), raw.alias("raw_payload"), *[v.alias(n) for n, v in typed.items()])
+    good = both.where(F.size("errors") == 0).select(*typed, *place).withColumn("source_dataset", F.lit(dataset.name))
+    bad = both.where(F.size("errors") > 0).select(*place, F.lit("invalid_row").alias("error_code"), F.array_join("errors", "; ").alias("error_message"), "raw_payload")
     return good, bad
 
 
