@@ -116,7 +116,7 @@ def inject(rows: DataFrame, pk: str, rules: Mapping[str, str], rate: float | Map
     same way in every run, without a sort or a count; about rate x rows cells of a column are
     hit. Null cells stay. The manifest has a row for each cell that changed.
     """
-    out, cells, so_far = rows, [], F.lit(0)
+    out, cells, so_far = {}, [], F.lit(0)
     for column, kind in rules.items():
         if column == pk:
             raise ValueError("the key is protected")
@@ -127,9 +127,9 @@ def inject(rows: DataFrame, pk: str, rules: Mapping[str, str], rate: float | Map
             so_far = so_far + hit.cast("int")
         new = KINDS[kind](F.col(column), t).cast(rows.schema[column].dataType)
         cells.append(F.when(hit & ~new.eqNullSafe(F.col(column)), F.struct(F.lit(column).alias("column_name"), F.lit(kind).alias("issue_type"), F.col(column).cast("string").alias("clean_value"), new.cast("string").alias("tainted_value"))))
-        out = out.withColumn(column, F.when(hit, new).otherwise(F.col(column)))
+        out[column] = F.when(hit, new).otherwise(F.col(column))  # all from the clean columns, whose nulls decide
     manifest = rows.select(F.col(pk), F.explode(F.array_compact(F.array(*cells))).alias("cell")).select(pk, "cell.*")
-    return out.select(rows.columns), manifest
+    return rows.withColumns(out), manifest
 
 
 def plain_text(value: Column) -> Column:

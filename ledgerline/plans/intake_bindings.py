@@ -69,13 +69,13 @@ _HITS = ", ".join(f"CAST(k_{c} < {bar} AS INTEGER) AS h_{c}" for c, bar in _BARS
 
 
 @query(f"""
-    WITH r AS (SELECT id, rating_type, 'land and sea ' || rating_type AS note, rating_date, floor(rating_value) AS rating_value, {_PICKS} FROM player_rating_history), h AS (SELECT *, {_HITS} FROM r)
+    WITH r AS (SELECT id, rating_type, 'land and sea ' || rating_type AS note, rating_date, rating_value, {_PICKS} FROM player_rating_history), h AS (SELECT *, {_HITS} FROM r)
     SELECT id, CASE WHEN h_rating_type = 1 THEN NULL ELSE rating_type END AS rating_type,
         CASE WHEN h_note = 0 THEN note WHEN k_note % 3 = 0 THEN note || ' ' WHEN k_note % 3 = 1 THEN ' ' || note ELSE replace(note, 'and', '&') END AS note,
         CASE WHEN h_rating_date = 0 OR h_rating_type + h_note >= 2 THEN rating_date WHEN k_rating_date % 2 = 0 THEN rating_date - 1 ELSE rating_date + 1 END AS rating_date,
         CASE WHEN h_rating_value = 0 OR h_rating_type + h_note + h_rating_date >= 2 THEN rating_value ELSE round(rating_value * (1.15::DOUBLE + k_rating_value % 50 / 100.0::DOUBLE), 3) END AS rating_value FROM h""")
 def faults_of_a_level(t: dict[str, DataFrame]) -> DataFrame:
-    rows = t["player_rating_history"].select("id", "rating_type", F.concat(F.lit("land and sea "), "rating_type").alias("note"), "rating_date", F.floor("rating_value").cast("double").alias("rating_value"))  # whole numbers: no ties when rounded
+    rows = t["player_rating_history"].select("id", "rating_type", F.concat(F.lit("land and sea "), "rating_type").alias("note"), "rating_date", "rating_value")
     return quality.inject_level(rows, "id", FAULTS, "very_high", "level")[0]
 
 

@@ -57,6 +57,8 @@ def test_levels_protect_and_hit_two_fields_at_most(spark):
     kinds = {"a": "name_case", "b": "soft_join", "c": "missing", "d": "missing", "day": "jitter"}
     bad, cells = quality.inject_level(rows, "id", kinds, "very_high", "s")
     assert cells.groupBy("id").count().agg(F.max("count")).first()[0] <= 2
+    changed = sum((~F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))).cast("int") for c in kinds)
+    assert rows.alias("x").join(bad.alias("y"), "id").agg(F.max(changed)).first()[0] == 2
     assert bad.where(F.abs(F.datediff("day", F.lit(dt.date(2025, 1, 1)))) > 1).count() == 0
     assert {r["issue_type"] for r in cells.select("issue_type").distinct().collect()} == {"name_case", "soft_join", "missing", "jitter"}
     assert quality.inject_level(rows, "id", kinds, "none", "s")[1].count() == 0
