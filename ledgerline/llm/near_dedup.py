@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import body, cut, small_batches, tidy
@@ -109,6 +109,26 @@ def bands(sample: np.ndarray) -> np.ndarray:
     return mix(key + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def packed_bytes(sample: np.ndarray) -> np.ndarray:
+    """The low bytes of each text's samples, seven to a number; what is over is zero."""
+    low = (sample & np.uint64(0xFF)).astype(np.int64)
+    low = np.pad(low, ((0, 0), (0, -low.shape[1] % 7)))
+    return (low.reshape(len(low), -1, 7) << (8 * np.arange(7))).sum(axis=2)
+
+
+def equal_bytes(x: Column, y: Column) -> Column:
+    """How many of seven packed bytes are equal: those that have no bit of x xor y."""
+    v = x.bitwiseXOR(y)
+    low, high = F.lit(0x7F7F7F7F7F7F7F), F.lit(0x80808080808080)
+    return F.lit(7) - F.bit_count((v.bitwiseAND(low) + low).bitwiseOR(v).bitwiseAND(high))
+
+
+def equal_samples(x: str, y: str, count: int) -> Column:
+    """How many of ``count`` samples, packed by ``packed_bytes``, are equal. Chance makes a few more so, never fewer."""
+    words = -(-count // 7)
+    return sum((equal_bytes(F.col(x)[i], F.col(y)[i]) for i in range(words)), F.lit(count - 7 * words))
+
+
 def _local(share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, kept, held = 0, (np.empty(0, np.uint64), np.empty(0, np.int64)), []
@@ -191,8 +211,8 @@ def _sign(shared):
                 full[who] = sample
                 sizes = np.bincount(doc, w, minlength=n)
                 keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.isin(np.arange(n), who) * BANDS)]), pa.int32()), pa.array(bands(sample).view(np.int64).ravel()))
-                low = (full & np.uint64(0x7FFFFFFF)).astype(np.int32).ravel()
-                yield pa.RecordBatch.from_arrays([ids.slice(which.start, n), nodes.slice(which.start, n), pa.array(sizes), keys, pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * SAMPLES, pa.int32()), pa.array(low))], names=["doc_id", "node", "size", "bands", "sample"])
+                low = packed_bytes(full)
+                yield pa.RecordBatch.from_arrays([ids.slice(which.start, n), nodes.slice(which.start, n), pa.array(sizes), keys, pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * low.shape[1], pa.int32()), pa.array(low.ravel()))], names=["doc_id", "node", "size", "bands", "sample"])
 
     return run
 
@@ -223,8 +243,8 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("h")]
             w = np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in batch.column("w")])
             _, found = samples(np.repeat(np.arange(len(hashes)), [len(x) for x in hashes]), np.concatenate(hashes), w, _FINE_SEEDS)
-            low = (found & np.uint64(0xFF)).astype(np.uint8).view(np.int8).ravel()
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * FINE, pa.int32()), pa.array(low))], names=["node", "fine"])
+            low = packed_bytes(found)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * low.shape[1], pa.int32()), pa.array(low.ravel()))], names=["node", "fine"])
 
 
 def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
@@ -343,7 +363,7 @@ def classed_nodes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFr
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(body()).alias("text")).withColumn("node", node_of("text"))
     model = spark.sparkContext.broadcast(frequencies(rows.select("text")))
-    signed = cut(rows.mapInArrow(_sign(model), "doc_id long, node binary, size double, bands array<long>, sample array<int>"))
+    signed = cut(rows.mapInArrow(_sign(model), "doc_id long, node binary, size double, bands array<long>, sample array<long>"))
     nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("size", "bands", "sample")).alias("x"), F.count("*").alias("n")).select("node", "doc_id", "x.size", "x.bands", "x.sample", "n"))
     members = nodes.select("node", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > 1)
@@ -380,16 +400,16 @@ def classed_nodes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFr
     slack = 1 - 1e-3
     tidy(spark)
     free = cut(free.where(F.col("shared") >= F.col("size") * (similarity * slack)).drop("id", "alone"))
-    free = cut(free.join(sets.join(free.select("node"), "node").mapInArrow(_fine, "node binary, fine array<tinyint>"), "node"))
+    free = cut(free.join(sets.join(free.select("node"), "node").mapInArrow(_fine, "node binary, fine array<long>"), "node"))
     part = similarity / (1 + similarity) * slack
     most = None
     for least in FINE_LIKE:
         now = open_.select("key", "node").join(free, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         a, b = (now.select(F.col("key").alias(f"key_{x}"), F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("size").alias(f"s{x}"), F.col("shared").alias(f"v{x}"), F.col("sample").alias(f"p{x}"), F.col("fine").alias(f"f{x}"), F.col("bands").alias(f"k{x}")) for x in "ab")
-        equal = lambda one, two: F.aggregate(F.zip_with(one, two, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        alike = equal("fa", "fb")
+        # Many numbers are folded, as an expression for each would be too much code for the compiler.
+        alike = F.aggregate(F.zip_with("fa", "fb", equal_bytes), F.lit(FINE - 7 * -(-FINE // 7)), lambda s, x: s + x)
         needed = (F.col("sa") + F.col("sb")) * part
-        fits = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("va", "vb") >= needed) & (equal("pa", "pb") >= LIKE) & (alike >= least)
+        fits = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("va", "vb") >= needed) & (equal_samples("pa", "pb", SAMPLES) >= LIKE) & (alike >= least)
         fits = fits if most is None else fits & (alike < most)
         # Two that share several buckets meet in the first only.
         once = F.array_min(F.array_intersect("ka", "kb")) == F.col("key_a")

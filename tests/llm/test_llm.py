@@ -347,6 +347,18 @@ def test_near_copies_with_null_and_repeated_ids(spark):
     assert got == {(4, a): 1, (7, b): 1, (None, c): 1, (None, d): 1}
 
 
+def test_packed_samples_count_as_they_are(spark):
+    rng = np.random.default_rng(1)
+    for k in (near_dedup.SAMPLES, near_dedup.FINE):
+        a, b = (rng.integers(0, 1 << 63, (200, k), dtype=np.uint64) for _ in "ab")
+        b = np.where(rng.random((200, k)) < 0.5, a, b)
+        a[:5], b[:3], b[5:9] = 0xFF, 0, a[5:9]
+        rows = [(i, *([int(v) for v in near_dedup.packed_bytes(x)[i]] for x in (a, b))) for i in range(200)]
+        df = spark.createDataFrame(rows, "i long, x array<long>, y array<long>").orderBy("i")
+        want = ((a ^ b) & np.uint64(0xFF) == 0).sum(axis=1).tolist()
+        assert [r[0] for r in df.select(near_dedup.equal_samples("x", "y", k)).collect()] == want
+
+
 def test_samples_meet_as_often_as_weights_overlap():
     rng = np.random.default_rng(0)
     h = rng.integers(1, 1 << 62, 4000, dtype=np.uint64)
