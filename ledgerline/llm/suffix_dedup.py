@@ -9,7 +9,7 @@ name. Under a name the suffixes are sorted by the difference-cover algorithm.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,9 @@ LENGTH = 400
 GRAM = 32
 PART = 512 << 10  # bytes of a text that are looked through at once
 SORTED_BYTES = 800_000  # that one suffix sort takes at most; a rank then has 21 bits
-STRINGS = 200_000  # that one task compares by digest
+STRINGS = 200_000  # that one task counts or compares by digest
+SPLITS = 2  # rounds of further anchors under a name that is too large for one sort
+OFTEN = 100_000  # k-grams that a round broadcasts at most
 BATCH_BYTES = 100_000  # that one takes if no single name needs more: it stays in a core's cache
 _POS = np.uint64((1 << 24) - 1)
 
@@ -38,6 +40,23 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
+def served(h: np.ndarray, names: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, first string, strings) of the anchors of one text whose k-grams have hashes ``h``."""
+    key = h & ~_POS
+    key |= np.arange(len(h), dtype=np.uint64)
+    owner = sliding_minimum(key, width)
+    first = np.flatnonzero(owner[1:] != owner[:-1]) + 1
+    first = np.concatenate([[0], first])
+    name = names[(owner[first] & _POS).astype(np.int64)]
+    new = np.concatenate([[True], name[1:] != name[:-1]])
+    first, name = first[new], name[new]
+    count = np.diff(np.append(first, len(owner)))
+    pieces = -(-count // width)
+    of = np.repeat(np.arange(len(first)), pieces)
+    skipped = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * width
+    return name[of], first[of] + skipped, np.minimum(count[of] - skipped, width)
+
+
 def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(name, first string, strings) of each anchor of one text.
 
@@ -51,19 +70,8 @@ def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
     for base in range(0, max(len(raw) - length + 1, 0), PART):
         piece = raw[base : base + PART + length - 1]
         h = gram_hashes(np.frombuffer(piece, np.uint8), gram)
-        key = h & ~_POS
-        key |= np.arange(len(h), dtype=np.uint64)
-        owner = sliding_minimum(key, width)
-        first = np.flatnonzero(owner[1:] != owner[:-1]) + 1
-        first = np.concatenate([[0], first])
-        name = h[(owner[first] & _POS).astype(np.int64)]
-        new = np.concatenate([[True], name[1:] != name[:-1]])
-        first, name = first[new], name[new]
-        count = np.diff(np.append(first, len(owner)))
-        pieces = -(-count // width)
-        of = np.repeat(np.arange(len(first)), pieces)
-        skipped = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * width
-        out.append((name[of], first[of] + skipped + base, np.minimum(count[of] - skipped, width)))
+        name, first, count = served(h, h, width)
+        out.append((name, first + base, count))
     if not out:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -192,6 +200,11 @@ def repeated(contexts: list[bytes], times: np.ndarray, length: int) -> list[np.n
     return [hit[f : f + n] | (t > 1) for f, n, t in zip(first.tolist(), strings.tolist(), times.tolist(), strict=True)]
 
 
+def _has_twice(ctx: bytes) -> bool:
+    h = gram_hashes(np.frombuffer(ctx, np.uint8), GRAM)
+    return len(np.unique(h)) < len(h)
+
+
 def _sorted(length: int):
     """Contexts come by name; whole names are sorted together, some at a time."""
 
@@ -209,10 +222,11 @@ def _sorted(length: int):
 
         def closed():
             nonlocal size, group_size
-            # One that stands alone but occurs twice needs no sort; all its strings do.
+            # One that stands alone but occurs twice needs no sort; all its strings do. One that
+            # occurs once has no string twice if it has no k-gram twice.
             if len(group) == 1 and group[0][2] > 1:
                 alone.append(group[0])
-            else:
+            elif len(group) != 1 or _has_twice(group[0][1]):
                 held.extend(group)
                 size += group_size
             group.clear()
@@ -253,7 +267,7 @@ def _digests(part: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray,
 
 def _by_part(found: np.ndarray, parts: int, use: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
     """The strings to ``use`` by part of their digests' range: the part, and each column's bytes there."""
-    to = (np.ascontiguousarray(found).view(np.uint64)[::2] % np.uint64(parts)).astype(np.int64)
+    to = (np.ascontiguousarray(found).view(np.uint64)[:: found.itemsize // 8] % np.uint64(parts)).astype(np.int64)
     to[~use] = parts
     order = np.argsort(to, kind="stable")
     cuts = np.searchsorted(to[order], np.arange(parts + 1))
@@ -261,35 +275,86 @@ def _by_part(found: np.ndarray, parts: int, use: np.ndarray, *columns: np.ndarra
     return [pa.array(full), *(pa.array([x[order[cuts[p] : cuts[p + 1]]].tobytes() for p in full], pa.binary()) for x in (found, *columns))]
 
 
-def _counted(length: int, parts: int):
+def _counted(of: Callable[[pa.RecordBatch], np.ndarray], parts: int):
     """How often each string is there, added up for some contexts at a time and packed by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _sliced(batches, 200):
-            string, n = np.unique(_digests(part, length)[0], return_counts=True)
+            string, n = np.unique(of(part), return_counts=True)
             yield pa.RecordBatch.from_arrays(_by_part(string, parts, np.ones(len(n), bool), n), names=["part", "string", "n"])
 
     return run
 
 
-def _above(least: int):
-    """The strings of a part that more than ``least`` contexts hold."""
+def _above(least: int, kind: str):
+    """The strings of a part that are there more than ``least`` times."""
 
     def run(table: pa.Table) -> pa.Table:
-        found, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("string", "V16"), ("n", np.int64)))
+        found, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("string", kind), ("n", np.int64)))
         string, of = np.unique(found, return_inverse=True)
-        return pa.table({"string": pa.array(string[np.bincount(of, n) > least].tolist(), pa.binary())})
+        return pa.table({"string": pa.array([x.tobytes() for x in string[np.bincount(of, n) > least]], pa.binary())})
+
+    return run
+
+
+def _frequent(wide: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray], kind: str, parts: int, least: int) -> np.ndarray:
+    """What ``of`` finds in contexts more than ``least`` times in all; the caller bounds how many that can be."""
+    often = wide.mapInArrow(_counted(of, parts), "part long, string binary, n binary").groupBy("part").applyInArrow(_above(least, kind), "string binary").toArrow()
+    return np.sort(np.frombuffer(b"".join(often.column("string").to_pylist()), kind))
+
+
+def _marks(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the k-grams of some contexts, another order under every name, and how many each has."""
+    names = np.asarray(part.column("name")).view(np.uint64)
+    each = [gram_hashes(np.frombuffer(c, np.uint8), GRAM) for c in part.column("ctx").to_pylist()]
+    sizes = np.array([len(h) for h in each])
+    h = np.concatenate(each) ^ np.repeat(names, sizes)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(31)
+    return h, sizes
+
+
+def _split(length: int, hot: np.ndarray):
+    """The strings of contexts under further anchors: of the k-grams that are not hot, that of smallest hash.
+
+    Strings of hot k-grams only stay together under their name.
+    """
+    names = ["whole", "whole_times", "at", "name", "key", "ctx"]
+    types = (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _sliced(batches, 200):
+            rows: list[tuple] = []
+            h, sizes = _marks(part)
+            is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
+            name = np.where(is_hot, np.repeat(np.asarray(part.column("name")).view(np.uint64), sizes), h)
+            h[is_hot] = ~np.uint64(0)
+            cuts = np.cumsum([0, *sizes])
+            for i, (key, ctx, times) in enumerate(zip(*(part.column(c).to_pylist() for c in ("key", "ctx", "times")), strict=True)):
+                mine = slice(cuts[i], cuts[i + 1])
+                for own, first, n in zip(*(x.tolist() for x in served(h[mine], name[mine].view(np.int64), length - GRAM + 1)), strict=True):
+                    sub = ctx[first : first + n + length - 1]
+                    rows.append((key, times, first, own, hashlib.md5(sub).digest(), sub))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return run
 
 
+def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where in its context the repeated strings of a part of it stand."""
+    for part in _sliced(batches, 1000):
+        at = [np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8))) + a for b, a in zip(part.column("bits").to_pylist(), part.column("at").to_pylist(), strict=True)]
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) for x in at)]), pa.int32()), pa.array(np.concatenate(at).astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([part.column("whole"), lists, part.column("whole_times")], names=["key", "at", "times"])
+
+
 def _by_key(own: np.ndarray, at: np.ndarray, times: np.ndarray, key) -> pa.RecordBatch:
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.empty(0, int)
     lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(own)), pa.int32()), pa.array(at.astype(np.int32)))
     return pa.RecordBatch.from_arrays([pa.array([key(i) for i in own[first].tolist()], pa.binary()), lists, pa.array(times[first].astype(np.int64))], names=["key", "at", "times"])
 
 
-def _often(length: int, hot: np.ndarray):
+def _places(length: int, hot: np.ndarray):
     """Where contexts hold the strings that most contexts hold; those are repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,6 +441,53 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(kept, pa.binary()), part.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(count, pa.int64())], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
 
+WHERE = "key binary, at array<int>, times long"
+
+
+def by_digest(wide: DataFrame, total: int, length: int) -> DataFrame:
+    """key, at, times: where strings stand that ``wide`` holds twice, told by the digests of its ``total`` strings."""
+    parts = max(1, -(-total // STRINGS))
+    often = _frequent(wide, lambda part: _digests(part, length)[0], "V16", parts, max(total // HOT, 1))
+    return wide.mapInArrow(_places(length, often), WHERE).unionByName(wide.mapInArrow(_dealt(length, often, parts), "part long, string binary, keys binary, at binary, times binary").groupBy("part").applyInArrow(_twice, WHERE))
+
+
+def by_further_anchors(wide: DataFrame, total: int, length: int, splits: int) -> DataFrame:
+    """key, at, times: where strings stand that ``wide`` holds twice, told under a second anchor.
+
+    A k-gram that is there more often than one sort bears is hot and serves no string that has another one,
+    so what comes under an anchor fits, but for the strings that have hot k-grams only.
+    """
+    least = max(SORTED_BYTES // (2 * (2 * length - GRAM)), total // OFTEN)
+    hot = _frequent(wide, lambda part: _marks(part)[0], "u8", max(1, -(-total // STRINGS)), least)
+    path = scratch(wide.sparkSession, "split")
+    wide.mapInArrow(_split(length, hot), "whole binary, whole_times long, at int, name long, key binary, ctx binary").write.option("compression", "zstd").parquet(path)
+    under = wide.sparkSession.read.parquet(path)
+    distinct = cut(under.groupBy("name", "key").agg(F.first("ctx").alias("ctx"), F.sum("whole_times").alias("times")))
+    flags = judged(distinct, length, splits - 1)
+    times = distinct.agg(F.sum("times")).first()[0]
+    found = cut(hot_join(under.select("whole", "whole_times", "at", "key"), flags, "key", "times", times).mapInArrow(_moved, WHERE))
+    drop(wide.sparkSession, path)
+    return found
+
+
+def judged(distinct: DataFrame, length: int, splits: int | None = None) -> DataFrame:
+    """key, bits, times: which strings of each context are there twice under its name.
+
+    Names that one sort can take are sorted. Larger ones are split by further anchors; what stays
+    too large after ``splits`` rounds (strings of nothing but frequent k-grams) is told by digests.
+    """
+    splits = SPLITS if splits is None else splits
+    large = cut(distinct.groupBy("name").agg(F.sum(F.octet_length("ctx") + 1).alias("size"), F.count("*").alias("k")).where(F.col("size") > SORTED_BYTES))
+    flags = distinct.join(large, "name", "left_anti").repartition(partitions(distinct.sparkSession), "name").sortWithinPartitions("name").mapInArrow(_sorted(length), "key binary, bits binary, times long")
+    if large.isEmpty():
+        return flags
+    wide = cut(hot_join(distinct, large.select("name", "k"), "name", "k", distinct.count(), "left_semi"))
+    total = wide.agg(F.sum(F.octet_length("ctx") - (length - 1))).first()[0]
+    at = by_further_anchors(wide, total, length, splits) if splits else by_digest(wide, total, length)
+    at = at.groupBy("key").agg(F.flatten(F.collect_list("at")).alias("at"), F.first("times").alias("times"))
+    return flags.unionByName(at.mapInArrow(_bits, "key binary, bits binary, times long"))
+
+
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, kept (the remaining bytes), n_bytes, n_removed, n_spans: a row per row of ``docs``.
 
@@ -384,7 +496,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     one node: if there are two and they have ``length`` bytes, all of them goes. Anchors are
     counted over the nodes; the texts around repeated ones are gathered under the anchor's
     name, equal surroundings once, and sorted by suffixes. A name with more different
-    surroundings than one sort takes is judged string by string, by digest, so that no name
+    surroundings than one sort takes is split by further anchors (``judged``), so that no name
     is ever in one task; names, surroundings and texts that most rows have are joined by
     broadcast (``hot_join``). A null text is empty; very long texts go through in parts; a null
     doc_id and repeated rows are rows as any; an empty table gives no rows; other columns,
@@ -409,20 +521,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # One row of rows by (node, first) can be there twice only for repeated rows.
     distinct = around.dropDuplicates(["node", "first"]).groupBy("name", "key").agg(F.first("ctx").alias("ctx"), F.count("*").alias("times"))
     distinct = cut(distinct)
-    large = cut(distinct.groupBy("name").agg(F.sum(F.octet_length("ctx") + 1).alias("size"), F.count("*").alias("k")).where(F.col("size") > SORTED_BYTES))
-    n = partitions(spark)
-    flags = distinct.join(large, "name", "left_anti").repartition(n, "name").sortWithinPartitions("name").mapInArrow(_sorted(length), "key binary, bits binary, times long")
-    some = distinct.agg(F.count("*").alias("contexts"), F.sum("times").alias("times")).first()
-    # Names with more around them than one sort takes, string by string.
-    wide = cut(hot_join(distinct, large.select("name", "k"), "name", "k", some["contexts"], "left_semi"))
-    total = wide.agg(F.sum(F.octet_length("ctx") - (length - 1))).first()[0] or 0
-    parts = max(1, -(-total // STRINGS))
-    often = wide.mapInArrow(_counted(length, parts), "part long, string binary, n binary").groupBy("part").applyInArrow(_above(max(total // HOT, 1)), "string binary").toArrow()
-    often = np.frombuffer(b"".join(often.column("string").to_pylist()), "V16")  # fewer than HOT
-    where = "key binary, at array<int>, times long"
-    hot = wide.mapInArrow(_often(length, often), where).unionByName(wide.mapInArrow(_dealt(length, often, parts), "part long, string binary, keys binary, at binary, times binary").groupBy("part").applyInArrow(_twice, where))
-    hot = hot.groupBy("key").agg(F.flatten(F.collect_list("at")).alias("at"), F.first("times").alias("times"))
-    flags = cut(flags.unionByName(hot.mapInArrow(_bits, "key binary, bits binary, times long")))
+    flags = cut(judged(distinct, length))
+    some = distinct.agg(F.sum("times").alias("times")).first()
     spans = cut(
         hot_join(around.select("node", "first", "key"), flags, "key", "times", some["times"] or 0).mapInArrow(_runs(length), "node binary, s long, e long")
         .groupBy("node").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))
