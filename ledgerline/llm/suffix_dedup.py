@@ -395,7 +395,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = []
         for at in part.column("at"):
             at = np.asarray(at.values)
-            x = np.zeros(int(at.max()) + 1, bool)
+            x = np.zeros(int(at.max(initial=0)) + 1, bool)
             x[at] = True
             bits.append(np.packbits(x).tobytes())
         yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(bits, pa.binary()), part.column("times")], names=["key", "bits", "times"])
