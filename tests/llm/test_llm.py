@@ -276,6 +276,20 @@ def test_repeats_of_periodic_texts_and_a_common_passage(spark, monkeypatch, sort
     assert [got[i] for i in range(len(made))] == brute([t.encode() for t in made], 400)
 
 
+@pytest.mark.parametrize("splits", [0, 2])
+def test_a_large_name_is_split_by_further_anchors(spark, monkeypatch, splits):
+    monkeypatch.setattr(suffix_dedup, "SORTED_BYTES", 40_000)
+    monkeypatch.setattr(suffix_dedup, "SPLITS", splits)
+    told, by_digest = [], suffix_dedup.by_digest
+    monkeypatch.setattr(suffix_dedup, "by_digest", lambda *a: told.append(a[1]) or by_digest(*a))
+    common, twice = " ".join(words(70, 7)), " ".join(words(70, 8))
+    made = [" ".join(words(70, 500 + i)) + common + " ".join(words(70, 700 + i)) for i in range(150)]
+    made += [" ".join(words(9, 900 + i)) + common + twice for i in range(2)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.repeat_digest(docs_of(spark, made)).collect()}
+    assert [got[i] for i in range(len(made))] == brute([t.encode() for t in made], 400)
+    assert bool(told) == (splits == 0)
+
+
 def test_periodic_text_has_few_anchors():
     for text in (b"abcdefghij" * 2_000, b"x" * 20_000, (b"y" * 59 + b"\n") * 300):
         names, firsts, counts = suffix_dedup.anchors(text)
