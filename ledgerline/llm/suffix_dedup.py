@@ -40,25 +40,29 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
-def served(h: np.ndarray, names: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, first string, strings) of the anchors of one text whose k-grams have hashes ``h``."""
+def served(h: np.ndarray, names: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name, first string, strings, joined) of the anchors of one text whose k-grams have hashes ``h``.
+
+    ``joined``: the anchor stands for several places of its k-gram, so it can hold a string twice by itself.
+    """
     key = h & ~_POS
     key |= np.arange(len(h), dtype=np.uint64)
     owner = sliding_minimum(key, width)
     first = np.flatnonzero(owner[1:] != owner[:-1]) + 1
     first = np.concatenate([[0], first])
     name = names[(owner[first] & _POS).astype(np.int64)]
-    new = np.concatenate([[True], name[1:] != name[:-1]])
+    new = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    joined = np.diff(np.append(new, len(name))) > 1
     first, name = first[new], name[new]
     count = np.diff(np.append(first, len(owner)))
     pieces = -(-count // width)
     of = np.repeat(np.arange(len(first)), pieces)
     skipped = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * width
-    return name[of], first[of] + skipped, np.minimum(count[of] - skipped, width)
+    return name[of], first[of] + skipped, np.minimum(count[of] - skipped, width), joined[of]
 
 
-def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, first string, strings) of each anchor of one text.
+def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name, first string, strings, joined) of each anchor of one text.
 
     The strings whose anchor has that name start at ``first string`` and at the ``strings`` - 1
     places after it. Neighbours whose anchors have one name stay together, up to as many as one
@@ -70,10 +74,10 @@ def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
     for base in range(0, max(len(raw) - length + 1, 0), PART):
         piece = raw[base : base + PART + length - 1]
         h = gram_hashes(np.frombuffer(piece, np.uint8), gram)
-        name, first, count = served(h, h, width)
-        out.append((name, first + base, count))
+        name, first, count, joined = served(h, h, width)
+        out.append((name, first + base, count, joined))
     if not out:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -89,8 +93,8 @@ def _find(length: int):
         for part in _sliced(batches, 200):
             found = [anchors(x.as_buffer().to_pybytes(), length) for x in part.column("raw")]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in found])]), pa.int32())
-            names, firsts, counts = (np.concatenate(x) for x in zip(*found, strict=True))
-            each = pa.StructArray.from_arrays([pa.array(names.view(np.int64)), pa.array(firsts.astype(np.int32)), pa.array(counts.astype(np.int32))], names=["name", "first", "n"])
+            names, firsts, counts, joined = (np.concatenate(x) for x in zip(*found, strict=True))
+            each = pa.StructArray.from_arrays([pa.array(names.view(np.int64)), pa.array(firsts.astype(np.int32)), pa.array(counts.astype(np.int32)), pa.array(joined)], names=["name", "first", "n", "joined"])
             yield pa.RecordBatch.from_arrays([part.column("node"), part.column("doc_id"), pa.ListArray.from_arrays(offsets, each)], names=["node", "doc_id", "anchors"])
 
     return run
@@ -332,7 +336,7 @@ def _split(length: int, hot: np.ndarray):
             cuts = np.cumsum([0, *sizes])
             for i, (key, ctx, times) in enumerate(zip(*(part.column(c).to_pylist() for c in ("key", "ctx", "times")), strict=True)):
                 mine = slice(cuts[i], cuts[i + 1])
-                for own, first, n in zip(*(x.tolist() for x in served(h[mine], name[mine].view(np.int64), length - GRAM + 1)), strict=True):
+                for own, first, n, _ in zip(*(x.tolist() for x in served(h[mine], name[mine].view(np.int64), length - GRAM + 1)), strict=True):
                     sub = ctx[first : first + n + length - 1]
                     rows.append((key, times, first, own, hashlib.md5(sub).digest(), sub))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -494,7 +498,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Each byte that lies in a string of ``length`` bytes which also starts anywhere else goes;
     strings never reach over a text's end, and all are judged on the input. Equal texts are
     one node: if there are two and they have ``length`` bytes, all of them goes. Anchors are
-    counted over the nodes; the texts around repeated ones are gathered under the anchor's
+    counted over the nodes; the texts around those that are there twice, or that stand for several
+    places of one text that repeats itself, are gathered under the anchor's
     name, equal surroundings once, and sorted by suffixes. A name with more different
     surroundings than one sort takes is split by further anchors (``judged``), so that no name
     is ever in one task; names, surroundings and texts that most rows have are joined by
@@ -506,11 +511,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     text = F.encode(body(), "utf-8")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("node"), text.alias("raw"), F.octet_length(text).cast("long").alias("n_bytes"))
     long_ = rows.where(F.col("n_bytes") >= length)
-    found = long_.mapInArrow(_find(length), "node binary, doc_id long, anchors array<struct<name:long,first:int,n:int>>")
+    found = long_.mapInArrow(_find(length), "node binary, doc_id long, anchors array<struct<name:long,first:int,n:int,joined:boolean>>")
     nodes = cut(found.groupBy("node").agg(F.min(F.struct("doc_id", "anchors")).alias("x"), F.count("*").alias("copies")).select("node", "x.doc_id", "x.anchors", "copies"))
     totals = nodes.agg(F.sum("copies").alias("rows"), F.sum(F.size("anchors")).alias("anchors")).first()
-    each = nodes.select("node", F.explode("anchors").alias("a")).select("node", "a.name", "a.first", "a.n")
-    twice = cut(each.groupBy("name").agg(F.count("*").alias("k")).where(F.col("k") > 1))
+    each = nodes.select("node", F.explode("anchors").alias("a")).select("node", "a.name", "a.first", "a.n", "a.joined")
+    twice = cut(each.groupBy("name").agg(F.count("*").alias("k"), F.max("joined").alias("joined")).where((F.col("k") > 1) | F.col("joined")).select("name", "k"))
     kept = hot_join(each, twice, "name", "k", totals["anchors"] or 0, "left_semi").groupBy("node").agg(F.collect_list(F.struct("name", "first", "n")).alias("found"))
     kept = kept.join(nodes.select("node", "doc_id"), "node").withColumnRenamed("doc_id", "id").withColumnRenamed("node", "key")
     texts = long_.join(kept, (long_["node"] == kept["key"]) & long_["doc_id"].eqNullSafe(kept["id"])).select("node", "raw", "found")

@@ -292,10 +292,32 @@ def test_a_large_name_is_split_by_further_anchors(spark, monkeypatch, splits):
 
 def test_periodic_text_has_few_anchors():
     for text in (b"abcdefghij" * 2_000, b"x" * 20_000, (b"y" * 59 + b"\n") * 300):
-        names, firsts, counts = suffix_dedup.anchors(text)
+        names, firsts, counts, _ = suffix_dedup.anchors(text)
         assert len(names) < 150 and counts.sum() == len(text) - 399 and firsts[0] == 0 and counts.max() <= 369
 
 
+@pytest.mark.parametrize("alone", ["And " * 100, "And " * 128, "And " * 300])
+def test_one_text_that_repeats_itself(spark, alone):
+    (got,) = suffix_dedup.repeat_digest(docs_of(spark, [alone])).collect()
+    assert (got["n_bytes"], got["n_removed"], got["n_spans"], got["kept_sha256"]) == brute([alone.encode()], 400)[0]
+
+
+def test_periodic_runs_between_words(spark):
+    rng = np.random.default_rng(3)
+    letters = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    made = []
+    for size in (401, 450, 520, 640, 800):
+        for period in (1, 2, 4, 13, 31, 32, 33, 60):
+            made.append(letters(300) + (letters(period) * size)[:size] + letters(500))
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.repeat_digest(docs_of(spark, [t.decode() for t in made])).collect()}
+    assert [got[i] for i in range(len(made))] == brute(made, 400)
+
+
+def test_repeats_of_all_documents_by_brute_force(spark, texts):
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.repeat_digest(load(spark, SF, "documents")).collect()}
+    assert [got[i] for i in texts] == brute([t.encode() for t in texts.values()], 400)
+
+
 def test_repeats_of_odd_rows(spark):
     rows = docs_of(spark, ["x" * 500, None, "a" * 399, "x" * 500, "é" * 3, None], [1, 2, 3, 1, None, None]).withColumn("node", F.lit(1)).withColumn("raw", F.lit("r"))
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup.repeat_digest(rows).collect())
