@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import load
+from .divergence import ORACLE as DIVERGENCE_ORACLE
+from .divergence import source_divergence
 from .exact_dedup import exact_duplicates
+from .filter_audit import ORACLE as FILTER_ORACLE
+from .filter_audit import filter_interactions
 from .line_dedup import ORACLE as LINE_ORACLE
 from .line_dedup import line_digest
 from .mixing import ORACLE as MIX_ORACLE
@@ -16,6 +20,7 @@ from .near_dedup import near_duplicates
 from .packing import pack
 from .quality import quality
 from .suffix_dedup import repeat_digest
+from .token_counts import token_counts
 from .topk_search import search
 from .toxicity import toxicity
 from .url_filter import judge
@@ -61,6 +66,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(load(spark, sf_dir, "pages"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(load(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(load(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_interactions(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
@@ -72,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_token_counts": op11_token_counts,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -89,4 +109,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, CAST(count(*) OVER (PARTITION BY norm) AS BIGINT) AS group_size,
                doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM t""",
+    "op12_source_divergence": DIVERGENCE_ORACLE,
+    "op13_filter_audit": FILTER_ORACLE,
 }

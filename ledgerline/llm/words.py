@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK_BYTES = 512 << 10
 
@@ -102,3 +104,31 @@ def blocks(texts: Sequence[str] | pa.Array, inside: np.ndarray, limit: int = BLO
         size += len(raw) + 1
     if held:
         yield slice(first, first + len(held)), Block(held, inside)
+
+
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def segments(raw: bytes, limit: int = BLOCK_BYTES) -> Iterator[bytes]:
+    """A text in parts of about ``limit`` bytes that end at ASCII white space, so no word is cut."""
+    at = 0
+    while len(raw) - at > limit:
+        gap = _GAP.search(raw, at + limit)
+        if gap is None:
+            break
+        yield raw[at : gap.start()]
+        at = gap.end()
+    yield raw[at:] if at else raw
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int, rows: int = 200, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut to ``rows`` rows and about ``size`` bytes of a column: what Python makes of them is many times as large."""
+    for batch in batches:
+        first, held = 0, 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+            if i > first and (held + n > size or i - first == rows):
+                yield batch.slice(first, i - first)
+                first, held = i, 0
+            held += n
+        if batch.num_rows > first:
+            yield batch.slice(first)
