@@ -59,3 +59,16 @@ def growth(rows: DataFrame, order: str, *values: str, within: Sequence[str] = ()
 def age_years(birth: Column, at: Column) -> Column:
     """Whole years by the calendar: a birthday counts from its month and day."""
     return F.year(at) - F.year(birth) - (F.date_format(at, "MMdd") < F.date_format(birth, "MMdd")).cast("int")
+
+
+def trend(rows: DataFrame, order: str, value: str, warning: float, error: float, within: Sequence[str] = ()) -> DataFrame:
+    """order, value, earlier, expected, delta_pct, severity: each row against the line through the rows before it.
+
+    Two earlier rows make a line. ``rows`` are sums by release or batch, so a window over all of them is small.
+    """
+    before = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("earlier", F.count("*").over(before)).withColumn("slope", F.regr_slope(value, order).over(before)).withColumn("intercept", F.regr_intercept(value, order).over(before))
+    expected = F.when(F.col("earlier") >= 2, F.round(F.col("slope") * F.col(order) + F.col("intercept"), 4))
+    rows = rows.withColumn("expected", expected).withColumn("delta_pct", F.round(F.try_divide(F.lit(100.0) * (F.col(value) - F.col("expected")), F.col("expected")), 2))
+    severity = F.when(F.abs("delta_pct") >= error, "error").when(F.abs("delta_pct") >= warning, "warning").otherwise("ok")
+    return rows.select(*within, order, value, "earlier", "expected", "delta_pct", severity.alias("severity"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators import checks
+from ledgerline.sources.interim import kept
 
 from . import domain, reports, snapshots
 from .snapshots import Release
@@ -45,6 +46,7 @@ def _sql(batch: int, end: str) -> dict[str, str]:
             CAST(date_trunc('month', DATE '{end}' - 1) AS DATE) AS snapshot_month FROM ({players}) p LEFT JOIN (SELECT * FROM player_rating_history WHERE batch_id <= {batch} AND rating_date < DATE '{end}'
             QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY rating_date DESC, id DESC) = 1) h ON h.player_id = p.id LEFT JOIN regions g ON g.id = p.home_region_id""",
         "player_registrations": f"SELECT * FROM player_registrations WHERE batch_id = {batch} AND player_id IN (SELECT id FROM ({players}))",
+        "player_assessment_history": f"SELECT * FROM player_assessment_history WHERE batch_id = {batch} AND player_id IN (SELECT id FROM ({players}))",
         "clubs": clubs,
         "club_memberships": f"SELECT * EXCLUDE (start_date, end_date), start_date AS joined_date, {ends('end_date')} AS left_date FROM ({members}) WHERE club_id IN (SELECT id FROM ({clubs}))",
         "teams": f"SELECT * EXCLUDE (team_status, dissolution_date), CASE WHEN dissolution_date >= DATE '{end}' AND team_status IN ('dormant', 'retired') THEN 'active' ELSE team_status END AS team_status, {ends('dissolution_date')} AS dissolution_date FROM ({teams})",
@@ -83,12 +85,12 @@ for _name, (_key, _more) in _ALSO.items():
 
 # --- checks of a release ----------------------------------------------------------------
 
-_REFERENCES = (("match_teams", "match_id", "matches", "id"), ("match_team_players", "match_team_id", "match_teams", "id"), ("match_games", "match_id", "matches", "id"), ("team_memberships", "team_id", "teams", "id"), ("team_memberships", "player_id", "player_master", "player_id"), ("club_memberships", "club_id", "clubs", "id"), ("player_master", "home_region_id", "regions", "id"), ("match_team_players", "player_id", "player_master", "player_id"))
+_REFERENCES = (("match_teams", "match_id", "matches", "id"), ("match_team_players", "match_team_id", "match_teams", "id"), ("match_games", "match_id", "matches", "id"), ("team_memberships", "team_id", "teams", "id"), ("team_memberships", "player_id", "player_master", "player_id"), ("club_memberships", "club_id", "clubs", "id"), ("player_master", "home_region_id", "regions", "id"), ("match_team_players", "player_id", "player_master", "player_id"), ("player_assessment_history", "player_id", "player_master", "player_id"), ("player_assessment_history", "batch_id", "monthly_batches", "id"))
 _REQUIRED = (("player_master", "rating_value"), ("matches", "winning_team_id"), ("match_games", "winning_team_number"))
 
 
 def _release_checks(t: dict[str, DataFrame]) -> DataFrame:
-    made = {name: f(t, UPDATE) for name, f in snapshots.SNAPSHOT.items()}
+    made = {name: kept(f(t, UPDATE)) for name, f in snapshots.SNAPSHOT.items()}  # each is made once and checked from there
     out = [checks.unique(n, rows, snapshots.KEYS.get(n, "id")) for n, rows in made.items()] + [checks.not_empty(n, rows) for n, rows in made.items()]
     out += [checks.references(f"{c}.{fk}", made[c], fk, made[p], pk) for c, fk, p, pk in _REFERENCES] + [checks.required(f"{n}.{c}", made[n], c) for n, c in _REQUIRED]
     out.append(checks.holds("window", "matches.match_date", made["matches"], "match_date >= DATE '2000-01-01' AND match_date < DATE '2001-01-01'"))
@@ -119,15 +121,21 @@ _SUMMARY = """SELECT match_id, count(*) AS games, count(*) FILTER (WHERE team_on
 _WON = f"SELECT *, CASE WHEN games_one > games_two THEN 1 WHEN games_two > games_one THEN 2 END AS winning_team_number FROM ({_SUMMARY})"
 
 add("match_summaries", snapshots.match_summaries, _WON)
-add("resolved_winners", snapshots.resolved_winners, f"SELECT m.id AS match_id, s.source_team_id AS resolved_team_id, m.winning_team_id IS NOT DISTINCT FROM s.source_team_id AS agrees FROM matches m JOIN ({_WON}) w ON w.match_id = m.id JOIN match_teams s ON s.match_id = m.id AND s.team_number = w.winning_team_number")
+add("resolved_winners", snapshots.resolved_winners, f"""
+    WITH s AS (SELECT match_id, max(source_team_id) FILTER (WHERE team_number = 1) AS a, max(source_team_id) FILTER (WHERE team_number = 2) AS b FROM match_teams GROUP BY 1),
+    x AS (SELECT m.id, m.winning_team_id, a, b, w.games_one - w.games_two AS g, w.points_one - w.points_two AS p, (CASE predicted_winning_team_number WHEN 1 THEN predicted_win_probability WHEN 2 THEN 1 - predicted_win_probability END) - 0.5 AS c
+          FROM matches m JOIN s ON s.match_id = m.id LEFT JOIN ({_SUMMARY}) w ON w.match_id = m.id),
+    d AS (SELECT *, CASE WHEN g <> 0 THEN 'games' WHEN p <> 0 THEN 'points' WHEN c <> 0 THEN 'chance' ELSE 'id' END AS decided_by FROM x),
+    e AS (SELECT *, CASE decided_by WHEN 'games' THEN g > 0 WHEN 'points' THEN p > 0 WHEN 'chance' THEN c > 0 ELSE coalesce(a, 1) <= coalesce(b, 2) END AS first FROM d)
+    SELECT id AS match_id, CASE WHEN first THEN a ELSE b END AS resolved_team_id, decided_by, winning_team_id IS NOT DISTINCT FROM CASE WHEN first THEN a ELSE b END AS agrees FROM e""")
 add("eligible_teams", lambda t: snapshots.eligible_teams(t, F.lit(date(1998, 1, 1))), """
     SELECT t.id AS team_id, CASE WHEN e.event_type IS NOT NULL THEN e.event_type IN ('formed', 'reactivated') ELSE coalesce(formation_date <= DATE '1998-01-01' AND team_status = 'active' AND (dissolution_date IS NULL OR dissolution_date > DATE '1998-01-01'), false) END AS is_active,
            CASE WHEN e.event_type IS NOT NULL THEN 'team_lifecycle_events' ELSE 'teams' END AS decided_by
     FROM teams t LEFT JOIN (SELECT * FROM team_lifecycle_events WHERE event_date <= DATE '1998-01-01' QUALIFY row_number() OVER (PARTITION BY team_id ORDER BY event_date DESC, id DESC) = 1) e ON e.team_id = t.id""")
 add("initial_states", lambda t: snapshots.initial_states(t, 4), """
-    SELECT p.id AS player_id, coalesce(h.rating_value, 1500.0::DOUBLE) AS rating, coalesce(h.confidence_score, 0.0::DOUBLE) AS confidence, coalesce(k, 0) AS rated_matches FROM players p
-    LEFT JOIN (SELECT * FROM player_rating_history WHERE batch_id < 4 QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY rating_date DESC, id DESC) = 1) h ON h.player_id = p.id
-    LEFT JOIN (SELECT player_id, count(*) AS k FROM player_rating_history WHERE batch_id < 4 AND rating_type = 'match_update' GROUP BY 1) c ON c.player_id = p.id""")
+    SELECT p.id AS player_id, coalesce(h.rating_value, 1500.0::DOUBLE) AS rating, h.confidence_score AS confidence, coalesce(k, 0) AS rated_matches FROM players p
+    LEFT JOIN (SELECT * FROM player_rating_history WHERE batch_id <= 4 QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY rating_date DESC, id DESC) = 1) h ON h.player_id = p.id
+    LEFT JOIN (SELECT player_id, count(*) AS k FROM player_rating_history WHERE batch_id <= 4 AND rating_type = 'match_update' GROUP BY 1) c ON c.player_id = p.id""")
 add("recent_opponents", lambda t: snapshots.recent_opponents(t, F.lit(date(1999, 6, 1))), """
     SELECT least(a.source_team_id, b.source_team_id) AS low_id, greatest(a.source_team_id, b.source_team_id) AS high_id, max(match_date) AS met_on, count(*) AS meetings FROM matches m
     JOIN match_teams a ON a.match_id = m.id AND a.team_number = 1 JOIN match_teams b ON b.match_id = m.id AND b.team_number = 2 WHERE match_date >= DATE '1999-06-01' GROUP BY 1, 2""")

@@ -88,6 +88,11 @@ def match_games(t: Tables, w: Release) -> DataFrame:
     return _of(t["match_games"], _matches(t, w).select("id"), "match_id")
 
 
+def player_assessment_history(t: Tables, w: Release) -> DataFrame:
+    """Assessments of the window's batches, of players who are in the release."""
+    return _of(t["player_assessment_history"].where(F.col("batch_id").isin(*w.facts)), _players(t, w).select("id"), "player_id")
+
+
 def teams(t: Tables, w: Release) -> DataFrame:
     """Teams formed by then, without dissolutions that lie ahead."""
     return known_as_of(_teams(t, w), "formation_date", "dissolution_date", w.at, "team_status")
@@ -117,7 +122,7 @@ def regions(t: Tables, w: Release) -> DataFrame:
 
 
 SNAPSHOT: dict[str, Callable[[Tables, Release], DataFrame]] = {
-    f.__name__: f for f in (monthly_batches, regions, player_master, player_registrations, clubs, club_memberships, teams, team_memberships, matches, match_teams, match_team_players, match_games)
+    f.__name__: f for f in (monthly_batches, regions, player_master, player_registrations, player_assessment_history, clubs, club_memberships, teams, team_memberships, matches, match_teams, match_team_players, match_games)
 }
 KEYS = {"player_master": "player_id"}
 
@@ -130,7 +135,7 @@ def delta(name: str, t: Tables, w: Release) -> DataFrame:
 def incremental(name: str, t: Tables, w: Release) -> DataFrame:
     """A table of a monthly update. Facts are whole; club memberships are what changed; entities are
     what changed and what the window's facts and changed memberships refer to."""
-    if w.prior is None or name in ("monthly_batches", "player_registrations", "matches", "match_teams", "match_team_players", "match_games"):
+    if w.prior is None or name in ("monthly_batches", "player_registrations", "player_assessment_history", "matches", "match_teams", "match_team_players", "match_games"):
         return SNAPSHOT[name](t, w)
     if name == "club_memberships":
         return delta(name, t, w)
@@ -163,20 +168,33 @@ def match_summaries(t: Tables) -> DataFrame:
 
 
 def resolved_winners(t: Tables) -> DataFrame:
-    """match_id, winning_team_id (of the side that won more games), and whether the match says the same."""
-    sides = t["match_teams"].select("match_id", F.col("team_number").alias("winning_team_number"), F.col("source_team_id").alias("resolved_team_id"))
-    won = match_summaries(t).where(F.col("winning_team_number").isNotNull()).join(sides, ["match_id", "winning_team_number"])
-    said = t["matches"].select(F.col("id").alias("match_id"), "winning_team_id")
-    return said.join(won, "match_id").select("match_id", "resolved_team_id", F.col("winning_team_id").eqNullSafe(F.col("resolved_team_id")).alias("agrees"))
+    """match_id, resolved_team_id, decided_by, agrees: who won, and whether the match says the same.
+
+    By games won; if even by points; then by the predicted chance of side one where that isn't a
+    half; then the lower team id (a side without one counts by its number).
+    """
+    sides = t["match_teams"].groupBy("match_id").agg(*[F.max(F.when(F.col("team_number") == k, F.struct(F.col("source_team_id").alias("id"))))["id"].alias(f"team_{k}") for k in (1, 2)])
+    chance = F.when(F.col("predicted_winning_team_number") == 1, F.col("predicted_win_probability")).when(F.col("predicted_winning_team_number") == 2, 1 - F.col("predicted_win_probability"))
+    said = t["matches"].select(F.col("id").alias("match_id"), "winning_team_id", chance.alias("chance"))
+    rows = said.join(sides, "match_id").join(match_summaries(t).drop("winning_team_number"), "match_id", "left")
+    ahead = lambda one, two: F.when(one > two, 1).when(two > one, 2)
+    key = [F.coalesce(f"team_{k}", F.lit(k)) for k in (1, 2)]
+    rungs = {"games": ahead(F.col("games_one"), F.col("games_two")), "points": ahead(F.col("points_one"), F.col("points_two")), "chance": ahead(F.col("chance"), F.lit(0.5)), "id": F.when(key[0] <= key[1], 1).otherwise(2)}
+    won, decided = F.coalesce(*rungs.values()), F.coalesce(*[F.when(x.isNotNull(), F.lit(n)) for n, x in rungs.items()])
+    rows = rows.select("match_id", F.when(won == 1, F.col("team_1")).otherwise(F.col("team_2")).alias("resolved_team_id"), decided.alias("decided_by"), "winning_team_id")
+    return rows.select("match_id", "resolved_team_id", "decided_by", F.col("winning_team_id").eqNullSafe(F.col("resolved_team_id")).alias("agrees"))
 
 
 def initial_states(t: Tables, batch: int, start: float = 1500.0) -> DataFrame:
-    """Each player's rating, confidence and count of rated matches before ``batch``."""
-    before = t["player_rating_history"].where(F.col("batch_id") < batch)
-    last = latest(before.select("player_id", "rating_date", "id", "rating_value", "confidence_score"), ["player_id"], ["rating_date", "id"])
-    rated = before.where(F.col("rating_type") == "match_update").groupBy("player_id").agg(F.count("*").alias("rated"))
+    """Each player's last rating and confidence up to and with ``batch``, and how many rated matches those have.
+
+    A player without any rating starts at ``start``; a confidence that is not known stays null.
+    """
+    until = t["player_rating_history"].where(F.col("batch_id") <= batch)
+    last = latest(until.select("player_id", "rating_date", "id", "rating_value", "confidence_score"), ["player_id"], ["rating_date", "id"])
+    rated = until.where(F.col("rating_type") == "match_update").groupBy("player_id").agg(F.count("*").alias("rated"))
     rows = t["players"].select(F.col("id").alias("player_id")).join(last, "player_id", "left").join(rated, "player_id", "left")
-    return rows.select("player_id", F.coalesce("rating_value", F.lit(start)).alias("rating"), F.coalesce("confidence_score", F.lit(0.0)).alias("confidence"), F.coalesce("rated", F.lit(0)).alias("rated_matches"))
+    return rows.select("player_id", F.coalesce("rating_value", F.lit(start)).alias("rating"), F.col("confidence_score").alias("confidence"), F.coalesce("rated", F.lit(0)).alias("rated_matches"))
 
 
 def recent_opponents(t: Tables, since: Column) -> DataFrame:
