@@ -7,6 +7,7 @@ import json
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def schema_hash(rows: DataFrame) -> str:
@@ -18,11 +19,20 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def file_list(spark: SparkSession, path: str) -> list[dict]:
+    """name, bytes, rows and sha256 of each Parquet file of a table; digests and counts are made in tasks."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    raw = raw.select(F.regexp_extract("path", r"[^/]+$", 0).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    rows = spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count("*").alias("rows"))
+    return [r.asDict() for r in raw.join(rows, "name", "left").na.fill(0, ["rows"]).orderBy("name").collect()]
+
+
 def write(tables: Mapping[str, DataFrame], root: str, name: str, about: Mapping | None = None, single_file: bool = False) -> dict:
     """Write each table under a staging folder, check it, and rename the folder into place.
 
     An empty table becomes files with its schema and no rows. The manifest has each table's
-    rows, ordered columns and schema hash. Paths may be on any file system that Spark opens.
+    rows, ordered columns and schema hash, and of each file its rows, bytes and SHA-256; ``about``
+    may give the window as first_day and last_day. Paths may be on any file system that Spark opens.
     A release that is there already is not replaced.
     """
     spark = next(iter(tables.values())).sparkSession
@@ -37,7 +47,8 @@ def write(tables: Mapping[str, DataFrame], root: str, name: str, about: Mapping
         back = spark.read.parquet(path)
         if back.columns != rows.columns:
             raise ValueError(f"{table} reads back with other columns")
-        manifest["tables"][table] = {"row_count": back.count(), "columns": back.columns, "schema_hash": schema_hash(back)}
+        files = file_list(spark, path)
+        manifest["tables"][table] = {"row_count": sum(f["rows"] for f in files), "columns": back.columns, "schema_hash": schema_hash(back), "files": files}
     text = json.dumps(manifest, indent=1, default=str)
     out = fs.create(_fs(spark, f"{staging}/manifest.json")[1])
     out.write(bytearray(text.encode()))
