@@ -39,19 +39,35 @@ def competitiveness(probability: Column) -> Column:
 def clamped_sum(rows: DataFrame, key: str, order: Sequence[str], value: str, low: float, high: float, start: float, name: str = "state") -> DataFrame:
     """key, name, steps: the values added one after the other, held within [low, high] at each step.
 
-    A step maps x to min(h, max(l, x + d)), and so does a run of steps, so runs are folded each
+    Keys with at most 2**RUN_BITS rows are folded in one array each. A step maps x to min(h, max(l,
+    x + d)), and so does a run of steps, so runs of larger keys are folded each
     for itself and then composed in order: rows are dealt by ranges of (key, order, value), runs
     of at most 2**RUN_BITS rows are folded, then the runs of a range, then the ranges of a key. No
-    array holds all rows of a key. The first run of a key starts at ``start`` itself.
+    array holds all rows of such a key. The first run of a key starts at ``start`` itself. Which
+    keys are large one count by key says; it is made when the plan is.
     """
     low, high = F.lit(float(low)), F.lit(float(high))
+    large = rows.groupBy(F.col(key).alias("__large")).agg(F.count("*").alias("__n")).where(F.col("__n") > 1 << RUN_BITS).select("__large")
+    if large.isEmpty():
+        return _whole(rows, key, order, value, low, high, start, name)
+    same = rows[key].eqNullSafe(F.col("__large"))
+    small = _whole(rows.join(large, same, "left_anti"), key, order, value, low, high, start, name)
+    rows = rows.join(large, same, "left_semi")
     dealt = rows.select(F.col(key), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], F.col(value).cast("double").alias("s"))
     sorted_by = [key, *[f"__o{i}" for i in range(len(order))], "s"]
     dealt = dealt.repartitionByRange(*sorted_by).sortWithinPartitions(*sorted_by).withColumn("at", F.monotonically_increasing_id())
     runs = dealt.select(key, "at", low.alias("l"), high.alias("h"), "s", F.least(high, F.greatest(low, F.lit(float(start)) + F.col("s"))).alias("f"), F.lit(1).cast("long").alias("n"))
     for bits in (RUN_BITS, RANGE_BITS - RUN_BITS, None):
         runs = _composed(runs, key, bits)
-    return runs.select(key, F.col("f").alias(name), F.col("n").alias("steps"))
+    return small.unionByName(runs.select(key, F.col("f").alias(name), F.col("n").alias("steps")))
+
+
+def _whole(rows: DataFrame, key: str, order: Sequence[str], value: str, low: Column, high: Column, start: float, name: str) -> DataFrame:
+    """``clamped_sum`` of keys whose rows an array can hold."""
+    items = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("__d"))))
+    kept = rows.groupBy(key).agg(items.alias("items"), F.count("*").alias("steps"))
+    folded = F.aggregate("items", F.lit(float(start)), lambda x, e: F.least(high, F.greatest(low, x + e["__d"])))
+    return kept.select(key, folded.alias(name), "steps")
 
 
 RUN_BITS = 13  # of the rows that one array holds
@@ -154,3 +170,17 @@ def hidden_adjustment(side: str, other: str, rules: Bias = Bias()) -> dict[str,
     experience = _held(F.log1p(F.greatest(prior, F.lit(0)).cast("double")) * rules.log_points * close(rules.experience_close_from, rules.experience_close_times), 0.0, rules.experience_cap)
     parts = {"age": age, "fatigue": fatigue, "region": region, "affinity": affinity, "experience": experience}
     return parts | {"total": _held(sum(parts.values(), F.lit(0.0)), -rules.total_cap, rules.total_cap)}
+
+
+def adjusted_chances(rows: DataFrame, rules: Bias = Bias(), apply: bool = True) -> DataFrame:
+    """Adds visible_chance, competitiveness, one_effective, two_effective, chance of side one.
+
+    ``rows`` has one_rating, two_rating and what ``hidden_adjustment`` asks for. Without ``apply`` the
+    chance is the visible one and the ratings count as they are.
+    """
+    visible = win_probability(F.col("one_rating"), F.col("two_rating"))
+    rows = rows.withColumn("visible_chance", visible).withColumn("competitiveness", competitiveness(F.col("visible_chance")))
+    for me, other in (("one", "two"), ("two", "one")):
+        more = hidden_adjustment(me, other, rules)["total"] if apply else F.lit(0.0)
+        rows = rows.withColumn(f"{me}_effective", F.col(f"{me}_rating") + more)
+    return rows.withColumn("chance", win_probability(F.col("one_effective"), F.col("two_effective")))

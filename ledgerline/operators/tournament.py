@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,44 @@ def standings(matches: DataFrame, seed: str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(order)).drop("among", "lot")
 
 
+def league_table(matches: DataFrame, within: Sequence[str], seed: str) -> DataFrame:
+    """within, team_id, wins, losses, games and points won and lost and their differences, place.
+
+    ``matches``: within, one, two, winner, games_one, games_two, points_one, points_two. Ties in wins go by
+    wins among the tied, game difference, point difference, a seeded hash, the id. Every match is two rows, which
+    are summed by team before anything is ordered; only a group's teams are.
+    """
+    def side(me: str, other: str) -> DataFrame:
+        named = {"games_won": f"games_{me}", "games_lost": f"games_{other}", "points_for": f"points_{me}", "points_against": f"points_{other}"}
+        return matches.select(*within, F.col(me).alias("team_id"), F.col(other).alias("rival"), (F.col("winner") == F.col(me)).cast("int").alias("won"), *[F.coalesce(F.col(c), F.lit(0)).alias(n) for n, c in named.items()])
+
+    sides = side("one", "two").unionByName(side("two", "one"))
+    sums = [F.sum(c).alias(c) for c in ("games_won", "games_lost", "points_for", "points_against")]
+    table = sides.groupBy(*within, "team_id").agg(F.sum("won").alias("wins"), F.count_if(F.col("won") == 0).alias("losses"), *sums)
+    wins = table.select(*within, "team_id", "wins")
+    tied = sides.groupBy(*within, "team_id", "rival").agg(F.sum("won").alias("won")).join(wins, [*within, "team_id"]).join(wins.withColumnsRenamed({"team_id": "rival", "wins": "rival_wins"}), [*within, "rival"])
+    among = tied.where(F.col("wins") == F.col("rival_wins")).groupBy(*within, "team_id").agg(F.sum("won").alias("among"))
+    rows = table.join(among, [*within, "team_id"], "left").withColumn("game_diff", F.col("games_won") - F.col("games_lost")).withColumn("point_diff", F.col("points_for") - F.col("points_against"))
+    lot = F.sha2(F.concat_ws(":", F.lit(seed), F.col("team_id").cast("string")), 256)
+    order = Window.partitionBy(*within).orderBy(F.desc("wins"), F.desc(F.coalesce("among", F.lit(0))), F.desc("game_diff"), F.desc("point_diff"), lot, "team_id")
+    return rows.withColumn("place", F.row_number().over(order)).drop("among")
+
+
+#: Points for a title, a second place, a place among four, and a match won.
+CHAMPION, RUNNER_UP, TOP_FOUR, MATCH_WIN = 10.0, 6.0, 3.0, 1.0
+
+
+def credits(places: DataFrame, picks: DataFrame, top_four: bool = True) -> DataFrame:
+    """group_id, score, champions, runners_up, top_four, match_wins: over all tables that a group's teams are in.
+
+    ``picks`` has group_id, team_id; a team picked twice by a group counts once.
+    """
+    at = lambda n: F.col("place") == n
+    points = F.col("wins") * MATCH_WIN + F.when(at(1), CHAMPION).when(at(2), RUNNER_UP).otherwise(0.0) + (F.when(F.col("place") <= 4, TOP_FOUR).otherwise(0.0) if top_four else F.lit(0.0))
+    both = places.join(picks.select("group_id", "team_id").distinct(), "team_id")
+    return both.groupBy("group_id").agg(F.sum(points).alias("score"), F.count_if(at(1)).alias("champions"), F.count_if(at(2)).alias("runners_up"), F.count_if(F.col("place") <= 4).alias("top_four"), F.sum("wins").alias("match_wins"))
+
+
 def chances(places: DataFrame, iterations: int) -> DataFrame:
     """Shares of titles and top-three places, mean place and share of matches won, by team."""
     share = lambda c: F.round(F.count_if(c) / F.lit(float(iterations)), 4)
@@ -63,6 +103,27 @@ def group_scores(places: DataFrame, picks: DataFrame, match_win: float = 1.0, ch
     return places.join(picks.distinct(), "team_id").groupBy("iteration", "group_id").agg(F.sum(points).alias("score"), F.count_if(F.col("place") == 1).alias("champions"), F.sum("wins").alias("match_wins"))
 
 
+#: What an earlier match together adds, by class of match.
+TOGETHER = {"casual": 0.05, "semi_competitive": 0.10, "competitive": 0.18}
+
+
+def pair_weight(match_class: str, band: float, target_rating: float | None = None, target_region: int | None = None) -> Column:
+    """How well two players go together for one match.
+
+    From columns first_rating, second_rating, first_region, second_region, shared_club, prior_count,
+    first_load, second_load: near ratings, one region, a common club, nearness to what is asked for and earlier
+    matches together count for a pair, recent matches against it.
+    """
+    near = lambda gap: F.greatest(F.lit(0.05), 1 - gap / F.lit(float(band or 1)))
+    rating = near(F.abs(F.col("first_rating") - F.col("second_rating")))
+    place = F.when(F.col("first_region").eqNullSafe(F.col("second_region")), 1.0).otherwise(0.25)
+    if target_region is not None:
+        place = place + F.when((F.col("first_region") == target_region) | (F.col("second_region") == target_region), 0.75).otherwise(0.0)
+    wanted = near(F.abs((F.col("first_rating") + F.col("second_rating")) / 2 - target_rating)) if target_rating is not None else F.lit(0.0)
+    before = F.least(F.coalesce("prior_count", F.lit(0)) * F.lit(TOGETHER.get(match_class, 0.05)), F.lit(1.0))
+    return F.greatest(F.lit(0.01), 1 + rating + place + F.when(F.col("shared_club"), 0.5).otherwise(0.0) + wanted + before - (F.col("first_load") + F.col("second_load")) * 0.05)
+
+
 def submission_issues(picks: DataFrame, teams: DataFrame, active: DataFrame, members: DataFrame, rated: DataFrame, run: int) -> DataFrame:
     """group_id, team_id, country_code, division, field, code: what speaks against each pick.
 

@@ -492,8 +492,9 @@ def matches_per_player_distribution(t: Tables, p: Params) -> DataFrame:
 
 @audit(BATCH)
 def repeat_partner_match_distribution(t: Tables, p: Params) -> DataFrame:
-    run = t["monthly_batches"].where(F.col("id") == p[BATCH]).select(F.col(RUN).alias("r")).first()
-    batches = ordered_batches(t, F.lit(run["r"] if run else None))
+    run = t["monthly_batches"].where(F.col("id") == p[BATCH]).select(RUN)
+    own = {"monthly_batches": t["monthly_batches"].join(F.broadcast(run), RUN, "left_semi")}
+    batches = ordered_batches(own, F.col(RUN))
     now = batches.where(F.col(BATCH) == p[BATCH]).select(F.col("ordinal").alias("now"))
     earlier = batches.join(F.broadcast(now), F.col("ordinal") < F.col("now")).select(BATCH)
     kind = F.when(F.col("match_type").isin("recreational", "clinic"), "casual").when(F.col("match_type").isin("challenge", "ladder"), "semi_competitive").when(F.col("match_type").isin("league", "tournament"), "competitive").otherwise("unknown")

@@ -255,8 +255,8 @@ def taint_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH l AS (SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey % 10 <> 3),
-    r AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN upper(s_name) ELSE s_name || ' ' END AS name, CASE WHEN s_suppkey % 9 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS balance FROM supplier WHERE s_suppkey % 10 <> 4)
+    WITH l AS (SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_acctbal < 9000),
+    r AS (SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN upper(s_name) ELSE s_name || ' ' END AS name, CASE WHEN s_suppkey % 9 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS balance FROM supplier WHERE s_acctbal > -500)
     SELECT l.s_suppkey, '*' AS column_name, 'missing' AS issue, false AS waived FROM l WHERE s_suppkey NOT IN (SELECT s_suppkey FROM r)
     UNION ALL SELECT s_suppkey, '*', 'extra', false FROM r WHERE s_suppkey NOT IN (SELECT s_suppkey FROM l)
     UNION ALL SELECT s_suppkey, 's_name', 'value', true FROM l JOIN r USING (s_suppkey) WHERE s_name <> trim(name)
@@ -264,9 +264,9 @@ def taint_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 def supplier_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
     k = F.col("s_suppkey")
-    right = rows.where(k % 10 != 4).select("s_suppkey", F.when(k % 7 == 0, F.upper("s_name")).otherwise(F.concat("s_name", F.lit(" "))).alias("name"), F.when(k % 9 == 0, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal")).alias("balance"))
+    right = rows.where("s_acctbal > -500").select("s_suppkey", F.when(k % 7 == 0, F.upper("s_name")).otherwise(F.concat("s_name", F.lit(" "))).alias("name"), F.when(k % 9 == 0, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal")).alias("balance"))
     waivers = spark.createDataFrame([("s_name", None), ("s_acctbal", "9")], "column_name string, waived_key string")
-    return reconcile.differences(rows.where(k % 10 != 3), right, "s_suppkey", {"s_name": "name", "s_acctbal": "balance"}, waivers).select("s_suppkey", "column_name", "issue", "waived")
+    return reconcile.differences(rows.where("s_acctbal < 9000"), right, "s_suppkey", {"s_name": "name", "s_acctbal": "balance"}, waivers).select("s_suppkey", "column_name", "issue", "waived")
 
 
 CUP = 20

@@ -9,7 +9,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.operators import checks
+from ledgerline.operators import checks, ratings, tournament
 from ledgerline.sources.interim import kept
 
 from . import domain, reports, snapshots
@@ -89,12 +89,42 @@ _REFERENCES = (("match_teams", "match_id", "matches", "id"), ("match_team_player
 _REQUIRED = (("player_master", "rating_value"), ("matches", "winning_team_id"), ("match_games", "winning_team_number"))
 
 
+#: A rating state is there whole or not at all.
+_COHERENT = "CASE WHEN rating_date IS NULL THEN rating_batch_id IS NULL AND rating_value IS NULL AND confidence_score IS NULL AND volatility_score IS NULL AND match_count_used IS NULL ELSE rating_batch_id IS NOT NULL AND rating_value IS NOT NULL END"
+_TEMPORAL = (
+    ("teams", "formation_date < snapshot_end"),
+    ("teams", "dissolution_date IS NULL OR dissolution_date < snapshot_end"),
+    ("teams", "dissolution_date IS NULL OR dissolution_date >= formation_date"),
+    ("team_memberships", "joined_date < snapshot_end"),
+    ("team_memberships", "left_date IS NULL OR left_date < snapshot_end"),
+    ("club_memberships", "joined_date < snapshot_end"),
+    ("club_memberships", "left_date IS NULL OR left_date < snapshot_end"),
+    ("player_master", "registration_date < snapshot_end"),
+    ("player_master", "rating_date IS NULL OR rating_date < snapshot_end"),
+)
+
+
+def _winners_in(made: dict[str, DataFrame]) -> DataFrame:
+    """Matches with a winner, and whether it is one of their sides."""
+    sides = made["match_teams"].select("match_id", F.col("team_id").alias("winning_team_id"), F.lit(True).alias("plays")).distinct()
+    rows = made["matches"].where(F.col("winning_team_id").isNotNull()).select(F.col("id").alias("match_id"), "winning_team_id")
+    return rows.join(sides, ["match_id", "winning_team_id"], "left").withColumn("plays", F.col("plays").isNotNull())
+
+
 def _release_checks(t: dict[str, DataFrame]) -> DataFrame:
     made = {name: kept(f(t, UPDATE)) for name, f in snapshots.SNAPSHOT.items()}  # each is made once and checked from there
     out = [checks.unique(n, rows, snapshots.KEYS.get(n, "id")) for n, rows in made.items()] + [checks.not_empty(n, rows) for n, rows in made.items()]
     out += [checks.references(f"{c}.{fk}", made[c], fk, made[p], pk) for c, fk, p, pk in _REFERENCES] + [checks.required(f"{n}.{c}", made[n], c) for n, c in _REQUIRED]
     out.append(checks.holds("window", "matches.match_date", made["matches"], "match_date >= DATE '2000-01-01' AND match_date < DATE '2001-01-01'"))
     out.append(checks.holds("shape", "two teams", made["match_teams"].groupBy("match_id").agg(F.count("*").alias("k")), "k = 2"))
+    out.append(checks.holds("coherence", "snapshot month", made["player_master"], "snapshot_month = DATE '2000-12-01'"))
+    out.append(checks.holds("coherence", "rating state", made["player_master"], _COHERENT))
+    out.append(checks.holds("shape", "winner plays", _winners_in(made), "plays"))
+    sides = made["match_teams"].select(F.col("id").alias("match_team_id"))
+    out.append(checks.holds("shape", "sides with players", sides.join(made["match_team_players"].select("match_team_id", F.lit(True).alias("has")).distinct(), "match_team_id", "left"), "has is not null"))
+    out.append(checks.unique("monthly_batches.batch_month", made["monthly_batches"], "batch_month"))
+    out += [checks.holds("temporal", f"{n}: {x}", made[n], x.replace("snapshot_end", "DATE '2001-01-01'")) for n, x in _TEMPORAL]
+    out += [checks.references(f"{n}.batch_id", made[n], "batch_id", made["monthly_batches"], "id") for n in ("matches", "player_registrations")]
     out.append(checks.holds("shape", "two players", made["match_team_players"].groupBy("match_team_id").agg(F.count("*").alias("k")), "k = 2"))
     return checks.report(*out)
 
@@ -107,6 +137,13 @@ def _check_sql() -> str:
     out += [one("foreign_key", f"{c}.{fk}", f"SELECT count(*) AS n FROM {rows(c)} x WHERE {fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {rows(p)} y WHERE y.{pk} = x.{fk})") for c, fk, p, pk in _REFERENCES]
     out += [one("required", f"{n}.{c}", f"SELECT count(*) AS n FROM {rows(n)} WHERE {c} IS NULL") for n, c in _REQUIRED]
     out.append(one("window", "matches.match_date", f"SELECT count(*) AS n FROM {rows('matches')} WHERE match_date < DATE '2000-01-01' OR match_date >= DATE '2001-01-01'"))
+    out.append(one("coherence", "snapshot month", f"SELECT count(*) FILTER (WHERE snapshot_month <> DATE '2000-12-01') AS n FROM {rows('player_master')}"))
+    out.append(one("coherence", "rating state", f"SELECT count(*) FILTER (WHERE NOT ({_COHERENT})) AS n FROM {rows('player_master')}"))
+    out.append(one("shape", "winner plays", f"SELECT count(*) AS n FROM {rows('matches')} m WHERE winning_team_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {rows('match_teams')} s WHERE s.match_id = m.id AND s.team_id = m.winning_team_id)"))
+    out.append(one("shape", "sides with players", f"SELECT count(*) AS n FROM {rows('match_teams')} s WHERE NOT EXISTS (SELECT 1 FROM {rows('match_team_players')} x WHERE x.match_team_id = s.id)"))
+    out.append(one("primary_key", "monthly_batches.batch_month", f"SELECT count(*) AS n FROM (SELECT batch_month FROM {rows('monthly_batches')} GROUP BY 1 HAVING count(*) > 1)"))
+    out += [one("temporal", f"{n}: {x}", f"SELECT count(*) FILTER (WHERE NOT ({x.replace('snapshot_end', "DATE '2001-01-01'")})) AS n FROM {rows(n)}") for n, x in _TEMPORAL]
+    out += [one("foreign_key", f"{n}.batch_id", f"SELECT count(*) AS n FROM {rows(n)} WHERE batch_id IS NOT NULL AND batch_id NOT IN (SELECT id FROM {rows('monthly_batches')})") for n in ("matches", "player_registrations")]
     out += [one("shape", name, f"SELECT count(*) AS n FROM (SELECT {key} FROM {rows(table)} GROUP BY 1 HAVING count(*) <> 2)") for name, table, key in (("two teams", "match_teams", "match_id"), ("two players", "match_team_players", "match_team_id"))]
     return " UNION ALL ".join(out)
 
@@ -145,6 +182,94 @@ add("shared_clubs", snapshots.shared_clubs, """
 add("unrated_players", snapshots.unrated_players, "SELECT id AS player_id FROM players EXCEPT SELECT player_id FROM player_rating_history WHERE rating_type = 'match_update'")
 
 
+_LEAGUE = f"""
+    g AS (SELECT m.batch_id, t.country_code, t.team_division, a.source_team_id AS one, b.source_team_id AS two, m.winning_team_id AS winner, coalesce(x.games_one, 0) AS games_one, coalesce(x.games_two, 0) AS games_two, coalesce(points_one, 0) AS points_one, coalesce(points_two, 0) AS points_two
+          FROM matches m JOIN match_teams a ON a.match_id = m.id AND a.team_number = 1 JOIN match_teams b ON b.match_id = m.id AND b.team_number = 2 JOIN teams t ON t.id = a.source_team_id LEFT JOIN ({_SUMMARY}) x ON x.match_id = m.id WHERE m.winning_team_id IN (a.source_team_id, b.source_team_id)),
+    s AS (SELECT batch_id, country_code, team_division, one AS team_id, two AS rival, winner = one AS won, games_one AS gw, games_two AS gl, points_one AS pf, points_two AS pa FROM g UNION ALL SELECT batch_id, country_code, team_division, two, one, winner = two, games_two, games_one, points_two, points_one FROM g),
+    b AS (SELECT batch_id, country_code, team_division, team_id, count(*) FILTER (WHERE won) AS wins, count(*) FILTER (WHERE NOT won) AS losses, CAST(sum(gw) AS BIGINT) AS games_won, CAST(sum(gl) AS BIGINT) AS games_lost, CAST(sum(pf) AS BIGINT) AS points_for, CAST(sum(pa) AS BIGINT) AS points_against FROM s GROUP BY 1, 2, 3, 4),
+    h AS (SELECT s.batch_id, s.country_code, s.team_division, s.team_id, count(*) FILTER (WHERE s.won) AS among FROM s JOIN b x USING (batch_id, country_code, team_division, team_id) JOIN b y ON y.batch_id = s.batch_id AND y.country_code = s.country_code AND y.team_division = s.team_division AND y.team_id = s.rival WHERE x.wins = y.wins GROUP BY 1, 2, 3, 4),
+    r AS (SELECT b.*, games_won - games_lost AS game_diff, points_for - points_against AS point_diff, CAST(row_number() OVER (PARTITION BY batch_id, country_code, team_division ORDER BY wins DESC, coalesce(among, 0) DESC, games_won - games_lost DESC, points_for - points_against DESC, sha256('cup:' || team_id), team_id) AS INTEGER) AS place FROM b LEFT JOIN h USING (batch_id, country_code, team_division, team_id))"""
+
+
+def _league(t: dict[str, DataFrame]) -> DataFrame:
+    one, two = (t["match_teams"].where(F.col("team_number") == k).select("match_id", F.col("source_team_id").alias(n)) for k, n in ((1, "one"), (2, "two")))
+    rows = t["matches"].select(F.col("id").alias("match_id"), "batch_id", F.col("winning_team_id").alias("winner")).join(one, "match_id").join(two, "match_id").where("winner = one or winner = two")
+    rows = rows.join(t["teams"].select(F.col("id").alias("one"), "country_code", "team_division"), "one").join(snapshots.match_summaries(t).select("match_id", "games_one", "games_two", "points_one", "points_two"), "match_id", "left")
+    return tournament.league_table(rows, ["batch_id", "country_code", "team_division"], "cup")
+
+
+add("league_tables", _league, f"WITH {_LEAGUE} SELECT * FROM r")
+add("league_credits", lambda t: tournament.credits(_league(t), t["portfolio_picks"]), f"""
+    WITH {_LEAGUE}, k AS (SELECT DISTINCT group_id, team_id FROM portfolio_picks)
+    SELECT group_id, sum(wins * 1.0::DOUBLE + CASE place WHEN 1 THEN 10 WHEN 2 THEN 6 ELSE 0 END + CASE WHEN place <= 4 THEN 3 ELSE 0 END) AS score, count(*) FILTER (WHERE place = 1) AS champions, count(*) FILTER (WHERE place = 2) AS runners_up, count(*) FILTER (WHERE place <= 4) AS top_four, CAST(sum(wins) AS BIGINT) AS match_wins FROM r JOIN k USING (team_id) GROUP BY 1""")
+add("opponent_days", lambda t: snapshots.opponent_days(t, F.lit(date(1999, 6, 1))), """
+    SELECT least(a.source_team_id, b.source_team_id) AS low_id, greatest(a.source_team_id, b.source_team_id) AS high_id, string_agg(DISTINCT match_date::VARCHAR, ',' ORDER BY match_date::VARCHAR) AS days FROM matches m
+    JOIN match_teams a ON a.match_id = m.id AND a.team_number = 1 JOIN match_teams b ON b.match_id = m.id AND b.team_number = 2 WHERE match_date >= DATE '1999-06-01' GROUP BY 1, 2""")
+
+_STATES = "SELECT id AS player_id, CAST(id * 31 % 5000 AS DOUBLE) AS rating, CASE WHEN id % 5 = 0 THEN NULL ELSE CAST(id % 50 AS DOUBLE) / 64 END AS confidence, id % 15 AS match_count FROM players"
+
+
+def _rating_fold(t: dict[str, DataFrame]) -> DataFrame:
+    shares = [F.round(c, 4).alias(c) for c in ("expected_score_share", "actual_score_share")]
+    states = t["players"].select(F.col("id").alias("player_id"), (F.col("id") * 31 % 5000).cast("double").alias("rating"), F.when(F.col("id") % 5 != 0, (F.col("id") % 50).cast("double") / 64).alias("confidence"), (F.col("id") % 15).alias("match_count"))
+    return ratings.fold(t["ratings_update_log"].select("player_id", "match_date", "match_id", *shares), states)
+
+
+add("rating_fold", _rating_fold, f"""
+    SELECT * FROM (WITH RECURSIVE st AS (SELECT player_id, CAST(rating AS DECIMAL(8,3)) AS r, CAST(round(confidence, 3) AS DECIMAL(8,3)) AS c, match_count AS n FROM ({_STATES})),
+    u AS (SELECT player_id, match_date, match_id, e, a, row_number() OVER (PARTITION BY player_id ORDER BY match_date, match_id, e, a) AS i FROM (SELECT player_id, match_date, match_id, CAST(round(expected_score_share, 4) AS DECIMAL(8,4)) AS e, CAST(round(actual_score_share, 4) AS DECIMAL(8,4)) AS a FROM ratings_update_log)),
+    f AS (SELECT player_id, 0::BIGINT AS i, NULL::DATE AS match_date, NULL::BIGINT AS match_id, NULL::DECIMAL(8,3) AS k, NULL::DECIMAL(8,3) AS before, r, NULL::DECIMAL(8,3) AS sure, c, n FROM st
+        UNION ALL SELECT player_id, i, match_date, match_id, k, r, CAST(greatest(0, least(5000, r + CAST(round(k * (a - e), 3) AS DECIMAL(8,3)))) AS DECIMAL(8,3)), c, CASE WHEN c IS NOT NULL THEN CAST(least(1, c + 0.02) AS DECIMAL(8,3)) END, n + 1
+        FROM (SELECT f.player_id, u.i, u.match_date, u.match_id, u.e, u.a, f.r, f.c, f.n, CAST(CASE WHEN f.r >= 4000 THEN 16 WHEN f.n < 10 THEN 48 ELSE 24 END AS DECIMAL(8,3)) AS k FROM f JOIN u ON u.player_id = f.player_id AND u.i = f.i + 1))
+    SELECT player_id, match_date, match_id, k AS k_factor, before AS rating_before, r - before AS rating_delta, r AS rating_after, sure AS confidence_before, c AS confidence_after, n AS match_count FROM f WHERE i > 0)""")
+
+
+# --- hidden influences and pairs --------------------------------------------------------
+
+_SIDE = {"age": "20 + id % {a} + 0.5::DOUBLE", "recent_games": "CASE WHEN id % 9 = 0 THEN NULL ELSE id % {b} END", "days_rest": "CASE WHEN id % 8 = 0 THEN NULL ELSE id % {c} END", "region_strength": "CASE WHEN id % 7 = 0 THEN NULL ELSE CAST(id % {a} - 15 AS DOUBLE) END", "shared_club": "id % {c} = 0", "prior_matches": "CASE WHEN id % 11 = 0 THEN NULL ELSE id % {a} END", "recent_matches": "id % {c}", "rating": "CAST(id * {b} % 5000 AS DOUBLE)"}
+_INFLUENCED = "SELECT id AS match_id, " + ", ".join(f"{x.format(a=a, b=b, c=c)} AS {side}_{n}" for side, a, b, c in (("one", 41, 13, 5), ("two", 47, 17, 4)) for n, x in _SIDE.items()) + " FROM matches"
+
+
+def _influence(me: str, other: str) -> str:
+    """The capped total for one side, in SQL."""
+    held = lambda x, low, high: f"greatest({low}::DOUBLE, least({high}::DOUBLE, {x}))"
+    close = lambda times: f"CASE WHEN competitiveness >= 0.75 THEN {times}::DOUBLE ELSE 1.0::DOUBLE END"
+    prior = f"coalesce({me}_prior_matches, 0)"
+    age = held(f"({other}_age - {me}_age) * 1.25::DOUBLE * {close(1.5)}", -35.0, 35.0)
+    fatigue = f"CASE WHEN coalesce({me}_days_rest >= 3, false) THEN 0.0 ELSE -{held(f'coalesce({me}_recent_games, 0) * 2.0::DOUBLE', 0.0, 25.0)} END"
+    region = held(f"coalesce({me}_region_strength, 0) - coalesce({other}_region_strength, 0)", -20.0, 20.0)
+    affinity = held(f"CASE WHEN {me}_shared_club THEN 5.0::DOUBLE ELSE 0 END + CASE WHEN {prior} >= 25 THEN 12.0::DOUBLE WHEN {prior} >= 10 THEN 8 WHEN {prior} = 0 THEN -10 ELSE 0 END + CASE WHEN {me}_recent_matches > 0 THEN 5 ELSE 0 END", -25.0, 25.0)
+    experience = held(f"ln(1 + {prior}::DOUBLE) * 2.0::DOUBLE * {close(1.25)}", 0.0, 15.0)
+    return held(f"{age} + ({fatigue}) + {region} + {affinity} + {experience}", -50.0, 50.0)
+
+
+_ELO = "round(1 / (1 + pow(10.0::DOUBLE, ({two} - {one}) / 400.0)), 4)"
+
+
+def _adjusted(t: dict[str, DataFrame]) -> DataFrame:
+    rows = t["matches"].sparkSession.sql(_INFLUENCED.replace("::DOUBLE", "D").replace("FROM matches", "FROM {matches}"), matches=t["matches"])
+    out = ratings.adjusted_chances(rows)
+    return out.select("match_id", "visible_chance", "competitiveness", *[F.round(f"{s}_effective", 6).alias(f"{s}_effective") for s in ("one", "two")], "chance")
+
+
+add("adjusted_chances", _adjusted, f"""
+    WITH x AS ({_INFLUENCED}), v AS (SELECT *, {_ELO.format(one='one_rating', two='two_rating')} AS visible_chance FROM x), c AS (SELECT *, round(1 - abs(visible_chance - 0.5) * 2, 3) AS competitiveness FROM v),
+    e AS (SELECT *, one_rating + {_influence('one', 'two')} AS one_effective, two_rating + {_influence('two', 'one')} AS two_effective FROM c)
+    SELECT match_id, visible_chance, competitiveness, round(one_effective, 6) AS one_effective, round(two_effective, 6) AS two_effective, {_ELO.format(one="one_effective", two="two_effective")} AS chance FROM e""")
+
+_PAIRED = "SELECT id AS team_id, CAST(id * 31 % 5000 AS DOUBLE) AS first_rating, CAST(id * 17 % 5000 AS DOUBLE) AS second_rating, id % 9 AS first_region, id % 4 AS second_region, id % 3 = 0 AS shared_club, id % 30 AS prior_count, id % 6 AS first_load, id % 11 AS second_load FROM teams"
+
+
+def _weights(t: dict[str, DataFrame]) -> DataFrame:
+    rows = t["teams"].sparkSession.sql(_PAIRED.replace("FROM teams", "FROM {teams}"), teams=t["teams"])
+    return rows.select("team_id", F.round(tournament.pair_weight("semi_competitive", 400.0, 2000.0, 2), 6).alias("weight"))
+
+
+add("ad_hoc_pair_weights", _weights, f"""
+    SELECT team_id, round(greatest(0.01, 1 + greatest(0.05, 1 - abs(first_rating - second_rating) / 400) + CASE WHEN first_region = second_region THEN 1.0 ELSE 0.25 END + CASE WHEN first_region = 2 OR second_region = 2 THEN 0.75 ELSE 0 END + CASE WHEN shared_club THEN 0.5 ELSE 0 END
+        + greatest(0.05, 1 - abs((first_rating + second_rating) / 2 - 2000) / 400) + least(prior_count * 0.10, 1) - 0.05 * (first_load + second_load))::DOUBLE, 6) AS weight FROM ({_PAIRED})""")
+
+
 # --- run-time reports -------------------------------------------------------------------
 
 

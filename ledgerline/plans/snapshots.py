@@ -204,6 +204,14 @@ def recent_opponents(t: Tables, since: Column) -> DataFrame:
     return rows.groupBy(F.least("t1", "t2").alias("low_id"), F.greatest("t1", "t2").alias("high_id")).agg(F.max("match_date").alias("met_on"), F.count("*").alias("meetings"))
 
 
+def opponent_days(t: Tables, since: Column) -> DataFrame:
+    """All days since ``since`` on which two teams met, in order, as text: low_id, high_id, days."""
+    one, two = (t["match_teams"].where(F.col("team_number") == k).select("match_id", F.col("source_team_id").alias(f"t{k}")) for k in (1, 2))
+    rows = t["matches"].where(F.col("match_date") >= since).select(F.col("id").alias("match_id"), "match_date").join(one, "match_id").join(two, "match_id")
+    met = rows.groupBy(F.least("t1", "t2").alias("low_id"), F.greatest("t1", "t2").alias("high_id")).agg(F.array_sort(F.collect_set("match_date")).alias("days"))
+    return met.withColumn("days", F.concat_ws(",", F.transform("days", lambda d: d.cast("string"))))
+
+
 def shared_clubs(t: Tables) -> DataFrame:
     """Teams whose players are members of the same clubs: team_id, clubs (in order, as text), n."""
     clubs_of = t["club_memberships"].groupBy("player_id").agg(F.collect_set("club_id").alias("clubs"))
