@@ -149,10 +149,10 @@ def club_assignment(t: dict[str, DataFrame]) -> DataFrame:
 
 @query("""
     WITH s AS (SELECT country_code, state_province_code, birth_year, gender, first_name, sum(frequency_count) AS k FROM first_names GROUP BY ALL)
-    SELECT country_code, state_province_code, birth_year, gender, first_name, CAST(k AS BIGINT) AS frequency_count, round(k::DOUBLE / sum(k) OVER (PARTITION BY country_code, state_province_code, birth_year, gender), 9) AS probability FROM s""")
+    SELECT country_code, state_province_code, birth_year, gender, first_name, CAST(k AS BIGINT) AS frequency_count, round(k::DOUBLE / sum(k) OVER (PARTITION BY country_code, state_province_code, birth_year, gender), 8) AS probability FROM s""")
 def first_name_shares(t: dict[str, DataFrame]) -> DataFrame:
     rows = seeds.first_name_probabilities(t["first_names"].withColumn("source_dataset", F.lit("names")))
-    return rows.select("country_code", "state_province_code", "birth_year", "gender", "first_name", F.col("frequency_count").cast("long").alias("frequency_count"), F.round(F.col("normalized_probability").cast("double"), 9).alias("probability"))
+    return rows.select("country_code", "state_province_code", "birth_year", "gender", "first_name", F.col("frequency_count").cast("long").alias("frequency_count"), F.round(F.col("normalized_probability").cast("double"), 8).alias("probability"))
 
 
 _ADDED = "SELECT id + 100000000 AS id, team_type, upper(team_division) AS team_division, team_status FROM teams WHERE team_status = 'retired'"
