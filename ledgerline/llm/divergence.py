@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import body, cut, partitions
+from .common import body, cut, hot_join, partitions
 from .words import LETTER, segments, sliced
 
 DOCUMENTS = 3  # that a term must be in to be kept in its language
@@ -132,14 +132,16 @@ def source_divergence(docs: DataFrame, least: int = DOCUMENTS, top: int = TOP) -
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body("lang").alias("lang"), body("source").alias("source"), body("text").alias("text"))
     found = cut(term_counts(docs, least))
-    own = found.groupBy("lang", "source").agg(F.sum("n").alias("own"))
+    own = found.groupBy("lang", "source").agg(F.sum("n").alias("own"), F.count("*").alias("terms"))
     whole = found.groupBy("lang", "term").agg(F.first("total").alias("total")).groupBy("lang").agg(F.sum("total").alias("all"), F.count("*").alias("v"))
-    groups = docs.groupBy("lang", "source").agg(F.lit(1).alias("one")).drop("one").join(own, ["lang", "source"], "left").join(whole, "lang", "left").na.fill(0, ["own", "all", "v"])
+    groups = docs.groupBy("lang", "source").agg(F.lit(1).alias("one")).drop("one").join(own, ["lang", "source"], "left").join(whole, "lang", "left").na.fill(0, ["own", "terms", "all", "v"])
     size = F.col("own") + F.col("v")
     groups = groups.withColumn("size", size).withColumn("none", F.when(F.col("v") > 0, share("0", "greatest(size, 1)")).otherwise(1).cast("long"))
-    groups = cut(groups.select("lang", "source", "v", "size", (F.col("all") + F.col("v")).alias("lang_size"), "none"))
+    groups = cut(groups.select("lang", "source", "v", "size", (F.col("all") + F.col("v")).alias("lang_size"), "none", "terms"))
 
-    counts = found.join(groups.select("lang", "source", "size", "lang_size", "none"), ["lang", "source"])
+    # A source may have most of the terms, so its rows stay where they are.
+    named = groups.select(F.struct("lang", "source").alias("g"), "size", "lang_size", "none", "terms")
+    counts = hot_join(found.withColumn("g", F.struct("lang", "source")), named, "g", "terms", found.count()).drop("g")
     terms = counts.select("lang", "source", "term", share("n", "size").alias("p"), share("total", "lang_size").alias("q")).where("p > q")
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     terms = terms.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), gap("p", "q").alias("value")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
