@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .pairs import orphans
 
@@ -53,6 +54,20 @@ def columns_are(name: str, rows: DataFrame, expected: Iterable[str]) -> DataFram
     return _result("columns", name, rows.sparkSession.createDataFrame([(wrong,)], "failures long"))
 
 
+def shape_drift(rows: DataFrame, expected: T.StructType) -> DataFrame:
+    """column_name, problem, expected, found: columns that are missing, extra, moved or of another type.
+
+    Works on the plan's schema alone; no row is read.
+    """
+    want, have = ({f.name: (i, f.dataType.simpleString()) for i, f in enumerate(s.fields)} for s in (expected, rows.schema))
+    found = [(c, "missing", want[c][1], None) for c in want if c not in have] + [(c, "extra", None, have[c][1]) for c in have if c not in want]
+    both = [c for c in want if c in have]
+    there = sorted(both, key=lambda c: have[c][0])
+    found += [(c, "moved", str(both.index(c) + 1), str(there.index(c) + 1)) for c in both if both.index(c) != there.index(c)]
+    found += [(c, "type", want[c][1], have[c][1]) for c in both if want[c][1] != have[c][1]]
+    return rows.sparkSession.createDataFrame(found, "column_name string, problem string, expected string, found string")
+
+
 def report(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 

@@ -37,3 +37,9 @@ def missing_cells(seen: DataFrame, *axes: DataFrame) -> DataFrame:
 def closure(*ids: DataFrame) -> DataFrame:
     """The distinct ids of several one-column tables."""
     return reduce(DataFrame.union, ids).distinct()
+
+
+def ordered_json(members: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Each group's values as a JSON list, in order. For groups of bounded size, such as a team's members."""
+    listed = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__value"))))
+    return members.groupBy(*group).agg(F.to_json(F.transform(listed, lambda x: x["__value"])).alias(name))

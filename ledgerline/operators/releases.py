@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .history import suppressed
@@ -54,3 +54,28 @@ def windows(months: Sequence, baseline: int) -> list[dict]:
         raise ValueError("the baseline needs one month at least, and no more than there are")
     first = {"kind": "historical_baseline", "facts": list(months[:baseline]), "snapshot": list(months[:baseline]), "prior": []}
     return [first] + [{"kind": "monthly_update", "facts": [months[i]], "snapshot": list(months[: i + 1]), "prior": list(months[:i])} for i in range(baseline, len(months))]
+
+
+def planned(months: DataFrame, month: str, baseline: int) -> DataFrame:
+    """The windows of ``windows`` as rows, one a release; ``contiguous`` is false from the first gap on.
+
+    release, kind, facts_from, facts_to, snapshot_from, snapshot_to, prior_to, months, contiguous. Months are made
+    distinct first, so the window without a key sorts as many rows as there are months.
+    """
+    order = Window.orderBy("month")
+    rows = months.select(F.trunc(F.col(month).cast("date"), "month").alias("month")).where("month IS NOT NULL").distinct()
+    rows = rows.select("month", F.row_number().over(order).alias("months"), F.lag("month").over(order).alias("prior"), F.first("month").over(order).alias("first"))
+    joined = F.coalesce(F.add_months("prior", 1) == F.col("month"), F.lit(True))
+    rows = rows.withColumn("contiguous", F.bool_and(joined).over(order)).where(F.col("months") >= baseline)
+    start = F.col("months") == baseline
+    return rows.select(
+        (F.col("months") - baseline + 1).alias("release"),
+        F.when(start, "historical_baseline").otherwise("monthly_update").alias("kind"),
+        F.when(start, F.col("first")).otherwise(F.col("month")).alias("facts_from"),
+        F.col("month").alias("facts_to"),
+        F.col("first").alias("snapshot_from"),
+        F.col("month").alias("snapshot_to"),
+        F.when(~start, F.col("prior")).alias("prior_to"),
+        "months",
+        "contiguous",
+    )

@@ -36,10 +36,17 @@ def bias_problems(biases: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def metro_regions(metros: DataFrame) -> DataFrame:
-    """One region a natural key: summed population, other fields of the first row by id."""
+    """One region a natural key: summed population, other fields of the first row by id.
+
+    A region without people has probability 0; where none has people it is null. The type follows from the country
+    and, in Canada, from the mark after the name.
+    """
     rows = metros.groupBy("country_code", "state_province_code", "region_name").agg(F.sum("population").alias("population"), F.min_by("latitude", "id").alias("latitude"), F.min_by("longitude", "id").alias("longitude"))
-    rows = normalised(rows, F.col("population")).withColumnRenamed("probability", "selection_probability")
-    return rows.withColumn("region_type", F.when(F.col("population") >= 1_000_000, "major_metro").when(F.col("population") >= 250_000, "metro").otherwise("small_metro"))
+    people = F.greatest(F.coalesce("population", F.lit(0)), F.lit(0))
+    rows = normalised(rows, people).withColumnRenamed("probability", "selection_probability")
+    canada = F.col("country_code") == "CA"
+    marked = F.when(canada & F.contains("region_name", F.lit("(CMA)")), "CMA").when(canada & F.contains("region_name", F.lit("(CA)")), "CA")
+    return rows.withColumn("region_type", F.when(F.col("country_code") == "US", "MSA").otherwise(F.coalesce(marked, F.lit("metro"))))
 
 
 def fallback_territories(regions: DataFrame, territories: DataFrame) -> DataFrame:
@@ -47,6 +54,17 @@ def fallback_territories(regions: DataFrame, territories: DataFrame) -> DataFram
     return territories.join(regions.select("country_code", "state_province_code").distinct(), ["country_code", "state_province_code"], "left_anti")
 
 
+def with_territories(regions: DataFrame, targets: DataFrame) -> DataFrame:
+    """``regions`` and one territory for each state that is to have clubs but no region.
+
+    A territory bears the state's name, has no population and is never drawn by weight (probability 0).
+    """
+    wanted = targets.where(F.col("target_club_count") > 0)
+    rows = fallback_territories(regions, wanted).groupBy("country_code", "state_province_code").agg(F.min("state_province_name").alias("region_name"))
+    rows = rows.withColumn("region_type", F.lit("territory")).withColumn("selection_probability", F.lit(0.0))
+    return regions.unionByName(rows, allowMissingColumns=True)
+
+
 def largest_regions(regions: DataFrame, per_country: int = 10) -> DataFrame:
     order = Window.partitionBy("country_code").orderBy(F.desc("population"), "region_name")
     return regions.where(F.col("population") > 0).withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_country)

@@ -6,8 +6,9 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerline.operators import checks, history, quality, ratings, reconcile, releases, sampling, seeds, tournament
+from ledgerline.operators import checks, history, pairs, quality, ratings, reconcile, releases, sampling, seeds, tournament
 from ledgerline.operators.shares import bucket, distribution, with_targets
 from ledgerline.plans import certify, panel, reports
 from ledgerline.sources import delimited, release
@@ -165,7 +166,55 @@ def test_name_probabilities(spark):
 def test_metro_regions(spark):
     rows = spark.createDataFrame([(2, "US", "CA", "LA", 300_000, 2.0, 2.0), (1, "US", "CA", "LA", 700_000, 1.0, 1.0)], "id long, country_code string, state_province_code string, region_name string, population long, latitude double, longitude double")
     r = seeds.metro_regions(rows).first()
-    assert (r["population"], r["latitude"], r["region_type"], r["selection_probability"]) == (1_000_000, 1.0, "major_metro", 1.0)
+    assert (r["population"], r["latitude"], r["region_type"], r["selection_probability"]) == (1_000_000, 1.0, "MSA", 1.0)
+
+
+METRO = "id long, country_code string, state_province_code string, region_name string, population long, latitude double, longitude double"
+
+
+def test_kinds_and_chances_of_regions(spark):
+    rows = [(1, "US", "CA", "LA (CMA)", 60, 1.0, 1.0), (2, "CA", "ON", "Toronto (CMA)", 40, 1.0, 1.0), (3, "CA", "ON", "Orillia (CA)", None, 1.0, 1.0), (4, "CA", "ON", "Elsewhere", -5, 1.0, 1.0), (5, "MX", "SO", "Sonora", 0, 1.0, 1.0)]
+    got = {r["region_name"]: (r["region_type"], r["selection_probability"]) for r in seeds.metro_regions(spark.createDataFrame(rows, METRO)).collect()}
+    assert got == {"LA (CMA)": ("MSA", 0.6), "Toronto (CMA)": ("CMA", 0.4), "Orillia (CA)": ("CA", 0.0), "Elsewhere": ("metro", 0.0), "Sonora": ("metro", 0.0)}
+    nobody = seeds.metro_regions(spark.createDataFrame(rows[2:], METRO)).select("selection_probability").distinct().collect()
+    assert [tuple(r) for r in nobody] == [(None,)]
+
+
+def test_states_with_clubs_but_no_region_become_territories(spark):
+    regions = seeds.metro_regions(spark.createDataFrame([(1, "US", "CA", "LA", 60, 1.0, 1.0)], METRO))
+    targets = [("US", "CA", "California", 3), ("CA", "YT", "Yukon", 2), ("CA", "YT", "Yukon", 1), ("CA", "NU", "Nunavut", 0), ("CA", "NT", "Northwest", None)]
+    shape = "country_code string, state_province_code string, state_province_name string, target_club_count int"
+    got = seeds.with_territories(regions, spark.createDataFrame(targets, shape)).select("region_name", "region_type", "population", "selection_probability").collect()
+    assert sorted(tuple(r) for r in got) == [("LA", "MSA", 60, 1.0), ("Yukon", "territory", None, 0.0)]
+    assert seeds.with_territories(regions, spark.createDataFrame([], shape)).count() == 1
+
+
+def test_planned_windows_are_those_of_the_list(spark):
+    months = [D(2024, 11, 1), D(2024, 12, 1), D(2025, 1, 1), D(2025, 2, 1)]
+    rows = spark.createDataFrame([(m.replace(day=d),) for m in months for d in (3, 28)] + [(None,)], "day date")
+    got = releases.planned(rows, "day", 2).orderBy("release").collect()
+    want = releases.windows(months, 2)
+    assert [(r["kind"], r["facts_from"], r["facts_to"], r["snapshot_from"], r["snapshot_to"], r["prior_to"], r["months"]) for r in got] == [
+        (w["kind"], w["facts"][0], w["facts"][-1], w["snapshot"][0], w["snapshot"][-1], w["prior"][-1] if w["prior"] else None, len(w["snapshot"])) for w in want
+    ]
+    assert all(r["contiguous"] for r in got)
+    gap = spark.createDataFrame([(months[0],), (months[2],), (months[3],)], "day date")
+    assert [r["contiguous"] for r in releases.planned(gap, "day", 1).orderBy("release").collect()] == [True, False, False]
+    assert releases.planned(rows.limit(0), "day", 1).count() == 0
+
+
+def test_lists_in_order(spark):
+    rows = spark.createDataFrame([(1, 2, 7), (1, 1, 9), (2, 1, None)], "team int, position int, player int")
+    assert {r["team"]: r["roster"] for r in pairs.ordered_json(rows, ["team"], ["position"], "player", "roster").collect()} == {1: "[9,7]", 2: "[null]"}
+
+
+def test_shapes_that_drifted(spark):
+    want = T.StructType.fromDDL("id long, name string, born date, team int")
+    found = spark.createDataFrame([], "name string, id int, team int, more double")
+    assert {tuple(r) for r in checks.shape_drift(found, want).collect()} == {
+        ("born", "missing", "date", None), ("more", "extra", None, "double"), ("id", "moved", "1", "2"), ("name", "moved", "2", "1"), ("id", "type", "bigint", "int"),
+    }
+    assert checks.shape_drift(spark.createDataFrame([], want), want).count() == 0
 
 
 def test_rejected_rows_have_reasons(spark, tmp_path):
