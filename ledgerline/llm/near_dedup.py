@@ -402,19 +402,20 @@ def classed_nodes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFr
     free = cut(free.where(F.col("shared") >= F.col("size") * (similarity * slack)).drop("id", "alone"))
     free = cut(free.join(sets.join(free.select("node"), "node").mapInArrow(_fine, "node binary, fine array<long>"), "node"))
     part = similarity / (1 + similarity) * slack
-    most = None
+    most = FINE
     for least in FINE_LIKE:
         now = open_.select("key", "node").join(free, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         a, b = (now.select(F.col("key").alias(f"key_{x}"), F.col("node").alias(x), F.col("label").alias(f"l{x}"), F.col("size").alias(f"s{x}"), F.col("shared").alias(f"v{x}"), F.col("sample").alias(f"p{x}"), F.col("fine").alias(f"f{x}"), F.col("bands").alias(f"k{x}")) for x in "ab")
         # Many numbers are folded, as an expression for each would be too much code for the compiler.
         alike = F.aggregate(F.zip_with("fa", "fb", equal_bytes), F.lit(FINE - 7 * -(-FINE // 7)), lambda s, x: s + x)
         needed = (F.col("sa") + F.col("sb")) * part
-        fits = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("va", "vb") >= needed) & (equal_samples("pa", "pb", SAMPLES) >= LIKE) & (alike >= least)
-        fits = fits if most is None else fits & (alike < most)
+        fits = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("va", "vb") >= needed) & (equal_samples("pa", "pb", SAMPLES) >= LIKE)
+        # From least to most in one comparison: an expression that stands twice is computed for every pair, before the cheaper ones are asked.
+        fits = fits & (F.abs(2 * alike - (least + most)) <= most - least)
         # Two that share several buckets meet in the first only.
         once = F.array_min(F.array_intersect("ka", "kb")) == F.col("key_a")
         more = linked(a.join(b, (F.col("key_a") == F.col("key_b")) & fits & once).select("a", "b"))
-        most = least
+        most = least - 1
         tidy(spark)
         if not more.limit(1).count():
             continue
