@@ -22,8 +22,7 @@ FINE = 256  # more samples, for texts of buckets that hold several classes still
 #: need not be compared later. At similarity 0.8 a pair has fewer than the last once in 40,000 times.
 FINE_LIKE = (205, 178)
 PART = 400_000  # shingles that one group looks through for those of one class only
-FREQUENT = 0.01  # shingles in fewer documents than this share all weigh the same
-STRENGTH = 0.1  # how much more a rare shingle weighs than one in every document
+FREQUENT = 0.01  # shingles in fewer documents than this share weigh as those in just so many
 CANDIDATES = 2_000_000  # hashes of shingles that one counting pass looks for
 CACHED = 1 << 18  # bytes of text whose shingles stay in a core's cache
 
@@ -68,7 +67,7 @@ def counted(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def weights(h: np.ndarray, times: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Term frequency times inverse document frequency."""
     known, idf = model
-    w = np.full(len(h), 1 + STRENGTH)
+    w = np.full(len(h), 1 - np.log(FREQUENT))
     if len(known) and len(h):
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
         w = np.where(known[at] == h, idf[at], w)
@@ -173,7 +172,7 @@ def _global(shared):
 
 
 def frequencies(texts: DataFrame, share: float = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Inverse document frequencies of the shingles in at least ``share`` of all documents.
+    """Inverse document frequencies, 1 + ln(documents / those with it), of the shingles in at least ``share`` of all documents.
 
     Such a shingle is as frequent in some partition, so the first pass names candidates and
     the second counts them over all documents, some millions at a time. The result has at
@@ -196,7 +195,7 @@ def frequencies(texts: DataFrame, share: float = FREQUENT) -> tuple[np.ndarray,
     h = np.concatenate([np.empty(0, np.uint64), *hashes])
     n = np.concatenate([np.empty(0), *counts])
     order = np.argsort(h)
-    return h[order], 1 + STRENGTH * np.minimum(1, np.log(total / n[order]) / np.log(1 / share))
+    return h[order], 1 + np.log(total / n[order])
 
 
 def _sign(shared):

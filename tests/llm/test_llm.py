@@ -369,6 +369,22 @@ def test_near_duplicates_by_brute_force(spark):
     assert [got[i] for i in range(n)] == [root(i) for i in range(n)]
 
 
+def test_frequencies_weigh_by_logarithm(spark):
+    # 200 texts that all start alike, half of them going on alike, each with an end of its own.
+    every, half = words(50, 1), words(50, 2)
+    made = [" ".join([*every, *(half if i % 2 else []), *words(20, 100 + i)]) for i in range(200)]
+    model = near_dedup.frequencies(docs_of(spark, made).select("text"))
+    _, h, times = near_dedup.counted(Block([made[1].encode()], ~SPACE))
+    w = near_dedup.weights(h, times, model)
+    found = Counter(w.round(6).tolist())
+    # 46 runs lie in the common start, 50 end in the half's own part; what one text alone has weighs as what 1 % have.
+    assert found == {1.0: 46, round(1 + np.log(2), 6): 50, round(1 + np.log(100), 6): 20}
+    # Alike in what all have only: 46 of 86 runs each by number, far less by weight.
+    one, two = (near_dedup.counted(Block([made[i].encode()], ~SPACE))[1:] for i in (0, 2))
+    sets = [(x, near_dedup.weights(x, n, model)) for x, n in (one, two)]
+    assert near_dedup.weighted_jaccard(*sets[0], *sets[1]) < 46 / (46 + 2 * 20 * 5)
+
+
 def test_near_duplicates_of_no_rows(spark):
     assert near_dedup.near_duplicates(docs_of(spark, ["a"]).limit(0)).count() == 0
     assert [r["class_id"] for r in near_dedup.near_duplicates(docs_of(spark, ["a b c d e f"] * 2, [None, None])).collect()] == [None, None]
