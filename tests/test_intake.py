@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import checks, quality, ratings, reconcile, sampling
-from ledgerline.plans import certify
+from ledgerline.plans import certify, intake_bindings
 from ledgerline.sources import delimited, ingest
 from ledgerline.streaming import events as streams
 
@@ -77,6 +77,16 @@ def test_copies_keep_their_children(spark):
     assert out["b"].join(out["a"].select(F.col("id").alias("a_id")), "a_id", "left_anti").count() == 0
 
 
+def test_copies_alone_without_a_look_at_the_whole_tables(spark):
+    rows = spark.range(-299, 1)
+    t = {"matches": rows, "match_teams": rows.withColumn("match_id", F.col("id")), "match_games": rows.withColumn("match_id", F.col("id")), "match_team_players": rows.withColumn("match_team_id", F.col("id"))}
+    found = intake_bindings.copied_match_families(t)
+    hit = {r["id"] for r in rows.where(quality.token("family", F.lit("matches"), F.col("id")) < int(0.05 * 2**52)).collect()}
+    # The largest key is 0, so each copy's key is one that is there already; it is a copy still.
+    assert len(hit) > 5 and {n: {r["id"] for r in found.where(F.col("table_name") == n).collect()} for n in t} == dict.fromkeys(t, hit)
+    assert "LeftAnti" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_names_fall_back_from_state_to_country(spark):
     names = spark.createDataFrame([("US", "TX", 1950, "F", "Ada", 3), ("US", "NY", 1990, "F", "Eve", 1), ("US", "NY", 1990, "M", "Bob", 1)], "country_code string, state_province_code string, birth_year int, gender string, first_name string, frequency_count int")
     who = spark.createDataFrame([(1, "US", "TX", 1999, "F"), (2, "US", "CA", 1985, "F"), (3, "US", "TX", 1950, "M"), (4, "CA", "ON", 1950, "F"), (5, "US", "CA", 1970, "F")], "id int, country_code string, state_province_code string, birth_year int, gender string")
