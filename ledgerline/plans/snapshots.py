@@ -32,8 +32,11 @@ class Release:
 
 
 def _of(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` is among the one column of ``ids``."""
-    return rows.join(ids.select(F.col(ids.columns[0]).alias(key)), key, "left_semi").select(rows.columns)
+    """Rows whose ``key`` is among the one column of ``ids``.
+
+    A task holds its part of the ids, once each, and lets the rows pass by: it doesn't sort them.
+    """
+    return rows.join(ids.select(F.col(ids.columns[0]).alias(key)).hint("shuffle_hash"), key, "left_semi").select(rows.columns)
 
 
 def _players(t: Tables, w: Release) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import history, quality
+from ledgerline.plans import snapshots
 from ledgerline.sources import inventory, jdbc, release, versions
 from ledgerline.streaming import look_back, taint
 
@@ -193,3 +194,11 @@ def test_a_repeated_batch_changes_neither_sink(spark, tmp_path):
         taint.taint_batches(spark.readStream.schema("id long, kind string").parquet(source), path, str(tmp_path / state), "id", {"kind": "missing"}, 0.5, "s").awaitTermination()
         kept = digests(path) if state == "one" else kept
     assert digests(path) == kept and taint.landed(spark, path)[0].count() == 50
+
+
+def test_rows_of_a_release_are_not_sorted_for_their_ids(spark):
+    rows = spark.range(1000).select("id", (F.col("id") % 10).alias("k"), F.lit("x").alias("v"))
+    got = snapshots._of(rows, spark.createDataFrame([(3,), (3,), (None,), (77,)], "other long"), "k")
+    assert got.columns == rows.columns and got.count() == 100 and got.where("k <> 3").count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort " not in plan
