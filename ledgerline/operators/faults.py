@@ -6,20 +6,24 @@ fault hits exactly floor(rows x midpoint) cells, as far as the table has so many
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 from math import floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.sources.interim import kept
+from ledgerline.sources.interim import path as new_path
 
 from .quality import FAMILIES, FAMILY, KINDS, LEVELS, rate_of, token
-from .selection import n_smallest
+from .selection import BITS, n_smallest
 
 #: Limits for all kinds of fault together.
 MAX_ROWS_PCT, MAX_FIELDS = 5.0, 2
+COARSE = 12  # bits of a hash that the histogram of all kinds looks at
 
 
 @dataclass(frozen=True)
@@ -43,15 +47,39 @@ class Injection:
         return [c for c in rows.columns if c == self.pk or c.endswith("_id") or c in self.protected or (c in dates and c not in jittered)]
 
 
-def _cells(rows: DataFrame, what: Injection, kind: str, hits: DataFrame | None) -> DataFrame:
-    """pk, column_name, clean_value, tainted_value, k: the cells that a kind may change, with their hash."""
+def _changing(rows: DataFrame, what: Injection, kind: str) -> Column:
+    """k, column_name, clean_value, tainted_value of a row's cells that a kind may change, in the order of their hashes."""
     each = []
     for c in what.rules[kind]:
         k = token(what.seed, F.lit(kind), F.lit(c), F.col(what.pk))
         new = KINDS[kind](F.col(c), k).cast(rows.schema[c].dataType)
         changes = F.col(c).isNotNull() & ~new.eqNullSafe(F.col(c))
         each.append(F.when(changes, F.struct(k.alias("k"), F.lit(c).alias("column_name"), F.col(c).cast("string").alias("clean_value"), new.cast("string").alias("tainted_value"))))
-    own = rows.select(what.pk, F.array_sort(F.array_compact(F.array(*each))).alias("own"))
+    return F.array_sort(F.array_compact(F.array(*each)))
+
+
+def _bars(rows: DataFrame, what: Injection, total: int, levels: Sequence[str]) -> dict[str, dict[str, int]]:
+    """By kind and level a hash below which the cells lie that can be chosen.
+
+    A row that no earlier kind has hit keeps one cell at least, so (n + all earlier hits) x columns cells
+    leave n of them. One histogram of 2**COARSE counts a kind, for all levels together.
+    """
+    cells = F.concat(*[F.transform(_changing(rows, what, kind), lambda x, kind=kind: F.struct(F.lit(kind).alias("kind"), F.shiftright(x["k"], BITS - COARSE).alias("b"))) for kind in what.rules])
+    counted = rows.select(F.explode(cells).alias("x")).groupBy("x.kind", "x.b").agg(F.count("*").alias("n")).collect()
+    out = {}
+    for i, (kind, columns) in enumerate(what.rules.items()):
+        own = sorted((r["b"], r["n"]) for r in counted if r["kind"] == kind)
+        up_to = list(accumulate(n for _, n in own))
+        out[kind] = {}
+        for level in levels:
+            n, *earlier = (floor(total * rate_of(level, FAMILY[x])) for x in (kind, *list(what.rules)[:i]))
+            at = bisect_left(up_to, (n + sum(earlier)) * len(columns))
+            out[kind][level] = (own[at][0] + 1) << (BITS - COARSE) if at < len(own) else 1 << BITS
+    return out
+
+
+def _cells(own: DataFrame, what: Injection, hits: DataFrame | None) -> DataFrame:
+    """pk, column_name, clean_value, tainted_value, k: of each row's cells in ``own`` those that ``hits`` leave a kind."""
     if hits is None:
         own = own.withColumn("own", F.slice("own", 1, what.per_row))
     else:
@@ -70,18 +98,38 @@ def exact_cells(rows: DataFrame, what: Injection) -> DataFrame:
     cells and those that a fault would leave as they are don't count. The table itself is never
     shuffled or sorted: only what earlier kinds have hit is joined to it.
     """
+    return exact_cells_by_level(rows, what, [what.level])[what.level]
+
+
+def exact_cells_by_level(rows: DataFrame, what: Injection, levels: Sequence[str]) -> dict[str, DataFrame]:
+    """``exact_cells`` at each of several levels, whatever the level of ``what``.
+
+    Hashes don't depend on the level. The table is gone through three times for all levels: for its rows, for a
+    histogram of hashes and for the cells that can be chosen at any level, which are written; the turns go over those.
+    """
     barred = set(what.barred(rows))
     wrong = [c for columns in what.rules.values() for c in columns if c in barred]
     if wrong:
         raise ValueError(f"protected columns: {', '.join(sorted(set(wrong)))}")
-    total, hits = rows.count(), None
-    for kind in what.rules:
-        n = floor(total * rate_of(what.level, FAMILY[kind]))
-        chosen = n_smallest(_cells(rows, what, kind, hits), "k", n, what.pk, "column_name")
-        chosen = chosen.select(what.pk, "column_name", F.lit(kind).alias("issue_type"), "clean_value", "tainted_value")
-        if n or hits is None:
-            hits = kept(chosen if hits is None else hits.unionByName(chosen))
-    return hits
+    total, spark = rows.count(), rows.sparkSession
+    bars, path = _bars(rows, what, total, levels), new_path(spark, "candidates")
+    below = lambda own, bar: F.filter(own, lambda x: x["k"] < bar)
+    each = [F.struct(F.lit(kind).alias("issue_type"), below(_changing(rows, what, kind), max(bars[kind].values())).alias("own")) for kind in what.rules]
+    found = rows.select(what.pk, F.explode(F.array(*each)).alias("x")).select(what.pk, "x.issue_type", "x.own").where(F.size("own") > 0)
+    found.write.partitionBy("issue_type").parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
+    out = {}
+    for level in levels:
+        hits = None
+        for kind in what.rules:
+            n = floor(total * rate_of(level, FAMILY[kind]))
+            own = found.where(F.col("issue_type") == kind).select(what.pk, below(F.col("own"), bars[kind][level]).alias("own")).where(F.size("own") > 0)
+            chosen = n_smallest(_cells(own, what, hits), "k", n, what.pk, "column_name")
+            chosen = chosen.select(what.pk, "column_name", F.lit(kind).alias("issue_type"), "clean_value", "tainted_value")
+            if n or hits is None:
+                hits = kept(chosen if hits is None else hits.unionByName(chosen))
+        out[level] = hits
+    return out
 
 
 def applied(rows: DataFrame, pk: str, cells: DataFrame) -> DataFrame:

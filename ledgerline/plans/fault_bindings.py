@@ -66,9 +66,9 @@ def exact_fault_cells(t: dict[str, DataFrame]) -> DataFrame:
 
 @query(" UNION ALL ".join(f"SELECT '{level}' AS level, * FROM (WITH {_turns(level)} SELECT issue_type, count(*) AS cells, count(DISTINCT id) AS rows FROM {_LAST} GROUP BY 1)" for level in quality.LEVELS))
 def fault_counts_by_level(t: dict[str, DataFrame]) -> DataFrame:
-    rows, out = clean(t), None
-    for level in quality.LEVELS:
-        cells = faults.exact_cells(rows, injection(level)).groupBy("issue_type").agg(F.count("*").alias("cells"), F.count_distinct("id").alias("rows")).select(F.lit(level).alias("level"), "issue_type", "cells", "rows")
+    out = None
+    for level, found in faults.exact_cells_by_level(clean(t), injection("low"), list(quality.LEVELS)).items():
+        cells = found.groupBy("issue_type").agg(F.count("*").alias("cells"), F.count_distinct("id").alias("rows")).select(F.lit(level).alias("level"), "issue_type", "cells", "rows")
         out = cells if out is None else out.unionByName(cells)
     return out
 

@@ -1,5 +1,6 @@
 """Exact faults against going through all cells one by one, and what the checks after them find."""
 
+import dataclasses
 import hashlib
 from collections import Counter
 from datetime import date
@@ -108,3 +109,15 @@ def test_checks_find_what_is_wrong(spark):
 def test_small_moves_in_time(spark):
     df = spark.sql("SELECT * FROM VALUES (DATE '2020-01-02', DATE '2020-01-03', 1), (DATE '2020-01-02', DATE '2020-01-01', 1), (DATE '2020-01-02', DATE '2020-01-04', 0), (DATE '2020-01-02', DATE '2020-01-02', 0) AS t(a, b, want)")
     assert all(r["got"] == bool(r["want"]) for r in df.withColumn("got", faults.looks_jittered(F.col("a"), F.col("b"))).collect())
+
+
+def test_levels_together_are_the_levels_alone(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 20 == 0, "some words and more").alias("a"), F.lit("x and y").alias("b"), (F.col("id") * 1.5 + 1).alias("v"))
+    what = faults.Injection("t", "id", {"missing": ("a", "b", "v"), "soft_join": ("a", "b"), "outlier": ("v",)}, "low", "s")
+    levels = ["very_high", "none", "medium"]
+    got = faults.exact_cells_by_level(rows, what, levels)
+    for level in levels:
+        alone = faults.exact_cells(rows, dataclasses.replace(what, level=level))
+        assert got[level].exceptAll(alone).count() == alone.exceptAll(got[level]).count() == 0
+        kinds = {r["issue_type"]: r["count"] for r in got[level].groupBy("issue_type").count().collect()}
+        assert kinds == {k: n for k in what.rules if (n := int(3000 * quality.rate_of(level, quality.FAMILY[k])))}
