@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -9,7 +10,7 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerline.operators.history import latest
 from ledgerline.sources.interim import path as new_path
@@ -18,39 +19,31 @@ DAY_MS = 86_400_000
 OUT = "key long, day int, value long, recent long"
 
 
-class LookBack(StatefulProcessor):
-    """Holds the sums of a key's days as long as a row that is still let in can need them."""
+def _folded(days: int):
+    """Holds the sums of a key's days, as one value, as long as a row that is still let in can need them."""
 
-    def __init__(self, days: int):
-        self.days = days
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.sums = handle.getMapState("sums", "day int", "value long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         new: Counter[int] = Counter()
-        for frame in rows:
-            for day, value in frame[["day", "value"]].itertuples(index=False):
-                new[int(day)] += int(value)
-        sums = Counter({int(d[0]): int(v[0]) for d, v in self.sums.iterator()})
-        for day, value in new.items():
-            if day not in sums:
-                self.handle.registerTimer((day + self.days + 1) * DAY_MS)
-            sums[day] += value
-            self.sums.updateValue((day,), (sums[day],))
-        out = sorted({x for x in sums for d in new if d <= x <= d + self.days})
-        recent = [sum(sums[d] for d in range(x - self.days, x) if d in sums) for x in out]
-        yield pd.DataFrame({"key": [key[0]] * len(out), "day": out, "value": [sums[x] for x in out], "recent": recent})
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        day = int(expiredTimerInfo.getExpiryTimeInMs() // DAY_MS) - self.days - 1
-        if self.sums.containsKey((day,)):
-            self.sums.removeKey((day,))
-        yield pd.DataFrame({"key": pd.Series([], dtype="int64"), "day": pd.Series([], dtype="int32"), "value": pd.Series([], dtype="int64"), "recent": pd.Series([], dtype="int64")})
-
-    def close(self) -> None:
-        pass
+        if not state.hasTimedOut:
+            for frame in frames:
+                for day, value in zip(frame["day"].tolist(), frame["value"].tolist(), strict=True):
+                    new[day] += value
+        sums = Counter({int(d): v for d, v in json.loads(state.get[0]).items()} if state.exists else {})
+        sums.update(new)
+        if new:
+            out = sorted({x for d in new for x in range(d, d + days + 1) if x in sums})
+            recent = [sum(sums[d] for d in range(x - days, x) if d in sums) for x in out]
+            yield pd.DataFrame({"key": key[0], "day": out, "value": [sums[x] for x in out], "recent": recent})
+        # After the rows: those of this batch are judged by the watermark of the one before.
+        passed = state.getCurrentWatermarkMs()
+        sums = {d: v for d, v in sums.items() if (d + days + 1) * DAY_MS > passed}
+        if sums:
+            state.update((json.dumps(sums),))
+            state.setTimeoutTimestamp((max(sums) + days + 1) * DAY_MS)
+        elif state.exists:
+            state.remove()
+
+    return step
 
 
 def look_back_updates(events: DataFrame, key: str, ts: str, value: str, days: int = 14, late: str = "3 days") -> DataFrame:
@@ -58,10 +51,11 @@ def look_back_updates(events: DataFrame, key: str, ts: str, value: str, days: in
 
     A day comes again whenever an event on it or on a day it looks back to comes; the last row of
     a day counts. Events later than ``late`` are dropped by the watermark, and a day's sum goes when the
-    watermark is past all days that look back to it: a key's state is some ``days`` numbers. Needs the RocksDB state store.
+    watermark is past all days that look back to it, at the key's next event or with its last day: a key's state is one
+    value of some ``days`` numbers, read and written once a batch. Needs the RocksDB state store.
     """
     rows = events.select(F.col(key).cast("long").alias("key"), F.unix_date(F.col(ts).cast("date")).alias("day"), F.col(value).cast("long").alias("value"), F.col(ts).cast("timestamp").alias("ts"))
-    return rows.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(LookBack(days), OUT, "Update", "EventTime")
+    return rows.withWatermark("ts", late).groupBy("key").applyInPandasWithState(_folded(days), OUT, "sums string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 @contextmanager

@@ -165,6 +165,15 @@ def test_late_rows_correct_the_days_after_them(spark, tmp_path):
     assert (1, date(2024, 1, 25), 1, 7 + 1) in found
 
 
+def test_a_keys_days_are_one_value_of_state(spark, tmp_path):
+    rows = spark.range(200).select((F.col("id") % 4).alias("player"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("id") / 4).cast("int"))).alias("ts"), F.lit(1).alias("n"))
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    rows.coalesce(1).write.parquet(source)
+    got = look_back.last_rows(look_back.look_back_updates(spark.readStream.schema(rows.schema).parquet(source), "player", "ts", "n"), out, state, ["key", "day"])
+    assert {(r["key"], r["value"], r["recent"]) for r in got.collect()} == {(k, 1, n) for k in range(4) for n in range(15)} and got.count() == 200
+    assert spark.read.format("statestore").load(state).count() == 4  # a row of state a key, not one a day
+
+
 def test_faults_and_their_record_land_together(spark, tmp_path):
     source, path, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     rows = spark.range(300).select("id", F.lit("AB").alias("kind"))
