@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,11 +12,15 @@ from pyspark.sql import functions as F
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[str], until: Column | None = None) -> DataFrame:
     """The row of each key that is last by ``order``; with ``until``, among rows where it holds.
 
-    An aggregate of a struct, so each task first reduces its own rows.
+    Each task first finds the greatest first value of ``order`` by key in a hash table. The rows pass by what
+    was found, by hashed key and value, and only those that have it (one a key, if none tie) are put in order.
     """
     rows = rows if until is None else rows.where(until)
     others = [c for c in rows.columns if c not in keys and c not in order]
-    best = rows.groupBy(*keys).agg(F.max(F.struct(*order, *others)).alias("best"))
+    top = rows.groupBy(*keys).agg(F.max(order[0]).alias(order[0])).withColumnsRenamed({c: f"__top_{c}" for c in (*keys, order[0])})
+    met = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__top_{c}")) for c in (*keys, order[0])])
+    last = rows.join(top.hint("shuffle_hash"), met, "left_semi")
+    best = last.groupBy(*keys).agg(F.max(F.struct(*order, *others)).alias("best"))
     return best.select(*keys, *[F.col(f"best.{c}").alias(c) for c in (*order, *others)])
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -74,6 +75,24 @@ def test_age_counts_birthdays(spark):
     assert r["y"] == 17
 
 
+def test_latest_rows_with_nulls_and_ties(spark):
+    nan = float("nan")
+    rows = spark.createDataFrame([(1, 1.0, 1, "a"), (1, 2.0, 1, "b"), (1, 2.0, 2, "c"), (1, 2.0, 2, "d"), (None, 5.0, 1, "e"), (None, None, 9, "f"), (2, None, 1, "g"), (2, None, None, "h"), (3, nan, 1, "i"), (3, 9.0, 2, "j"), (4, -0.0, 1, "k"), (4, 0.0, 2, "l")], "k int, at double, id int, v string")
+    assert {r["k"]: r["v"] for r in history.latest(rows, ["k"], ["at", "id"]).collect()} == {1: "d", None: "e", 2: "g", 3: "i", 4: "l"}
+    assert {r["k"]: r["v"] for r in history.latest(rows, ["k"], ["at", "id"], F.col("id") < 2).collect()} == {1: "b", None: "e", 2: "g", 3: "i", 4: "k"}
+    assert {(r["k"], r["id"]): r["v"] for r in history.latest(rows.where("k = 1"), ["k", "id"], ["at"]).collect()} == {(1, 1): "b", (1, 2): "d"}
+    assert history.latest(rows.limit(0), ["k"], ["at"]).count() == 0
+
+
+def test_latest_orders_only_rows_that_can_be_last(spark):
+    rows = spark.range(20000).select((F.col("id") % 10).alias("k"), F.col("id").alias("at"), F.lit("x").alias("v"))
+    got = history.latest(rows, ["k"], ["at"])
+    assert sorted(r["at"] for r in got.collect()) == list(range(19990, 20000))
+    plan = got._jdf.queryExecution().executedPlan()
+    ordered = re.search(r"\+- Sort .*", plan.toString(), re.S)  # all rows were sorted below here
+    assert ordered and "ShuffledHashJoin" in ordered[0]
+
+
 def test_targets_come_with_what_was_not_seen(spark):
     rows = spark.createDataFrame([("a",), ("a",), ("b",)], "k string")
     got = {r["k"]: (r["n"], r["pct_point_drift"]) for r in with_targets(distribution(rows, "k"), "k", {"c": 10, "a": 60}).collect()}
