@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import history, quality
-from ledgerline.plans import snapshots
+from ledgerline.plans import domain, release_bindings, snapshots
 from ledgerline.sources import inventory, jdbc, release, versions
 from ledgerline.streaming import look_back, taint
 
@@ -211,3 +211,9 @@ def test_rows_of_a_release_are_not_sorted_for_their_ids(spark):
     assert got.columns == rows.columns and got.count() == 100 and got.where("k <> 3").count() == 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "Sort " not in plan
+
+
+def test_last_ratings_of_a_release_are_chosen_before_they_are_sorted(spark):
+    rows = snapshots.player_master(domain.tables(spark, "/root/testdata/sf0.001"), release_bindings.UPDATE)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan[plan.index("Sort [") :]
