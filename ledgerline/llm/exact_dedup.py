@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, cut
+from .common import body, cut, small_batches
 
 #: Distinct content that one in-memory table may hold.
 BUCKET_BYTES = 64 << 20
@@ -154,7 +154,8 @@ def exact_duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataF
     rows of the group and are kept or dropped together. An empty table gives an empty result.
     Other columns of ``docs`` are not looked at.
     """
-    found = cut(classes(docs, bucket_bytes))
+    with small_batches(docs.sparkSession):
+        found = cut(classes(docs, bucket_bytes))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(), 256)).alias("sha"))
     return ids.join(found, "sha").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
@@ -165,7 +166,9 @@ def deduplicated(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame
     A row goes only for its own text: other texts with its doc_id stay. Of a text whose rows
     all have null ids one row stays.
     """
-    found = cut(classes(docs, bucket_bytes)).select(F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep"))
+    with small_batches(docs.sparkSession):
+        found = cut(classes(docs, bucket_bytes))
+    found = found.select(F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep"))
     rows = docs.withColumn("__sha", F.unhex(F.sha2(normalised(), 256)))
     return keepers(rows, found, ["__sha"]).drop("__sha")
 

@@ -23,6 +23,7 @@ FINE = 256  # more samples, for texts of buckets that hold several classes still
 FINE_LIKE = (205, 178)
 PART = 400_000  # shingles that one group looks through for those of one class only
 FREQUENT = 0.01  # shingles in fewer documents than this share weigh as those in just so many
+COUNTED = 500_000  # shingles that a task counts before it forgets the rare ones
 CANDIDATES = 2_000_000  # hashes of shingles that one counting pass looks for
 CACHED = 1 << 18  # bytes of text whose shingles stay in a core's cache
 
@@ -128,24 +129,42 @@ def equal_samples(x: str, y: str, count: int) -> Column:
     return sum((equal_bytes(F.col(x)[i], F.col(y)[i]) for i in range(words)), F.lit(count - 7 * words))
 
 
-def _local(share: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, kept, held = 0, (np.empty(0, np.uint64), np.empty(0, np.int64)), []
+def _local(share: float, held_most: int = COUNTED):
+    """The shingles that at least ``share`` of a partition's texts may have, by lossy counting.
 
-        def merge(kept, held):
-            h = np.concatenate([kept[0], *held])
-            n = np.concatenate([kept[1], np.ones(len(h) - len(kept[0]), np.int64)])
-            h, at = np.unique(h, return_inverse=True)
-            return h, np.bincount(at, n, minlength=len(h)).astype(np.int64)
+    Every ``held_most`` shingles those are forgotten that even with all times that may have been
+    missed before they were first counted do not come to ``share`` of the texts so far. What is
+    held follows the shingles of some 1 / share texts and not the partition.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = docs_before = 0
+        kept, times, missed = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0)
+
+        def settled(held: list[np.ndarray]):
+            new, n = np.unique(np.concatenate([np.empty(0, np.uint64), *held]), return_counts=True)
+            at = np.searchsorted(kept, new)
+            old = np.zeros(len(new), bool)
+            old[at < len(kept)] = kept[at[at < len(kept)]] == new[at < len(kept)]
+            times[at[old]] += n[old]
+            h = np.concatenate([kept, new[~old]])
+            t = np.concatenate([times, n[~old]])
+            m = np.concatenate([missed, np.full(len(h) - len(kept), share * docs_before)])
+            stay = np.flatnonzero(t + m >= share * docs - 1e-6)
+            stay = stay[np.argsort(h[stay])]
+            return h[stay], t[stay], m[stay]
+
+        held, size = [], 0
         for batch in batches:
-            docs += batch.num_rows
             for _, b in blocks(batch.column("text"), ~SPACE):
-                held.append(shingles(b)[1])  # times, not texts: at least as many
-            if sum(map(len, held)) > 1_000_000:
-                kept, held = merge(kept, held), []
-        h, n = merge(kept, held)
-        h = h[n >= max(1, int(np.ceil(share * docs)))]
+                h = shingles(b)[1]  # times, not texts: at least as many
+                docs += b.n
+                held.append(h)
+                size += len(h)
+                if size > held_most:
+                    kept, times, missed = settled(held)
+                    docs_before, held, size = docs, [], 0
+        h = settled(held)[0]
         for i in range(0, len(h), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 100_000].view(np.int64))], names=["h"])
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import body, cut
+from .common import body, cut, small_batches
 from .words import Kept
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -171,7 +171,8 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH) ->
     Only the histogram of lengths (at most ``length`` counts) reaches the driver, and only
     the pattern table made from it is sent to the tasks. An empty table gives no rows.
     """
-    rows = cut(pieces(docs, vocabulary, length))
+    with small_batches(docs.sparkSession):
+        rows = cut(pieces(docs, vocabulary, length))
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     chunks = max(16, -(-sum(histogram.values()) // 200_000))
     table = slots(patterns(histogram, length))

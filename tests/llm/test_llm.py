@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -385,6 +386,35 @@ def test_frequencies_weigh_by_logarithm(spark):
     assert near_dedup.weighted_jaccard(*sets[0], *sets[1]) < 46 / (46 + 2 * 20 * 5)
 
 
+def test_candidates_of_a_partition_take_bounded_memory():
+    # 6 million runs that one text each has, and one run that a fiftieth of the texts have.
+    often = words(5, 1)
+    rng, share = np.random.default_rng(2), 0.02
+
+    def batches(texts):
+        for i in range(0, texts, 100):
+            made = [" ".join([*(often if j % 50 == 0 else []), *map(str, rng.integers(0, 10**9, 1000))]) for j in range(i, i + 100)]
+            yield pa.record_batch([pa.array(made)], names=["text"])
+
+    tracemalloc.start()
+    found = [h for b in near_dedup._local(share)(batches(6000)) for h in b.column("h").to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert near_dedup.shingles(Block([" ".join(often).encode()], ~SPACE))[1].view(np.int64)[0] in found
+    assert most < 150e6
+
+
+def test_candidates_of_a_partition_miss_no_frequent_run():
+    rng = np.random.default_rng(3)
+    made = [" ".join(f"w{x}" for x in rng.zipf(1.5, rng.integers(1, 60)) % 500) if rng.random() < 0.5 else f"the same words stand here again and x{rng.integers(30)}" for _ in range(800)]
+    seen = Counter(h for t in made for h in set(near_dedup.shingles(Block([t.encode()], ~SPACE))[1].view(np.int64).tolist()))
+    want = {h for h, n in seen.items() if n >= 8}
+    batches = [pa.record_batch([pa.array(made[i : i + 50])], names=["text"]) for i in range(0, 800, 50)]
+    for most in (1, 300, 2000, 10**6):
+        found = [h for b in near_dedup._local(0.01, most)(iter(batches)) for h in b.column("h").to_pylist()]
+        assert want and want <= set(found) and len(found) == len(set(found)) < len(seen) / 4
+
+
 def test_near_duplicates_of_no_rows(spark):
     assert near_dedup.near_duplicates(docs_of(spark, ["a"]).limit(0)).count() == 0
     assert [r["class_id"] for r in near_dedup.near_duplicates(docs_of(spark, ["a b c d e f"] * 2, [None, None])).collect()] == [None, None]
